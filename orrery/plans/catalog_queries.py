@@ -1,6 +1,518 @@
-"""Queries over the driver's tables, one for each operator or family, with the SQL they are held against."""
+"""Queries over the driver's tables, one for each operator or family, with the SQL they are held against.
+
+Sky positions don't exist in those tables and are derived from keys: sources are customers, targets are
+suppliers, on a lattice of one arc second. Radii end in .5 so that no pair lies on one.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import exprs
+from orrery.operators import catalogs, signals, spatial
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+RADIUS = 60.5
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with the SQL for the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sources of a catalog, with position, error and parallax."""
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(
+        k.alias("source_id"), F.col("c_mktsegment").alias("catalog"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"),
+        ((k * 137 % 2161) / 3600).alias("ra"), ((k * 71 % 1021) / 3600 + 10).alias("dec"), ((F.col("c_nationkey") + 1) * 2.0).alias("error"), (F.abs("c_acctbal") / 100).alias("parallax"),
+    )
+
+
+def targets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _table(spark, sf_dir, "supplier").select(k.alias("target_id"), ((k * 391 % 2161) / 3600).alias("t_ra"), ((k * 223 % 1021) / 3600 + 10).alias("t_dec"))
+
+
+def matches_of(spark: SparkSession, sf_dir: str, radius: float = RADIUS) -> DataFrame:
+    return spatial.cone_join(targets_of(spark, sf_dir), sources_of(spark, sf_dir), radius)
+
+
+def _sep(ra1, dec1, ra2, dec2) -> str:
+    return f"degrees(2 * asin(sqrt(least(1, power(sin(radians({dec2} - {dec1}) / 2), 2) + cos(radians({dec1})) * cos(radians({dec2})) * power(sin(radians({ra2} - {ra1}) / 2), 2))))) * 3600"
+
+
+_S = """src as (select c_custkey as source_id, c_mktsegment as catalog, c_nationkey as nation, c_acctbal as balance,
+    (c_custkey * 137 % 2161)::double / 3600 as ra, (c_custkey * 71 % 1021)::double / 3600 + 10 as dec,
+    (c_nationkey + 1) * 2::double as error, abs(c_acctbal) / 100 as parallax from customer)"""
+_T = "tgt as (select s_suppkey as target_id, (s_suppkey * 391 % 2161)::double / 3600 as t_ra, (s_suppkey * 223 % 1021)::double / 3600 + 10 as t_dec from supplier)"
+
+
+def _matches(radius: float = RADIUS) -> str:
+    return f"""with {_S}, {_T}, m as (select *, {_sep("t_ra", "t_dec", "ra", "dec")} as separation from tgt, src
+    where dec between t_dec - {radius + 1} / 3600 and t_dec + {radius + 1} / 3600 and {_sep("t_ra", "t_dec", "ra", "dec")} <= {radius})"""
+
+
+def _score(s: str, e: str) -> str:
+    return f"round(greatest(0, least(1, exp(-0.5 * power({s} / greatest({e}, 0.1), 2)))), 6)"
+
+
+@query(f"{_matches()} select target_id, source_id, catalog, round(separation, 6) as separation, {_score('separation', 'error')} as score from m")
+def cone_match(spark, sf_dir):
+    """J1, F1, C1, C3, O1."""
+    m = matches_of(spark, sf_dir)
+    return m.select("target_id", "source_id", "catalog", F.round("separation", 6).alias("separation"), exprs.match_score(F.col("separation"), F.col("error")).alias("score"))
+
+
+@query(f"{_matches()} select target_id, source_id, round(separation, 6) as separation from m where separation >= 20.5")
+def shell_match(spark, sf_dir):
+    """F2."""
+    return matches_of(spark, sf_dir).where("separation >= 20.5").select("target_id", "source_id", F.round("separation", 6).alias("separation"))
+
+
+@query(f"{_matches()} select target_id, source_id, round(separation, 6) as separation from m where separation between 5.5 and 15.5 or separation between 40.5 and 50.5")
+def zones_match(spark, sf_dir):
+    """F4."""
+    s = F.col("separation")
+    return matches_of(spark, sf_dir).where(s.between(5.5, 15.5) | s.between(40.5, 50.5)).select("target_id", "source_id", F.round(s, 6).alias("separation"))
+
+
+@query(f"{_matches()} select target_id, source_id, round(1000 / parallax, 6) as distance from m where parallax > 0 and 1000 / parallax between 15 and 40")
+def cylinder_match(spark, sf_dir):
+    """F3, C5."""
+    d = exprs.distance_pc(F.col("parallax"))
+    return matches_of(spark, sf_dir).where(d.between(15, 40)).select("target_id", "source_id", F.round(d, 6).alias("distance"))
+
+
+@query(f"with {_S} select source_id, {_score('(source_id % 97) / 10::double', 'error')} as known, round(greatest(0, 1 - least((source_id % 97) / 30::double, 10) / 10), 6) as unknown from src")
+def match_score(spark, sf_dir):
+    """C3, both branches."""
+    s = (F.col("source_id") % 97) / 10
+    return sources_of(spark, sf_dir).select("source_id", exprs.match_score(s, F.col("error")).alias("known"), exprs.match_score(s, F.lit(None).cast("double")).alias("unknown"))
+
+
+@query(f"""{_matches()}, r as (select *, row_number() over (partition by target_id order by separation, source_id) as n from m),
+e as (select target_id, least({RADIUS}, greatest(1, 1.5 * median(separation))) as effective from r where n <= 5 group by target_id)
+select target_id, source_id, round(separation, 6) as separation, round(effective, 6) as effective_radius from r join e using (target_id) where separation <= effective""")
+def adaptive_radius(spark, sf_dir):
+    """W2, F15."""
+    m = spatial.adaptive(matches_of(spark, sf_dir), "target_id", [F.col("separation"), F.col("source_id")], RADIUS)
+    return m.select("target_id", "source_id", F.round("separation", 6).alias("separation"), F.round("effective_radius", 6).alias("effective_radius"))
+
+
+@query(f"""{_matches()} select target_id, catalog, source_id, round(separation, 6) as separation, rank from (
+select *, row_number() over (partition by target_id, catalog order by separation, source_id) as rank from m) where rank <= 3""")
+def per_catalog_topk(spark, sf_dir):
+    """W1, O2."""
+    m = spatial.top_matches(matches_of(spark, sf_dir), 3, ["target_id", "catalog"], [F.col("separation"), F.col("source_id")])
+    return m.select("target_id", "catalog", "source_id", F.round("separation", 6).alias("separation"), F.col("rank").cast("long").alias("rank"))
+
+
+def _with_wavelength(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
+    return matches_of(spark, sf_dir).join(F.broadcast(nation.select(F.col("n_nationkey").alias("nation"), F.col("r_name").alias("wavelength"))), "nation")
+
+
+_WAVE = f"{_matches()}, w as (select m.*, r_name as wavelength from m join nation on nation.n_nationkey = m.nation join region on r_regionkey = n_regionkey)"
+
+
+@query(f"{_WAVE} select target_id, wavelength, count(*) as detections, round(min(separation), 6) as nearest from w group by all")
+def counterpart_counts(spark, sf_dir):
+    """A3, A4, J7, P16."""
+    return _with_wavelength(spark, sf_dir).groupBy("target_id", "wavelength").agg(F.count("*").alias("detections"), F.round(F.min("separation"), 6).alias("nearest"))
+
+
+@query(f"{_WAVE} select target_id, array_to_string(list_sort(list(distinct catalog)), ',') as catalogs, array_to_string(list_sort(list(distinct wavelength)), ',') as wavelengths, count(distinct catalog) as catalogs_queried from w group by all")
+def group_attributes(spark, sf_dir):
+    """A2, A5."""
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return _with_wavelength(spark, sf_dir).groupBy("target_id").agg(listed("catalog").alias("catalogs"), listed("wavelength").alias("wavelengths"), F.count_distinct("catalog").alias("catalogs_queried"))
+
+
+_GROUP_RADIUS = 12.5
+
+
+@query(f"""with recursive {_matches()[5:]}, e as (select a.target_id, a.source_id as a, b.source_id as b from m a join m b using (target_id)
+    where a.source_id <> b.source_id and {_sep("a.ra", "a.dec", "b.ra", "b.dec")} <= {_GROUP_RADIUS}),
+reach as (select target_id, source_id as a, source_id as b from m union select r.target_id, r.a, e.b from reach r join e on e.target_id = r.target_id and e.a = r.b)
+select target_id, a as source_id, min(b) as root from reach group by target_id, a""")
+def crossmatch_groups(spark, sf_dir):
+    """Components of a target's detections that lie close to each other."""
+    m = matches_of(spark, sf_dir).select("target_id", "source_id", "ra", "dec", F.lit(0.0).alias("error_arcsec"))
+    return spatial.group_labels(m, spatial.pair_edges(m, "target_id", "source_id", _GROUP_RADIUS), "target_id", "source_id")
+
+
+_POLYGON = [(0.1, 10.05), (0.4, 10.07), (0.35, 10.2), (0.12, 10.18)]
+
+
+def _polygon_sql() -> str:
+    edges = ", ".join(f"({a}::double, {b}::double, {c}::double, {d}::double)" for (a, b), (c, d) in zip(_POLYGON, _POLYGON[1:] + _POLYGON[:1], strict=True))
+    return f"""with {_S}, e(x1, y1, x2, y2) as (values {edges}),
+    c as (select source_id, count(*) filter ((y1 > dec) <> (y2 > dec) and (x1 - ra) + (dec - y1) * (x2 - x1) / (y2 - y1) > 0) as n from src, e group by source_id)
+    select source_id from c where n % 2 = 0"""
+
+
+@query(_polygon_sql())
+def polygon_exclusion(spark, sf_dir):
+    """C8, F6."""
+    return sources_of(spark, sf_dir).where(~exprs.inside_polygon(F.col("ra"), F.col("dec"), _POLYGON)).select("source_id")
+
+
+@query("select year(o_orderdate)::bigint as year, count(*) as n from orders where year(o_orderdate) between 1994 and 1996 group by all")
+def time_period(spark, sf_dir):
+    """F5, C6."""
+    y = exprs.year_of(F.col("o_orderdate").cast("string"))
+    return _table(spark, sf_dir, "orders").withColumn("year", y.cast("long")).where("year between 1994 and 1996").groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query("select lower(trim(split_part(p_type, ' ', 1))) as kind, count(*) as n, sum(p_size)::bigint as total from part where lower(p_brand) in ('brand#11', 'brand#12', 'brand#13', 'brand#21') group by all")
+def object_types(spark, sf_dir):
+    """C7, F7-F9."""
+    p = _table(spark, sf_dir, "part").where(F.lower("p_brand").isin("brand#11", "brand#12", "brand#13", "brand#21"))
+    return p.groupBy(exprs.canonical_type(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("kind")).agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
+
+
+@query(f"with {_S} select source_id from src where balance >= 1000 and parallax <= 60 and catalog = 'BUILDING'")
+def field_filters(spark, sf_dir):
+    """F11."""
+    s = sources_of(spark, sf_dir)
+    cols = {c: F.col(c) for c in s.columns}
+    for name, value in (("min_balance", 1000), ("max_parallax", 60), ("catalog", "BUILDING")):
+        s = s.where(catalogs.field_filter(name, value, cols))
+    return s.select("source_id")
+
+
+@query(f"""with {_S} select source_id, array_to_string(list_filter([case when not balance > 0 then 'balance' end, case when not parallax > 50 then 'parallax' end, case when not nation > 3 then 'nation' end], lambda x: x is not null), ',') as missing from src""")
+def missing_fields(spark, sf_dir):
+    """U9, F16."""
+    need = {"balance": F.col("balance") > 0, "parallax": F.col("parallax") > 50, "nation": F.col("nation") > 3}
+    return sources_of(spark, sf_dir).select("source_id", F.array_join(catalogs.missing_fields(need), ",").alias("missing"))
+
+
+@query(f"with {_S} select source_id, round(sqrt(balance * balance + parallax * parallax), 6) as motion from src")
+def proper_motion(spark, sf_dir):
+    """C10."""
+    return sources_of(spark, sf_dir).select("source_id", F.round(exprs.proper_motion(F.col("balance"), F.col("parallax")), 6).alias("motion"))
+
+
+def _propagated_sql() -> str:
+    a, b = "(parallax * 1000) * radians(16 / 3600000::double)", "(nation * 100) * radians(16 / 3600000::double)"
+    r, d = "radians(ra)", "radians(dec)"
+    x = f"cos({d}) * cos({r}) - {a} * sin({r}) - {b} * sin({d}) * cos({r})"
+    y = f"cos({d}) * sin({r}) + {a} * cos({r}) - {b} * sin({d}) * sin({r})"
+    return f"with {_S}, p as (select source_id, {x} as x, {y} as y, sin({d}) + {b} * cos({d}) as z from src) select source_id, round((degrees(atan2(y, x)) + 360) % 360, 6) as ra, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) as dec from p"
+
+
+@query(_propagated_sql())
+def epoch_propagation(spark, sf_dir):
+    """Positions of 2000 at 2016."""
+    s = sources_of(spark, sf_dir)
+    ra, dec = exprs.propagated(F.col("ra"), F.col("dec"), F.col("parallax") * 1000, F.col("nation") * 100, F.lit(2000.0), F.lit(2016.0))
+    return s.select("source_id", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"))
+
+
+@query(f"{_matches()} select source_id, round(min(separation), 6) as separation from m group by source_id")
+def nearest_target(spark, sf_dir):
+    """J9, A21."""
+    return spatial.nearest_target(targets_of(spark, sf_dir), sources_of(spark, sf_dir), RADIUS, "source_id").select("source_id", F.round("separation", 6).alias("separation"))
+
+
+@query(f"{_matches()} select catalog, source_id from src s where exists (select 1 from m where m.source_id = s.source_id and m.catalog = s.catalog and separation <= 20.5)")
+def allowed_semi(spark, sf_dir):
+    """J10."""
+    allowed = matches_of(spark, sf_dir, 20.5).select("catalog", "source_id")
+    return sources_of(spark, sf_dir).join(allowed, ["catalog", "source_id"], "left_semi").select("catalog", "source_id")
+
+
+@query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)")
+def work_anti(spark, sf_dir):
+    """J11."""
+    done = _table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _table(spark, sf_dir, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""with h as (select s_suppkey as host, unnest(['Customer  ' || (s_suppkey % 40), ' Customer ' || (s_suppkey % 7 * 100000)]) as alias from supplier),
+i as (select distinct 'Customer ' || (c_custkey % 30) as k, c_nationkey % 4 as oid from customer),
+f as (select host, count(distinct oid) as candidates, min(oid) as oid from h left join i on i.k = trim(regexp_replace(alias, '\\s+', ' ', 'g')) group by host)
+select host, case candidates when 0 then 'unmatched' when 1 then 'matched' else 'ambiguous' end as status, candidates, case when candidates = 1 then oid end as oid from f""")
+def alias_join_status(spark, sf_dir):
+    """J5, A11, A28, U8, C27."""
+    k = F.col("s_suppkey")
+    hosts = _table(spark, sf_dir, "supplier").select(k.alias("host"), F.array(F.concat(F.lit("Customer  "), k % 40), F.concat(F.lit(" Customer "), k % 7 * 100000)).alias("aliases"))
+    ids = _table(spark, sf_dir, "customer").select(F.concat(F.lit("Customer "), F.col("c_custkey") % 30).alias("identifier"), (F.col("c_nationkey") % 4).alias("oid"))
+    return catalogs.alias_matches(hosts, ids)
+
+
+@query(f"""{_matches(20.5)}, n as (select target_id, count(distinct catalog) as objects, min(catalog) as object_id from m where catalog <> 'BUILDING' group by target_id),
+t as (select object_id, min(target_id) as target_id from n where objects = 1 group by object_id)
+select t0.target_id as source_id, case when t.target_id is not null then 'adopted' when n.objects > 1 then 'ambiguous' when n.objects = 1 then 'conflict' else 'new' end as outcome
+from tgt t0 left join n using (target_id) left join t on t.target_id = t0.target_id""")
+def identity_conflict(spark, sf_dir):
+    """One object to a catalog segment; suppliers arrive as a catalog of their own."""
+    store = sources_of(spark, sf_dir).where("catalog <> 'BUILDING'").select("catalog", "source_id", "ra", "dec", F.col("catalog").alias("object_id"))
+    arrivals = targets_of(spark, sf_dir).select(F.lit("SUPPLIER").alias("catalog"), F.col("target_id").alias("source_id"), F.col("t_ra").alias("ra"), F.col("t_dec").alias("dec"), F.col("target_id").alias("arrival"))
+    return catalogs.resolve_identity(arrivals, store, 20.5).select("source_id", "outcome")
+
+
+@query("""with o as (select o_orderkey, sha256(concat_ws('|', o_orderstatus, o_orderpriority)) as d from orders where o_orderkey % 5 <> 0),
+n as (select o_orderkey, sha256(concat_ws('|', case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end, o_orderpriority)) as d from orders where o_orderkey % 3 <> 0)
+select o_orderkey, case when o.d is null then 'added' when n.d is null then 'removed' else 'updated' end as change from o full join n using (o_orderkey) where o.d is distinct from n.d""")
+def snapshot_diff(spark, sf_dir):
+    """J12, U4, C14."""
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    digest = lambda status: F.sha2(F.concat_ws("|", status, "o_orderpriority"), 256).alias("digest")
+    return catalogs.snapshot_diff(o.where(k % 5 != 0).select(k, digest(F.col("o_orderstatus"))), o.where(k % 3 != 0).select(k, digest(F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")))), "o_orderkey")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_partkey, l_suppkey, l_extendedprice) as n from lineitem) where n = 1""")
+def dedupe_first(spark, sf_dir):
+    """W5, U2, U3."""
+    order = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return catalogs.first_by(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query("select l_orderkey, l_linenumber, count(distinct l_partkey) as versions from lineitem group by all having versions > 1")
+def conflicting_duplicates(spark, sf_dir):
+    """U7, A6, A24."""
+    return catalogs.conflicting_keys(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"))
+
+
+@query("select kind, count(*) as n, count(distinct key) as keys from (select 'customer' as kind, c_custkey as key from customer union all select 'supplier', s_suppkey from supplier union all select 'part', p_partkey from part) group by kind")
+def union_catalogs(spark, sf_dir):
+    """U1, A26."""
+    parts = [_table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(k).alias("key")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("select p_brand from part where p_size > 30 intersect select p_brand from part where p_retailprice < 1500")
+def intersected_fields(spark, sf_dir):
+    """U5, U10."""
+    p = _table(spark, sf_dir, "part")
+    return p.where("p_size > 30").select("p_brand").intersect(p.where("p_retailprice < 1500").select("p_brand"))
+
+
+@query("select o_orderpriority as provider, count(*) as records, min(o_orderdate) as first_at, max(o_orderdate) as last_at from orders group by all")
+def provider_stats(spark, sf_dir):
+    """A8, A27."""
+    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("provider")).agg(F.count("*").alias("records"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
+
+
+@query("""with o as (select o_custkey, count(*) as members, bool_or(o_orderstatus = 'F') as has_f, max(o_totalprice) as best from orders group by o_custkey)
+select count(*) filter (members >= 5 and has_f) as usable, count(*) as matching, greatest(0, 2000 - count(*) filter (members >= 5 and has_f)) as missing, count(*) filter (members < 5) as gaps from o""")
+def coverage_totals(spark, sf_dir):
+    """F17, A6, A7, A9, D4."""
+    o = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("members"), F.bool_or(F.col("o_orderstatus") == "F").alias("has_f"))
+    usable = F.count_if((F.col("members") >= 5) & F.col("has_f"))
+    return o.agg(usable.alias("usable"), F.count("*").alias("matching"), F.greatest(F.lit(0).cast("long"), 2000 - usable).alias("missing"), F.count_if(F.col("members") < 5).alias("gaps"))
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, case when bool_and(l_discount > 0) then 'complete' when bool_or(l_discount > 0) then 'partial' else 'failed' end as status from lineitem group by all")
+def status_histogram(spark, sf_dir):
+    """A10, A12."""
+    ok = F.col("l_discount") > 0
+    status = F.when(F.bool_and(ok), "complete").when(F.bool_or(ok), "partial").otherwise("failed")
+    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), status.alias("status"))
+
+
+@query("select o_orderpriority, o_orderstatus, count(*) as n, case when grouping(o_orderstatus) = 1 then count(*) else 0 end as level from orders group by rollup(o_orderpriority, o_orderstatus)")
+def rollup_counts(spark, sf_dir):
+    """An extension: totals by group and in all."""
+    return _table(spark, sf_dir, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.when(F.grouping("o_orderstatus") == 1, F.count("*")).otherwise(F.lit(0)).cast("long").alias("level"))
+
+
+def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one signal to a user: axis in seconds, no errors, quality 0."""
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / 1e6
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("signal_id"), F.col("event_id").alias("pos"), seconds.alias("axis"), "value", F.lit(None).cast("double").alias("error"), F.lit(0).alias("quality"))
+
+
+_E = "ev as (select user_id as signal_id, event_id as pos, (epoch_us(ts) - 1704067200000000) / 1e6 as axis, value from events)"
+
+
+@query(f"""with {_E}, m as (select *, median(value) over (partition by signal_id) as med from ev)
+select signal_id, count(*) as n, round(any_value(med), 6) as median, round(1.4826 * median(abs(value - med)), 6) as mad, round(stddev_pop(value), 6) as sd from m group by signal_id""")
+def signal_robust_stats(spark, sf_dir):
+    """A13, F18."""
+    s = signals.robust_stats(signals.usable_samples(samples_of(spark, sf_dir)))
+    return s.select("signal_id", "n", *(F.round(c, 6).alias(c) for c in ("median", "mad", "sd")))
+
+
+@query(f"""with {_E}, c as (select *, avg(value) over (partition by signal_id) as mu from ev), m as (select signal_id, avg(power(value - mu, 2)) as m2, avg(power(value - mu, 3)) as m3, avg(power(value - mu, 4)) as m4 from c group by signal_id)
+select signal_id, round(m3 / power(m2, 1.5), 6) as skew, round(m4 / (m2 * m2) - 3, 6) as kurtosis from m""")
+def signal_moments(spark, sf_dir):
+    """A14."""
+    return signals.moments(samples_of(spark, sf_dir)).select("signal_id", F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"))
+
+
+@query(f"with {_E} select signal_id, " + ", ".join(f"round(quantile_cont(value, {q}), 6) as q{round(q * 100):02d}" for q in (0.05, 0.25, 0.75, 0.95)) + " from ev group by signal_id")
+def signal_quantiles(spark, sf_dir):
+    """A15."""
+    s = signals.quantiles(samples_of(spark, sf_dir))
+    return s.select("signal_id", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+@query(f"with {_E} select signal_id, round(regr_slope(value, axis) * (max(axis) - min(axis)), 4) as slope from ev group by signal_id")
+def signal_slope(spark, sf_dir):
+    """A16."""
+    return signals.weighted_slope(samples_of(spark, sf_dir)).select("signal_id", F.round("slope", 4).alias("slope"))
+
+
+@query(f"""with {_E}, a as (select *, (axis - min(axis) over w) / (max(axis) over w - min(axis) over w) as x from ev window w as (partition by signal_id)),
+b as (select signal_id, least(floor(x * 32), 31)::bigint as bin, median(value) as m from a group by all),
+g as (select signal_id, bin from (select distinct signal_id from b), (select unnest(range(32)) as bin)),
+f as (select g.signal_id, g.bin, m from g left join b using (signal_id, bin)),
+n as (select *, last_value(case when m is not null then bin end ignore nulls) over p as lb, last_value(m ignore nulls) over p as lm, first_value(case when m is not null then bin end ignore nulls) over q as rb, first_value(m ignore nulls) over q as rm from f
+window p as (partition by signal_id order by bin rows between unbounded preceding and current row), q as (partition by signal_id order by bin rows between current row and unbounded following))
+select signal_id, bin, round(case when lb is null then rm when rb is null or lb = bin then lm else lm + (rm - lm) * (bin - lb) / (rb - lb) end, 6) as value from n""")
+def signal_bins(spark, sf_dir):
+    """A17, W8."""
+    return signals.shape_bins(samples_of(spark, sf_dir)).select("signal_id", "bin", F.round("value", 6).alias("value"))
+
+
+@query(f"with {_E}, l as (select signal_id, value, " + ", ".join(f"lead(value, {k}) over w as l{k}" for k in (1, 2, 4, 8)) + " from ev window w as (partition by signal_id order by axis, pos)) select signal_id, " + ", ".join(f"round(coalesce(corr(value, l{k}), 0), 6) as lag{k}" for k in (1, 2, 4, 8)) + " from l group by signal_id")
+def signal_autocorrelation(spark, sf_dir):
+    """A18, W3."""
+    s = signals.autocorrelation(samples_of(spark, sf_dir))
+    return s.select("signal_id", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+@query(f"""with {_E}, d as (select signal_id, abs((value - lag(value) over w) / greatest(axis - lag(axis) over w, 2.220446049250313e-16)) as d from ev window w as (partition by signal_id order by axis, pos))
+select signal_id, round(median(d), 8) as derivative from d where d is not null group by signal_id""")
+def signal_derivative(spark, sf_dir):
+    """A19, W3."""
+    return signals.median_derivative(samples_of(spark, sf_dir)).select("signal_id", F.round("derivative", 8).alias("derivative"))
+
+
+@query()
+def signal_vectors(spark, sf_dir):
+    """Tests hold the vectors against NumPy."""
+    return signals.represent(samples_of(spark, sf_dir)).select("signal_id", "good_fraction", F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
+
+
+@query(f"""with {_E}, z as (select *, min(axis) over (partition by signal_id) as t0 from ev), p as (select *, ((axis - t0) / 86400) % 1 as f from z)
+select signal_id, pos, round(case when f > 0.5 then f - 1 else f end, 6) + 0 as phase from p""")
+def phase_fold(spark, sf_dir):
+    """C11, W9."""
+    s = samples_of(spark, sf_dir)
+    t0 = F.min("axis").over(Window.partitionBy("signal_id"))
+    return s.select("signal_id", "pos", F.round(exprs.phase(F.col("axis"), t0, 86400), 6).alias("phase"))
+
+
+@query(f"with {_E} select signal_id, pos, round(value / median(value) over (partition by signal_id), 6) as value from ev")
+def normalized_flux(spark, sf_dir):
+    """C13, N5."""
+    return samples_of(spark, sf_dir).select("signal_id", "pos", F.round(F.try_divide(F.col("value"), F.median("value").over(Window.partitionBy("signal_id"))), 6).alias("value"))
+
+
+_QUERY_VECTORS = 20
+_DIST = "greatest(0, least(2, 1 - list_dot_product(q.e, r.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(r.e, r.e)))))"
+_PAIRS = f"""with v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select q.vec_id as query_id, r.vec_id, {_DIST} as d from v q join v r on r.label = q.label and r.vec_id >= {_QUERY_VECTORS} where q.vec_id < {_QUERY_VECTORS})"""
+
+
+def _reference_pairs(spark, sf_dir):
+    """A bounded set of observed vectors with all references of their modality."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    observed = e.where(F.col("vec_id") < _QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"))  # _QUERY_VECTORS rows
+    return e.where(F.col("vec_id") >= _QUERY_VECTORS).join(F.broadcast(observed), "label").withColumn("d", exprs.cosine_distance(F.col("q"), F.col("e")))
+
+
+@query(f"{_PAIRS} select query_id, round(min(d), 6) as nearest, count(*) as comparable from p group by query_id")
+def cosine_nearest(spark, sf_dir):
+    """J4, C9, A21."""
+    return _reference_pairs(spark, sf_dir).groupBy("query_id").agg(F.round(F.min("d"), 6).alias("nearest"), F.count("*").alias("comparable"))
+
+
+@query(f"""{_PAIRS}, s as (select query_id, count(*) filter (vec_id % 11 = 0 and d <= 0.9) as supported, count(*) filter (vec_id % 11 = 0) as candidates, count(*) as comparable, min(d) as nearest from p group by query_id)
+select query_id, case when supported = 1 then 'matched' when supported > 1 then 'ambiguous' when candidates > 0 then 'position_only_review' when comparable = 0 then 'insufficient_reference_coverage' when nearest >= 0.45 then 'novelty_review_candidate' else 'unmatched' end as status from s""")
+def triage(spark, sf_dir):
+    """Every eleventh reference counts as near."""
+    p = _reference_pairs(spark, sf_dir).groupBy("query_id").agg(F.count_if((F.col("vec_id") % 11 == 0) & (F.col("d") <= 0.9)).alias("supported"), F.count_if(F.col("vec_id") % 11 == 0).alias("candidates"), F.count("*").alias("comparable"), F.min("d").alias("nearest"))
+    return p.select("query_id", exprs.triage_status(F.col("supported"), F.col("candidates"), F.col("comparable"), F.col("nearest"), F.lit(1.0)).alias("status"))
+
+
+@query(f"with {_S} select catalog, round((degrees(atan2(avg(sin(radians(ra))), avg(cos(radians(ra))))) + 360) % 360, 6) as ra, round(avg(dec), 6) as dec from src group by catalog")
+def circular_center(spark, sf_dir):
+    """A22."""
+    r = F.radians("ra")
+    return sources_of(spark, sf_dir).groupBy("catalog").agg(F.round(F.pmod(F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r)))), F.lit(360.0)), 6).alias("ra"), F.round(F.avg("dec"), 6).alias("dec"))
+
+
+@query(f"with {_S} select source_id, round((((ra - 0.3 + 180) % 360 + 360) % 360 - 180) * cos(radians(10.1)) * 3600, 4) + 0 as east, round((dec - 10.1) * 3600, 4) + 0 as north from src")
+def tangent_offsets(spark, sf_dir):
+    """C12."""
+    east, north = exprs.tangent_offsets(F.col("ra"), F.col("dec"), F.lit(0.3), F.lit(10.1))
+    return sources_of(spark, sf_dir).select("source_id", F.round(east, 4).alias("east"), F.round(north, 4).alias("north"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey > 100 order by o_orderkey limit 250")
+def keyset_page(spark, sf_dir):
+    """A page of the keyset scan."""
+    return _table(spark, sf_dir, "orders").where("o_orderkey > 100").orderBy("o_orderkey").limit(250).select("o_orderkey", "o_totalprice")
+
+
+@query("select c_custkey, c_acctbal > 5000 as reused from customer order by reused desc, c_custkey limit 100")
+def count_limited(spark, sf_dir):
+    """A request's count, reused objects first."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 5000).alias("reused")).orderBy(F.desc("reused"), "c_custkey").limit(100)
+
+
+@query("select c_custkey, ((c_acctbal::bigint * 7) % 360 + 360) % 360 as ra, case when abs(c_acctbal) / 100 <= 90 then 'valid' else 'quarantined' end as status from customer")
+def coordinate_check(spark, sf_dir):
+    """C4, F14, P2."""
+    c = _table(spark, sf_dir, "customer").withColumns({"raw": F.bround("c_acctbal").cast("long") * 7, "dec": F.abs("c_acctbal") / 100})
+    ok = exprs.valid_position(F.col("raw").cast("double"), F.col("dec"))
+    return c.select("c_custkey", F.pmod("raw", F.lit(360)).cast("long").alias("ra"), F.when(ok, "valid").otherwise("quarantined").alias("status"))
+
+
+@query("select p_partkey, field, value from (select p_partkey, unnest(['size', 'price']) as field, unnest([p_size::double, p_retailprice]) as value from part) where value between -100 and 1200")
+def measurement_unpivot(spark, sf_dir):
+    """P8, P9."""
+    p = _table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.explode(F.array(F.struct(F.lit("size").alias("field"), F.col("p_size").cast("double").alias("value")), F.struct(F.lit("price").alias("field"), F.col("p_retailprice").alias("value")))).alias("m")).select("p_partkey", "m.field", "m.value").where("value between -100 and 1200")
+
+
+@query("select sha256('[\"' || c_mktsegment || '\", \"' || c_custkey || '\"]')[1:32] as object_id, c_custkey, 'customer:' || replace(replace(c_name, ' ', '%20'), '#', '%23') as entity from customer")
+def stable_ids(spark, sf_dir):
+    """C14-C16."""
+    return _table(spark, sf_dir, "customer").select(exprs.object_id(F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("object_id"), "c_custkey", exprs.entity_id("customer", F.col("c_name")).alias("entity"))
+
+
+@query("""select 'host:' || n_nationkey as from_id, 'region:' || n_regionkey as to_id, 'part_of' as relation from nation
+union all select 'planet:' || s_suppkey, 'host:' || s_nationkey, 'orbits' from supplier""")
+def relationship_edges(spark, sf_dir):
+    """G2, A25, P12."""
+    at = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
+    hosts = _table(spark, sf_dir, "nation").select(at("host", "n_nationkey").alias("from_id"), at("region", "n_regionkey").alias("to_id"), F.lit("part_of").alias("relation"))
+    return hosts.unionByName(_table(spark, sf_dir, "supplier").select(at("planet", "s_suppkey").alias("from_id"), at("host", "s_nationkey").alias("to_id"), F.lit("orbits").alias("relation")))
+
+
+@query("select time_bucket(interval 1 day, ts) as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def tumbling_windows(spark, sf_dir):
+    """An extension: daily windows of a stream's rows."""
+    w = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+@query("select user_id, event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 86400000000 preceding and current row) as n from events")
+def sliding_counts(spark, sf_dir):
+    """Requests within the window before each."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(us).rangeBetween(-86400000000, 0)
+    return _table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"))
