@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from orrery.llm.common import text_batches
 
@@ -194,7 +195,7 @@ def decode(encoded: DataFrame, file: str = "byte_bpe_50k.json") -> DataFrame:
             out = [bpe.decode(i) if i else "" for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, "decoded"])
 
-    return encoded.mapInArrow(texts, encoded.schema.add("decoded", "string"))
+    return encoded.mapInArrow(texts, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip_digests(docs: DataFrame, file: str = "byte_bpe_50k.json") -> DataFrame:
