@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NEVER = F.lit(False)
-
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
@@ -16,7 +14,7 @@ def _c(x) -> Column:
 
 def finite(x: Column) -> Column:
     """Whether x is a number, neither NaN nor infinite; false for null."""
-    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), _NEVER)
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 
 def finite_or_null(x: Column) -> Column:
@@ -31,7 +29,7 @@ def normalized_ra(ra: Column) -> Column:
 def valid_position(ra: Column, dec: Column, epoch: Column | None = None) -> Column:
     """Finite coordinates with a declination within 90 degrees and, if there is one, an epoch of 1800 to 2200."""
     ok = finite(ra) & finite(dec) & (F.abs(dec) <= 90)
-    return ok if epoch is None else ok & (epoch.isNull() | F.coalesce(epoch.between(1800, 2200), _NEVER))
+    return ok if epoch is None else ok & (epoch.isNull() | F.coalesce(epoch.between(1800, 2200), F.lit(False)))
 
 
 def angular_separation(ra1, dec1, ra2, dec2) -> Column:
@@ -77,14 +75,16 @@ def year_of(x: Column) -> Column:
     return F.coalesce(x.try_cast("double"), F.year(F.try_to_timestamp(x)).cast("double"))
 
 
-#: Canonical object types by what catalogs call them.
+# Canonical object types and what catalogs call them.
 OBJECT_TYPES = {
-    "star": ("star", "*", "stellar"),
-    "galaxy": ("galaxy", "g", "gal"),
-    "quasar": ("quasar", "qso", "agn"),
-    "nebula": ("nebula", "pn", "snr"),
-    "star_cluster": ("cluster", "star cluster", "star_cluster", "opc", "glc"),
+    "star": ("*", "star"),
+    "galaxy": ("g", "galaxy"),
+    "quasar": ("qso", "quasar"),
+    "nebula": ("neb", "nebula"),
+    "star_cluster": ("cl*", "star cluster", "star_cluster"),
 }
+# Text in a host, and the archive that it belongs to.
+ARCHIVES = {"esa.int": "gaia", "stsci.edu": "mast", "irsa.ipac": "irsa", "sdss.org": "sdss", "heasarc": "heasarc", "simbad": "simbad", "exoplanetarchive": "exoplanet", "ned.ipac": "ned", "vizier": "vizier"}
 
 
 def canonical_type(x: Column) -> Column:
@@ -104,13 +104,14 @@ def inside_polygon(ra: Column, dec: Column, vertices: list[tuple[float, float]])
         x1, x2 = shifted(ra1), shifted(ra2)
         at = x1 + F.try_divide((dec - dec1) * (x2 - x1), F.lit(dec2 - dec1))
         crossed = crossed + F.when(((F.lit(dec1) > dec) != (F.lit(dec2) > dec)) & (at > 0), 1).otherwise(0)
-    return F.coalesce(crossed % 2 == 1, _NEVER)
+    return F.coalesce(crossed % 2 == 1, F.lit(False))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine of two arrays of doubles, within 0 and 2; null for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1.0 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))))
+    distance = 1.0 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when(distance.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance)))  # greatest skips nulls
 
 
 def proper_motion(pm_ra: Column, pm_dec: Column) -> Column:
@@ -154,15 +155,15 @@ def collapsed(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), r"\s+", " ")
 
 
-def provider_of(url: Column, hosts: dict[str, str]) -> Column:
+def provider_of(url: Column, hosts: dict[str, str] = ARCHIVES) -> Column:
     """The archive that a URL's host belongs to: the first whose text the host holds, else the host."""
     host = F.lower(F.parse_url(url, F.lit("HOST")))
-    return reduce(lambda out, kv: F.when(host.contains(kv[0]), F.lit(kv[1])).otherwise(out), reversed(hosts.items()), host)
+    return reduce(lambda out, kv: F.when(host.contains(kv[0]), F.lit(kv[1])).otherwise(out), reversed(list(hosts.items())), host)
 
 
 def present_text(x: Column) -> Column:
     """Whether a text is there (F16); an empty one is not."""
-    return F.coalesce(x != "", _NEVER)
+    return F.coalesce(x != "", F.lit(False))
 
 
 def triage_status(supported: Column, candidates: Column, comparable: Column, nearest: Column, good_fraction: Column, anomaly: float = 0.45) -> Column:

@@ -99,19 +99,25 @@ def median_derivative(samples: DataFrame) -> DataFrame:
     return steps.groupBy("signal_id").agg(F.median("d").alias("derivative"))
 
 
+def logarithmic_axis(samples: DataFrame) -> DataFrame:
+    """Spectra with the logarithm of their axis, where it is positive throughout."""
+    positive = F.min("axis").over(Window.partitionBy("signal_id")) > 0
+    return samples.withColumn("axis", F.when(positive, F.log("axis")).otherwise(F.col("axis")))
+
+
 def represent(samples: DataFrame) -> DataFrame:
     """The unit vector of each prepared signal: 12 statistics, shape bins, lag correlations."""
     good = prepared(samples)
     scale = robust_stats(good).select("signal_id", "median", "scale").where("scale > 0")
     z = good.join(scale, "signal_id").withColumn("value", (F.col("value") - F.col("median")) / F.col("scale"))
     weight = F.when(F.col("error").isNotNull(), 1 / (F.col("error") * F.col("error"))).otherwise(1.0)
-    basic = z.groupBy("signal_id").agg(F.first("good_fraction").alias("good_fraction"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg(F.when(F.abs("value") > 3, 1.0).otherwise(0.0)).alias("outliers"))
+    basic = z.groupBy("signal_id").agg(F.first("good_fraction").alias("good_fraction"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     parts = [moments(z), quantiles(z), weighted_slope(z, weight), median_derivative(z), autocorrelation(z)]
     bins = shape_bins(z).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda b: b["value"]).alias("bins"))
     joined = basic
     for part in [*parts, bins]:
         joined = joined.join(part, "signal_id")
-    stats = ["sd", "lo", "hi", "outliers", "skew", "kurtosis", "q05", "q25", "q75", "q95", "slope", "derivative"]
+    stats = ["mean", "sd", "lo", "hi", "q05", "q25", "q75", "q95", "skew", "kurtosis", "derivative", "slope"]
     raw = F.transform(F.concat(F.array(*stats), "bins", F.array(*(f"lag{k}" for k in LAGS))), lambda x: F.when(exprs.finite(x), x).otherwise(0.0))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return joined.select("signal_id", "good_fraction", F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))

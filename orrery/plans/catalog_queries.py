@@ -6,13 +6,16 @@ suppliers, on a lattice of one arc second. Radii end in .5 so that no pair lies
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs
-from orrery.operators import catalogs, signals, spatial
+from orrery.operators import catalogs, search, signals, spatial, store
+from orrery.sources import exports
+from orrery.streaming import quota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -516,3 +519,36 @@ def sliding_counts(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("user_id").orderBy(us).rangeBetween(-86400000000, 0)
     return _table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"))
+
+
+def _requests(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query()
+def quota_sliding(spark, sf_dir):
+    """ST3: of each type's events, which a quota of 20 an hour lets pass; tests hold it against the definition."""
+    return quota.quota_table(_requests(spark, sf_dir), 20, 3600)
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    """ST2: the breaker's state after each event, of which small values fail."""
+    return quota.breaker_states(_requests(spark, sf_dir).select("key", "id", (F.unix_micros("ts") / 1e6).alias("seconds"), (F.col("value") > 400).alias("ok")))
+
+
+@query("""select n_nationkey, n_name, n_regionkey from nation""")
+def export_roundtrip(spark, sf_dir):
+    """A dataset written with its manifest and read back."""
+    path = f"{store.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    exports.materialize(_table(spark, sf_dir, "nation"), path, "csv")
+    return exports.read_back(spark, path)
+
+
+@query(f"""{_matches(20.5)}, k as (select *, {_score('separation', 'error')} as confidence from m)
+select target_id, source_id, round(confidence, 6) as confidence from (select *, row_number() over (partition by target_id, catalog order by separation, source_id) as n from k where confidence >= 0.5 and separation >= 3.5 and parallax > 0 and 1000 / parallax <= 100) where n <= 2""")
+def search_request(spark, sf_dir):
+    """The whole search for all targets."""
+    request = search.Search(radius_arcsec=20.5, min_radius_arcsec=3.5, mode="shell", min_confidence=0.5, max_results=2, max_distance_pc=100.0)
+    found = search.crossmatch(targets_of(spark, sf_dir), sources_of(spark, sf_dir).withColumnRenamed("error", "error_arcsec"), request)
+    return found.select("target_id", "source_id", F.round("confidence", 6).alias("confidence"))
