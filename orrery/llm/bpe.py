@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from orrery.llm.common import text_batches
+from orrery.llm.common import bounded_batches, text_batches
 
 LEAF = 1 << 14
 FIRST_WINDOW = 64
@@ -176,6 +176,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file
     A null text counts as empty and has no ids; rows that repeat an id or a text each give a row; other
     columns are ignored. The special string in a text becomes its special token, as in the file's library.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.char_length("text") > 2 * leaf
     short = docs.where(~long).mapInArrow(lambda b: _encode_short(b, file), "doc_id long, ids array<int>")
@@ -185,6 +186,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file
     return short.unionByName(joined)
 
 
+#: Rows that are turned into Python lists at a time.
+ROWS = 64
+
+
 def decode(encoded: DataFrame, file: str = "byte_bpe_50k.json") -> DataFrame:
     """encoded with the text of its column ids added as decoded; null ids give an empty text."""
     names = encoded.columns
@@ -192,20 +197,26 @@ def decode(encoded: DataFrame, file: str = "byte_bpe_50k.json") -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(file)
         for batch in batches:
-            out = [bpe.decode(i) if i else "" for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                out = [bpe.decode(i.as_py() or []) for i in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*names, "decoded"])
 
     return encoded.mapInArrow(texts, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip_digests(docs: DataFrame, file: str = "byte_bpe_50k.json") -> DataFrame:
-    """For each document the number of its ids and digests of them and of the text that they decode to."""
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    """For each document the number of its ids and digests of them and of the text that they decode to, row by row."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(file)
         for batch in batches:
-            rows = [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(batch.column("ids").to_pylist(), batch.column("decoded").to_pylist(), strict=True)]
-            n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decode(encode(docs, file=file), file).mapInArrow(digests, out)
+            n, told, text = [], [], []
+            for row in batch.column("ids"):
+                ids = row.as_py()
+                n.append(len(ids))
+                told.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, file=file).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
