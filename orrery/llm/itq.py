@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import components, cut
+from orrery.llm.common import bounded_batches, components, cut
 from orrery.llm.vectors import cosines, matrix, sample, unit, usable
 
 #: Rows that rotations are learnt on, and the pairs at the threshold that calibrate the number of tables.
@@ -93,28 +93,33 @@ def fit_codes(x: np.ndarray, rows: int, threshold: float, recall: float = RECALL
             return Codes(mean, projection[:, : tables * bits], bits)
 
 
-def _met(t: pa.Table, threshold: float) -> pa.Table:
-    """Links of one block pair of a bucket: for each node how many vectors it links to, and its least node here."""
-    i, j, table = (t.column(c)[0].as_py() for c in ("i", "j", "table"))
-    t = t.sort_by("node")
-    block, node, count = (t.column(c).to_numpy() for c in ("block", "node", "count"))
-    v = matrix(t.column("v").combine_chunks())
-    earlier = np.array(t.column("earlier").to_pylist(), np.int64).reshape(len(node), -1)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    u = unit(v)
-    near = u[left] @ u[right].T >= threshold - 1e-9
-    if i == j:
-        near = np.triu(near, 1)
-    x, y = np.nonzero(near)
-    x, y = left[x], right[y]
-    if table:  # a pair that met in an earlier table was counted there
-        new = ~(earlier[x] == earlier[y]).any(axis=1)
-        x, y = x[new], y[new]
-    sure = cosines(v[x], v[y]) >= threshold
-    x, y = x[sure], y[sure]
-    links = np.bincount(x, count[y], len(node)) + np.bincount(y, count[x], len(node))
-    least = np.arange(len(node))
-    while True:  # least node reachable here
+#: Rows of a bucket up to which its pairs are listed with those of all buckets of its size; larger ones are multiplied.
+FEW = 12
+_COLUMNS = ("bucket", "label", "table", "i", "j", "block", "node", "count")
+
+
+def _linked_pairs(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows those of one label and two blocks that meet, that met in no earlier table and are near enough."""
+    first = np.minimum(c["block"][x], c["block"][y]) == c["i"][x]
+    last = np.maximum(c["block"][x], c["block"][y]) == c["j"][x]
+    x, y = (z[first & last & (c["label"][x] == c["label"][y])] for z in (x, y))
+    before = np.arange(c["keys"].shape[1]) < c["table"][x][:, None]
+    new = ~((c["keys"][x] == c["keys"][y]) & before).any(axis=1)
+    x, y = x[new], y[new]
+    sure = cosines(c["v"][x], c["v"][y]) >= threshold
+    return x[sure], y[sure]
+
+
+def _bucket(c: dict[str, np.ndarray], at: int, to: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, links and least node of the local component, for the rows of one large bucket that link."""
+    u = unit(c["v"][at:to])
+    x, y = np.nonzero(np.triu(u @ u.T >= threshold - 1e-9, 1))
+    x, y = _linked_pairs(c, x + at, y + at, threshold)
+    x, y = x - at, y - at
+    node, count, n = c["node"][at:to], c["count"][at:to], to - at
+    links = np.bincount(x, count[y], n) + np.bincount(y, count[x], n)
+    least = np.arange(n)  # rows are in the order of nodes
+    while True:
         now = least.copy()
         np.minimum.at(now, x, least[y])
         np.minimum.at(now, y, least[x])
@@ -123,7 +128,42 @@ def _met(t: pa.Table, threshold: float) -> pa.Table:
             break
         least = now
     some = links > 0
-    return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": node[least[some]]})
+    return node[some], links[some].astype(np.int64), node[least[some]]
+
+
+def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and node to node, links and root: what each bucket's blocks give, bucket by bucket."""
+
+    def out(node, links, root):
+        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (node, links, root)], ["node", "links", "root"])
+
+    def solved(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.diff(c["bucket"])) + 1
+        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(c["bucket"])]])
+        size = end - begin
+        for n in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            at = begin[size == n][:, None]
+            x, y = _linked_pairs(c, (at + i).ravel(), (at + j).ravel(), threshold)
+            if len(x):
+                least = np.minimum(c["node"][x], c["node"][y])
+                yield out(np.concatenate([c["node"][x], c["node"][y]]), np.concatenate([c["count"][y], c["count"][x]]), np.concatenate([least, least]))
+        for at, to in zip(begin[size > FEW].tolist(), end[size > FEW].tolist(), strict=True):
+            yield out(*_bucket(c, at, to, threshold))
+
+    carry: dict[str, np.ndarray] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = {k: b.column(k).to_numpy() for k in _COLUMNS} | {"v": matrix(b.column("v")), "keys": b.column("keys").flatten().to_numpy().reshape(b.num_rows, -1)}
+        if carry:
+            c = {k: np.concatenate([carry[k], v]) for k, v in c.items()}
+        last = int(np.searchsorted(c["bucket"], c["bucket"][-1]))  # the last bucket may go on
+        carry = {k: v[last:] for k, v in c.items()}
+        if last:
+            yield from solved({k: v[:last] for k, v in c.items()})
+    if carry:
+        yield from solved(carry)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
@@ -134,6 +174,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nothing. A row that repeats an id is a vector of its own: it links with the other rows like any. Other
     columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     good = usable(rows.where("label is not null and vec_id is not null"), "v").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(vectors.schema[vector_col].dataType.elementType)))
     good = cut(good, "vectors")
@@ -154,8 +195,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     places = at.join(crowded, ["label", "table", "key"])
     met = places.join(coded.select("node", "label", "count", "v", "keys"), ["node", "label"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("label", "table", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "count", "v", F.slice("keys", F.lit(1), F.col("table")).alias("earlier"))
-    links = cut(met.groupBy("label", "table", "key", "i", "j").applyInArrow(lambda t: _met(t, threshold), "node long, links long, root long"), "links")
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).withColumn("bucket", F.xxhash64("label", "table", "key", "i", "j"))
+    met = met.select("bucket", F.xxhash64("label").alias("label"), "table", "i", "j", "block", "node", "count", "v", "keys")
+    links = cut(met.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda b: _met(b, threshold), "node long, links long, root long"), "links")
 
     of_node = links.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(links.selectExpr("node as a", "root as b"))
