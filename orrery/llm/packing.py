@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, text_batches
+from orrery.llm.common import bounded_batches, cut, text_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -98,6 +98,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text is the end_id alone. Only documents longer than the capacity are cut, into pieces
     of it; the last may be shorter. Rows that repeat an id each give their pieces; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return docs.mapInArrow(lambda b: _pieces(b, file, capacity, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

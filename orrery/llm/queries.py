@@ -44,7 +44,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(_table(spark, sf_dir, "pages"))
+    return url_filter.judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 #: A conversation whose texts look like the template's own marks.
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_archives": op10_warc_archives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_ledger": secret_ledger.report_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_secret_ledger": secret_ledger.report_sql(), "op8_url_language_models": url_filter.judged_sql()}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, shingle_sets, text_batches
+from orrery.llm.common import bounded_batches, cut, shingle_sets, text_batches
 
 #: Labelled rows that the models are fitted on, at most; the first in the order of a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -187,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     docs: doc_id, text; labels: doc_id, toxic. Rows without a label or an id don't take part. Without any
     training row the model rests on the general lexicon alone.
     """
+    bounded_batches(docs.sparkSession)
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

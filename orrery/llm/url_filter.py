@@ -148,3 +148,35 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     limit = threshold(by_url.select("score", (F.col("r.verdict") == "allow").alias("accepted")))
     told = F.coalesce(F.col("r.verdict"), F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return rows.join(by_url, ["host", "path"], "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), told.alias("verdict"), "score", F.lit(limit).alias("threshold"))
+
+
+def judged_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same in DuckDB's SQL, without score and threshold."""
+    ordered = sorted(rules, key=lambda r: -len(r.name))
+    fits = [f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')" for r in ordered]
+    name = "case " + " ".join(f"when {f} then '{r.name}'" for r, f in zip(ordered, fits, strict=True)) + " end"
+    verdict = "case " + " ".join(f"when {f} then '{r.verdict}'" for r, f in zip(ordered, fits, strict=True)) + " end"
+    kept = _KEPT.replace("-", "")
+    levels, before = [], {k: f"{1.0 / ALPHABET!r}::double" for k in "ar"}
+    source = "seen"
+    for o in range(ORDER + 1):
+        s, c = f"substring(gram, {ORDER + 1 - o}, {o + 1})", f"substring(gram, {ORDER + 1 - o}, {o})"
+        levels.append(f"l{o} as (select *, {s} as s{o}, {c} as c{o}, " + ", ".join(f"sum({k}) over (partition by {s}) as n{k}{o}, sum({k}) over (partition by {c}) as m{k}{o}" for k in "ar") + f" from {source})")
+        levels.append(f"d{o} as (select *, " + ", ".join(f"count(distinct case when n{k}{o} > 0 then s{o} end) over (partition by c{o}) as d{k}{o}" for k in "ar") + f" from l{o})")
+        levels.append(f"p{o} as (select *, " + ", ".join(f"case when m{k}{o} + d{k}{o} > 0 then (n{k}{o} + d{k}{o} * {before[k]}) / (m{k}{o} + d{k}{o})::double else {before[k]} end as p{k}{o}" for k in "ar") + f" from d{o})")
+        before, source = {k: f"p{k}{o}" for k in "ar"}, f"p{o}"
+    return f"""
+with rows as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') as host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+texts as (select distinct host, path, {name} as rule, {verdict} as told from rows),
+plain as (select *, repeat('^', {ORDER}) || regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^{kept}-]', '~', 'g') || '^' as t from texts),
+grams as (select host, path, told, substring(t, unnest(range(1, length(t) - {ORDER} + 1)), {ORDER + 1}) as gram from plain),
+seen as (select gram, count(*) filter (told = 'allow') as a, count(*) filter (told = 'block') as r from grams group by gram),
+{", ".join(levels)},
+scores as (select host, path, avg(ln({before['a']}) - ln({before['r']})) as score from grams join {source} using (gram) group by host, path),
+bins as (select told, floor(least(greatest((score + {SPAN}::double) / {2 * SPAN}::double, 0), 1) * {BINS}) as bin from scores join texts using (host, path) where told is not null),
+edges as (select edge, (select count(*) from bins where told = 'allow' and bin < edge) / nullif((select count(*) from bins where told = 'allow'), 0)::double
+    + (select count(*) from bins where told = 'block' and bin >= edge) / nullif((select count(*) from bins where told = 'block'), 0)::double as error from range({BINS + 1}) e(edge)),
+threshold as (select coalesce((select edge / {BINS}::double * {2 * SPAN}::double - {SPAN}::double from edges where error is not null order by error, abs(edge - {BINS / 2}::double), edge limit 1), 0) as bar)
+select page_id, host, path, rule, coalesce(told, case when score >= bar then 'allow' else 'block' end) as verdict
+from rows join texts using (host, path) left join scores using (host, path), threshold"""
