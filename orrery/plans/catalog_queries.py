@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs
-from orrery.operators import catalogs, search, signals, spatial, store
-from orrery.sources import exports
+from orrery.operators import catalogs, fulfilment, planets, products, search, signals, spatial, store
+from orrery.sources import exports, registry
 from orrery.streaming import quota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,3 +552,56 @@ def search_request(spark, sf_dir):
     request = search.Search(radius_arcsec=20.5, min_radius_arcsec=3.5, mode="shell", min_confidence=0.5, max_results=2, max_distance_pc=100.0)
     found = search.crossmatch(targets_of(spark, sf_dir), sources_of(spark, sf_dir).withColumnRenamed("error", "error_arcsec"), request)
     return found.select("target_id", "source_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""select n_name as host, count(*) as planet_count, array_to_string(list_sort(list(s_name)), ',') as planets, case when n_nationkey % 3 = 0 then 'matched' else 'unavailable' end as status, 'host:' || replace(n_name, ' ', '%20') as id
+from supplier join nation on n_nationkey = s_nationkey group by all""")
+def system_grouping(spark, sf_dir):
+    """Suppliers as planets of their nations."""
+    nation = _table(spark, sf_dir, "nation")
+    p = _table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_name").alias("host"))  # 25 rows
+    hosts = nation.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("host"), F.lit("matched").alias("status"), F.col("n_nationkey").alias("oid"))
+    found = planets.systems(p, hosts)
+    return found.select("host", "planet_count", F.array_join("planets", ",").alias("planets"), "status", "id")
+
+
+@query("""with f as (select *, 'u' || (l_partkey % 500) as uri, row_number() over (partition by l_partkey % 500 order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as n from lineitem where l_partkey % 500 <> 0),
+o as (select o_orderkey, o_orderstatus from orders) select uri as data_uri, l_orderkey as parent, o_orderstatus as observation from f left join o on o_orderkey = l_orderkey where n = 1""")
+def product_listing(spark, sf_dir):
+    """The first product of each URI with its observation."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    files = _table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 500 != 0, F.concat(F.lit("u"), F.col("l_partkey") % 500)).alias("data_uri"), F.lit(None).cast("string").alias("filename"), F.lit(None).cast("int").alias("sequence_number"), F.col("l_orderkey").alias("parent_obsid"), order.alias("arrival"))
+    observations = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obsid"), F.col("o_orderstatus").alias("obs_id"), F.lit(None).cast("int").alias("sequence_number"))
+    return products.listed(files, observations).select("data_uri", F.col("parent_obsid").alias("parent"), F.col("mast_obs_id").alias("observation"))
+
+
+@query(f"""with {_S}, c as (select *, 'o' || (source_id % 400) as object_id, case when balance > 0 then balance end as mass, case when nation > 4 then parallax end as plx from src where catalog in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')),
+o as (select object_id, count(*) as members, arg_min(mass, (catalog, source_id)) filter (mass is not null) as mass, arg_min(plx, (catalog, source_id)) filter (plx is not null) as plx from c group by object_id)
+select object_id, members, array_to_string(list_filter([case when mass is null then 'mass' end, case when plx is null then 'plx' end], lambda x: x is not null), ',') as missing, mass is not null and plx is not null and members >= 2 as usable from o where plx is null or plx >= 20""")
+def coverage_objects(spark, sf_dir):
+    """Which stored objects a request can use, and what others lack."""
+    s = sources_of(spark, sf_dir).withColumns({"object_id": F.concat(F.lit("o"), F.col("source_id") % 400), "mass": F.when(F.col("balance") > 0, F.col("balance")), "plx": F.when(F.col("nation") > 4, F.col("parallax"))})
+    request = fulfilment.Request(100, catalogs=("BUILDING", "MACHINERY", "AUTOMOBILE"), fields=("mass",), filters=(("min_plx", 20),), members=2)
+    return fulfilment.coverage(s, request).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("select 'sdss' as catalog, 'sdss' as provider, 'optical' as wavelength union all select 'panstarrs_dr2', 'mast', 'optical'")
+def catalog_plan(spark, sf_dir):
+    """The catalogs that a request reads."""
+    request = search.Search(catalogs=("sdss", "panstarrs_dr2", "gaia_dr3", "first"), profiles=("extragalactic",))
+    return request.plan(registry.registry(spark)).where("wavelength = 'optical'").select("catalog", "provider", "wavelength")
+
+
+@query(f"""with {_S} select source_id, 'https://ned.ipac.caltech.edu/byname?objname=' || source_id as ned, 'https://mast.stsci.edu/portal/Mashup/Clients/Mast/Portal.html?searchQuery=' || nation || '%20' || (nation + 1) as mast from src""")
+def outbound_links(spark, sf_dir):
+    """P5."""
+    s = sources_of(spark, sf_dir)
+    found = registry.links(F.lit("ned"), F.col("source_id").cast("string"), F.col("nation"), F.col("nation") + 1, F.lit("mast"))
+    return s.select("source_id", found["NED"].alias("ned"), found["MAST"].alias("mast"))
+
+
+@query("select 'planet:' || replace(replace(p_name, ' ', '%20'), '#', '%23') as id, p_name || ' orbits ' || p_brand || '. Size: ' || case when p_size > 40 then 'at most ' else '' end || p_size || '.0 cm.' as text from part")
+def planet_texts(spark, sf_dir):
+    """P9, P10, C16."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("host"), F.col("p_size").alias("size"), F.when(F.col("p_size") > 40, 1).alias("sizelim"))
+    return p.select(exprs.entity_id("planet", F.col("name")).alias("id"), planets.described(F.col("name"), F.col("host"), planets.measurements(p, {"size": ("Size", "cm")})).alias("text"))
