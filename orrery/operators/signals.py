@@ -106,21 +106,29 @@ def logarithmic_axis(samples: DataFrame) -> DataFrame:
 
 
 def represent(samples: DataFrame) -> DataFrame:
-    """The unit vector of each prepared signal: 12 statistics, shape bins, lag correlations."""
+    """The unit vector of each prepared signal: 12 statistics, shape bins, lag correlations.
+
+    All statistics come from one aggregate over samples that hold their neighbours, the bins from another.
+    """
     good = prepared(samples)
     scale = robust_stats(good).select("signal_id", "median", "scale").where("scale > 0")
     z = good.join(scale, "signal_id").withColumn("value", (F.col("value") - F.col("median")) / F.col("scale"))
-    weight = F.when(F.col("error").isNotNull(), 1 / (F.col("error") * F.col("error"))).otherwise(1.0)
-    basic = z.groupBy("signal_id").agg(F.first("good_fraction").alias("good_fraction"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    parts = [moments(z), quantiles(z), weighted_slope(z, weight), median_derivative(z), autocorrelation(z)]
+    w = F.when(F.col("error").isNotNull(), 1 / (F.col("error") * F.col("error"))).otherwise(1.0)
+    x, v = F.col("axis"), F.col("value")
+    near = z.withColumns({f"l{k}": F.lead("value", k).over(in_order()) for k in LAGS} | {"d": F.abs((v - F.lag("value").over(in_order())) / F.greatest(x - F.lag("axis").over(in_order()), F.lit(2.220446049250313e-16)))})
+    corr = lambda k: F.coalesce(F.nanvl(F.corr(F.when(F.col(f"l{k}").isNotNull(), v), f"l{k}"), F.lit(0.0)), F.lit(0.0)).alias(f"lag{k}")
+    stats = near.groupBy("signal_id").agg(
+        F.first("good_fraction").alias("good_fraction"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, [0.05, 0.25, 0.75, 0.95]).alias("q"),
+        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.median("d").alias("derivative"), (F.max(x) - F.min(x)).alias("span"),
+        F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * v).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * v).alias("wxy"), *(corr(k) for k in LAGS),
+    )
+    slope = F.try_divide(F.col("wxy") - F.col("wx") * F.col("wy") / F.col("w"), F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w")) * F.col("span")
     bins = shape_bins(z).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda b: b["value"]).alias("bins"))
-    joined = basic
-    for part in [*parts, bins]:
-        joined = joined.join(part, "signal_id")
-    stats = ["mean", "sd", "lo", "hi", "q05", "q25", "q75", "q95", "skew", "kurtosis", "derivative", "slope"]
-    raw = F.transform(F.concat(F.array(*stats), "bins", F.array(*(f"lag{k}" for k in LAGS))), lambda x: F.when(exprs.finite(x), x).otherwise(0.0))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return joined.select("signal_id", "good_fraction", F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
+    told = F.concat(F.array("mean", "sd", "lo", "hi"), F.col("q"), F.array(F.col("skew"), F.col("kurtosis"), F.col("derivative"), slope), "bins", F.array(*(f"lag{k}" for k in LAGS)))
+    raw = F.transform(told, lambda y: F.when(exprs.finite(y), y).otherwise(0.0))
+    with_raw = stats.join(bins, "signal_id").select("signal_id", "good_fraction", raw.alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, y: acc + y * y))
+    return with_raw.select("signal_id", "good_fraction", F.transform("raw", lambda y: F.when(norm > 0, y / norm).otherwise(0.0)).alias("vector"))
 
 
 def cross_reference(vectors: DataFrame, references: DataFrame, radius_arcsec: float = 2.0, support: float = 0.25, anomaly: float = 0.45) -> DataFrame:
