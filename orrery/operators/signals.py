@@ -5,10 +5,17 @@ Every statistic is an aggregate or a window by signal_id; one shuffle by signal_
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs
+from orrery.operators import store
 
 SHAPE_BINS = 32
 LAGS = (1, 2, 4, 8)
@@ -131,16 +138,115 @@ def represent(samples: DataFrame) -> DataFrame:
     return with_raw.select("signal_id", "good_fraction", F.transform("raw", lambda y: F.when(norm > 0, y / norm).otherwise(0.0)).alias("vector"))
 
 
-def cross_reference(vectors: DataFrame, references: DataFrame, radius_arcsec: float = 2.0, support: float = 0.25, anomaly: float = 0.45) -> DataFrame:
+#: Values of the vectors that a block of signals holds, each block being sent to one pass over the references; pairs that a task compares at a time.
+BLOCK_VALUES, STEP_PAIRS = 1 << 19, 1 << 20
+
+
+def _by_length(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length; those that are null, empty or hold a null are in none."""
+    size, found = pc.list_value_length(lists), {}
+    for n in pc.unique(size.drop_null()).to_pylist():
+        rows = np.flatnonzero(pc.fill_null(pc.equal(size, n), False).to_numpy(zero_copy_only=False)) if n else np.empty(0, np.int64)
+        if len(rows):
+            flat = lists.take(pa.array(rows)).flatten()
+            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n).any(axis=1)
+            found[n] = rows[whole], flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)[whole]
+    return found
+
+
+def _distances(dot: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """exprs.cosine_distance from products and products of lengths; NaN stands for its null."""
+    with np.errstate(all="ignore"):
+        d = 1 - dot / norms
+    return np.where(norms == 0, np.nan, np.where(np.isnan(d), 2.0, np.clip(d, 0, 2)))
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.add.reduce(x * x, axis=-1))
+
+
+def _near(ra1, dec1, ra2, dec2, radius_arcsec: float) -> np.ndarray:
+    """Which pairs are at most the radius apart: products of directions leave few, haversines decide."""
+    (ra1, dec1), (ra2, dec2) = np.radians([ra1, dec1]), np.radians([ra2, dec2])
+    toward = lambda ra, dec: np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], axis=1)
+    near = toward(ra1, dec1) @ toward(ra2, dec2).T >= np.cos(np.radians(min(radius_arcsec / 3600, 180.0))) - 1e-13
+    i, j = np.nonzero(near)
+    a = np.sin((dec2[j] - dec1[i]) / 2) ** 2 + np.cos(dec1[i]) * np.cos(dec2[j]) * np.sin((ra2[j] - ra1[i]) / 2) ** 2
+    near[i, j] = np.degrees(2 * np.arcsin(np.sqrt(np.minimum(1, a)))) * 3600 <= radius_arcsec
+    return near
+
+
+def _rows_of(values: list) -> dict:
+    """Rows of each value but null."""
+    found = defaultdict(list)
+    for i, x in enumerate(values):
+        if x is not None:
+            found[x].append(i)
+    return {x: np.array(rows) for x, rows in found.items()}
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], block: pa.Table, radius_arcsec: float, support: float, but_own: bool) -> Iterator[pa.RecordBatch]:
+    """One task's references against a block of signals: a row for each signal that has a pair here."""
+    block = block.combine_chunks()
+    place = lambda t, rows, names: [t.column(c).to_numpy().astype(np.float64)[rows] for c in names]
+    column = lambda t, c: t.column(c).combine_chunks() if isinstance(t, pa.Table) else t.column(c)
+    kinds = {m: (q, _by_length(column(block, "vector").take(pa.array(q)))) for m, q in _rows_of(block.column("modality").to_pylist()).items()}
+    n, ids = block.num_rows, _rows_of(block.column("signal_id").to_pylist())
+    supported, candidates, comparable, pairs, nearest = *np.zeros((4, n), np.int64), np.full(n, np.nan)
+    step = max(1, STEP_PAIRS // max(1, n))
+    for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+        for m, r in _rows_of(part.column("modality").to_pylist()).items():
+            if m not in kinds:
+                continue
+            q, lists = kinds[m]
+            other = np.ones((len(q), len(r)), bool)
+            if but_own:
+                for j, x in enumerate(part.column("catalog_id").take(pa.array(r)).to_pylist()):
+                    if x in ids:
+                        other[np.isin(q, ids[x]), j] = False
+            near = other & _near(*place(block, q, ("ra", "dec")), *place(part, r, ("r_ra", "r_dec")), radius_arcsec)
+            candidates[q] += near.sum(axis=1)
+            pairs[q] += other.sum(axis=1)
+            for size, (at, y) in _by_length(part.column("r_vector").take(pa.array(r))).items():
+                if size not in lists:
+                    continue
+                own, x = lists[size]
+                lx, ly = _lengths(x), _lengths(y)
+                d = np.where(other[np.ix_(own, at)], _distances(x @ y.T, lx[:, None] * ly), np.nan)
+                there = ~np.isnan(d)
+                comparable[q[own]] += there.sum(axis=1)
+                # what is told and compared with a bound is summed row by row: it doesn't depend on a row's place
+                exact = lambda i, j: _distances(np.add.reduce(x[i] * y[j], axis=-1), lx[i] * ly[j])  # noqa: B023, E731
+                i, j = np.nonzero(near[np.ix_(own, at)] & there)
+                supported += np.bincount(q[own[i[exact(i, j) <= support]]], minlength=n)
+                some = np.flatnonzero(there.any(axis=1))
+                nearest[q[own[some]]] = np.fmin(nearest[q[own[some]]], exact(some, np.nanargmin(d[some], axis=1))) if len(some) else nearest[q[own[some]]]
+    some = np.flatnonzero(pairs)
+    told = [pa.array(x[some]) for x in (supported, candidates, comparable)]
+    yield pa.RecordBatch.from_arrays([*(column(block, c).take(pa.array(some)) for c in ("signal_id", "good_fraction")), *told, pa.array(nearest[some], from_pandas=True)], ["signal_id", "good_fraction", "supported", "candidates", "comparable", "nearest"])
+
+
+def cross_reference(vectors: DataFrame, references: DataFrame, radius_arcsec: float = 2.0, support: float = 0.25, anomaly: float = 0.45, but_own: bool = False) -> DataFrame:
     """Each signal's status against references.
 
     vectors: signal_id, ra, dec, good_fraction, vector, modality; references: catalog_id, ra, dec, modality,
-    vector or null. References without a vector count as candidates by position only.
+    vector or null. References without a vector count as candidates by position only. With but_own, references
+    whose catalog_id is the signal's own id are left out.
+
+    Signals are counted and go in blocks, each sent to one pass over the references, which are neither moved
+    nor paired: a task gives at most one row for each signal of a block.
     """
-    r = references.select("catalog_id", F.col("ra").alias("r_ra"), F.col("dec").alias("r_dec"), "modality", F.col("vector").alias("r_vector"))
-    pairs = vectors.join(r, "modality", "left")
-    sep = exprs.angular_separation(F.col("ra"), F.col("dec"), F.col("r_ra"), F.col("r_dec"))
-    pairs = pairs.withColumn("near", F.coalesce(sep <= radius_arcsec, F.lit(False))).withColumn("distance", exprs.cosine_distance(F.col("vector"), F.col("r_vector")))
-    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    sums = pairs.groupBy("signal_id", "good_fraction").agg(one(F.col("near") & (F.col("distance") <= support)).alias("supported"), one(F.col("near")).alias("candidates"), F.count("distance").alias("comparable"), F.min("distance").alias("nearest"))
+    v = vectors.select("signal_id", F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), F.col("good_fraction").cast("double").alias("good_fraction"), F.col("vector").cast("array<double>").alias("vector"), "modality")
+    r = references.select("catalog_id", F.col("ra").cast("double").alias("r_ra"), F.col("dec").cast("double").alias("r_dec"), "modality", F.col("vector").cast("array<double>").alias("r_vector"))
+    values = v.agg(F.sum(F.greatest(F.size("vector"), F.lit(1)))).first()[0] or 0
+    blocks = max(1, -(-values // BLOCK_VALUES))
+    schema = f"signal_id {v.schema['signal_id'].dataType.simpleString()}, good_fraction double, supported long, candidates long, comparable long, nearest double"
+    sums = v.selectExpr("signal_id", "good_fraction", "0L as supported", "0L as candidates", "0L as comparable", "cast(null as double) as nearest")
+    if blocks > 1:
+        v = store.cut(v.withColumn("block", F.monotonically_increasing_id() % blocks), "signals")
+    for k in range(blocks):
+        block = v.where(F.col("block") == k).drop("block").toArrow() if blocks > 1 else v.toArrow()  # BLOCK_VALUES values or so
+        found = r.mapInArrow(lambda b, block=block: _crossed(b, block, radius_arcsec, support, but_own), schema)
+        sums = sums.unionByName(store.cut(found, "crossed") if blocks > 1 else found)
+    sums = sums.groupBy("signal_id", "good_fraction").agg(*(F.sum(c).alias(c) for c in ("supported", "candidates", "comparable")), F.min("nearest").alias("nearest"))
     return sums.withColumn("status", exprs.triage_status(F.col("supported"), F.col("candidates"), F.col("comparable"), F.col("nearest"), F.col("good_fraction"), anomaly))

@@ -429,25 +429,37 @@ _DIST = "greatest(0, least(2, 1 - list_dot_product(q.e, r.e) / (sqrt(list_dot_pr
 _PAIRS = f"""with v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select q.vec_id as query_id, r.vec_id, {_DIST} as d from v q join v r on r.label = q.label and r.vec_id >= {_QUERY_VECTORS} where q.vec_id < {_QUERY_VECTORS})"""
 
 
-def _reference_pairs(spark, sf_dir):
-    """A bounded set of observed vectors with all references of their modality."""
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    observed = e.where(F.col("vec_id") < _QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"))  # _QUERY_VECTORS rows
-    return e.where(F.col("vec_id") >= _QUERY_VECTORS).join(F.broadcast(observed), "label").withColumn("d", exprs.cosine_distance(F.col("q"), F.col("e")))
+def _as_signals(spark, sf_dir, observed: str, references: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings for which observed holds as signals, those for which references holds as references of their label; every eleventh reference lies near all signals."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("modality"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(0.0).alias("ra"))
+    apart = F.when(F.col("vec_id") % 11 == 0, 0.0).otherwise(1.0)
+    return e.where(observed).select(F.col("vec_id").alias("signal_id"), "ra", F.lit(0.0).alias("dec"), F.lit(1.0).alias("good_fraction"), "vector", "modality"), e.where(references).select(F.col("vec_id").alias("catalog_id"), "ra", apart.alias("dec"), "modality", "vector")
+
+
+def _reference_status(spark, sf_dir) -> DataFrame:
+    """The bounded set of observed vectors that the SQL names, against the references that it names."""
+    found = signals.cross_reference(*_as_signals(spark, sf_dir, f"vec_id < {_QUERY_VECTORS}", f"vec_id >= {_QUERY_VECTORS}"), support=0.9)
+    return found.where("comparable > 0").withColumnRenamed("signal_id", "query_id")
 
 
 @query(f"{_PAIRS} select query_id, round(min(d), 6) as nearest, count(*) as comparable from p group by query_id")
 def cosine_nearest(spark, sf_dir):
     """J4, C9, A21."""
-    return _reference_pairs(spark, sf_dir).groupBy("query_id").agg(F.round(F.min("d"), 6).alias("nearest"), F.count("*").alias("comparable"))
+    return _reference_status(spark, sf_dir).select("query_id", F.round("nearest", 6).alias("nearest"), "comparable")
 
 
 @query(f"""{_PAIRS}, s as (select query_id, count(*) filter (vec_id % 11 = 0 and d <= 0.9) as supported, count(*) filter (vec_id % 11 = 0) as candidates, count(*) as comparable, min(d) as nearest from p group by query_id)
 select query_id, case when supported = 1 then 'matched' when supported > 1 then 'ambiguous' when candidates > 0 then 'position_only_review' when comparable = 0 then 'insufficient_reference_coverage' when nearest >= 0.45 then 'novelty_review_candidate' else 'unmatched' end as status from s""")
 def triage(spark, sf_dir):
     """Every eleventh reference counts as near."""
-    p = _reference_pairs(spark, sf_dir).groupBy("query_id").agg(F.count_if((F.col("vec_id") % 11 == 0) & (F.col("d") <= 0.9)).alias("supported"), F.count_if(F.col("vec_id") % 11 == 0).alias("candidates"), F.count("*").alias("comparable"), F.min("d").alias("nearest"))
-    return p.select("query_id", exprs.triage_status(F.col("supported"), F.col("candidates"), F.col("comparable"), F.col("nearest"), F.lit(1.0)).alias("status"))
+    return _reference_status(spark, sf_dir).select("query_id", "status")
+
+
+@query()
+def cross_reference(spark, sf_dir):
+    """Every vector whose id 100 divides against all others of its label; tests hold it against brute force."""
+    found = signals.cross_reference(*_as_signals(spark, sf_dir, "vec_id % 100 = 0", "true"), support=0.9, but_own=True)
+    return found.select(F.col("signal_id").alias("query_id"), F.round("nearest", 6).alias("nearest"), "supported", "candidates", "comparable", "status")
 
 
 @query(f"with {_S} select catalog, round((degrees(atan2(avg(sin(radians(ra))), avg(cos(radians(ra))))) + 360) % 360, 6) as ra, round(avg(dec), 6) as dec from src group by catalog")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import catalogs, signals, spatial
 from orrery.operators.search import Search, crossmatch, records
+from orrery.plans import catalog_queries
 from orrery.sources import exports, tables
 from orrery.sources.catalogs import json_records, normalized, resolved, to_sources
 from orrery.streaming import quota
@@ -108,6 +109,32 @@ def test_cross_reference(spark):
     assert {x.signal_id: x.status for x in signals.cross_reference(v, r).collect()} == {"a": "matched", "b": "novelty_review_candidate", "c": "insufficient_reference_coverage"}
 
 
+def test_cross_reference_query_searches_all_rows(spark, sf, monkeypatch):
+    """Every hundredth vector, small ids among the references, in one block and in several."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    unit = {r.vec_id: np.array(r.embedding, np.float64) / np.linalg.norm(np.array(r.embedding, np.float64)) for r in rows}
+    expected = {}
+    for q in rows:
+        if q.vec_id % 100 == 0:
+            d = {r.vec_id: 1 - unit[q.vec_id] @ unit[r.vec_id] for r in rows if r.label == q.label and r.vec_id != q.vec_id}
+            near = [x for i, x in d.items() if i % 11 == 0]
+            expected[q.vec_id] = (round(min(d.values()), 6), sum(x <= 0.9 for x in near), len(near), len(d))
+    assert len(expected) == len([r for r in rows if r.vec_id % 100 == 0]) > 1
+    for values in (signals.BLOCK_VALUES, 64):
+        monkeypatch.setattr(signals, "BLOCK_VALUES", values)
+        got = {r.query_id: (r.nearest, r.supported, r.candidates, r.comparable) for r in catalog_queries.QUERIES["cross_reference"](spark, sf).collect()}
+        assert got.keys() == expected.keys() and all(np.allclose(got[i], expected[i], atol=2e-6) for i in got)
+
+
+def test_cross_reference_of_odd_vectors(spark):
+    """Null, zero, short and null-holding vectors are compared with nothing but count by position."""
+    v = spark.createDataFrame([("a", 1.0, 1.0, 1.0, [1.0, 0.0], "x"), ("b", 1.0, 1.0, 1.0, None, "x"), ("c", None, 1.0, 1.0, [0.0, 0.0], "x"), ("d", 1.0, 1.0, 1.0, [1.0], None)], "signal_id string, ra double, dec double, good_fraction double, vector array<double>, modality string")
+    r = spark.createDataFrame([("a", 1.0, 1.0, "x", [1.0, 0.0]), ("r", 1.0, 1.0, "x", [1.0, None]), ("s", 1.0, 1.0, "x", [1.0, 0.1, 0.0]), ("t", 9.0, 1.0, "x", [0.0, 2.0])], "catalog_id string, ra double, dec double, modality string, vector array<double>")
+    told = lambda df: {x.signal_id: (x.supported, x.candidates, x.comparable, x.nearest) for x in df.collect()}
+    assert told(signals.cross_reference(v, r)) == {"a": (1, 3, 2, 0.0), "b": (0, 3, 0, None), "c": (0, 0, 0, None), "d": (0, 0, 0, None)}
+    assert told(signals.cross_reference(v, r, but_own=True)) == {"a": (0, 2, 1, 1.0), "b": (0, 3, 0, None), "c": (0, 0, 0, None), "d": (0, 0, 0, None)}
+
+
 def test_aliases_and_positions(spark):
     df = spark.createDataFrame([(" 10.5 ", "20", "x1", None, 1), ("nan", "20", "x2", "3", 2), ("-10", "95", None, "3", 3), ("370", "1", None, "bad", 4)], "RAJ2000 string, DEJ2000 string, designation string, plx_value string, other int")
     assert normalized(df).columns == ["ra", "dec", "source_id", "parallax", "other"]
