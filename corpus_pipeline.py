@@ -25,10 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked texts: that with the smallest doc_id; of rows that repeat it, one."""
-    found = jaccard_components(docs, words=SHINGLE_WORDS, percent=SIMILARITY).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each group of linked texts: that with the smallest doc_id, one without an id last; of rows that repeat an id and a text, one.
+
+    Rows are told apart by id and text, so texts that share an id, or have none, stand for themselves. A text
+    without words links with nothing.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = jaccard_components(keyed, "__key", words=SHINGLE_WORDS, percent=SIMILARITY).select(F.col("doc_id").alias("__key"), "component_id")
+    ranked = keyed.select("__key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key").alias("rank")).join(groups.distinct(), "__key")
+    chosen = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.__key")
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

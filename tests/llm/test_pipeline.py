@@ -48,3 +48,12 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, sf, stage):
     ids = sorted(str(r.doc_id) for r in out.collect())
     assert ids == (["1", "2", "None"] if stage == "near_duplicates" else ["1", "1", "2", "3", "None"])
     assert f(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_duplicates_keeps_every_unlinked_text(spark, sf):
+    """Texts without an id or with a repeated one are groups of their own, or copies of what they link with."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (None, b), (7, d), (8, e), (8, e), (8, ""), (8, None), (9, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOCS)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (None, c), (7, d), (8, e), (8, ""), (8, None), (9, ""), (None, "")])
