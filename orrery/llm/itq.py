@@ -37,11 +37,12 @@ BLOCK = 512
 
 @dataclass(frozen=True)
 class Codes:
-    """Mean, projections (one column a bit) and the bits of a table's substring."""
+    """Mean, projections (one column a bit), the bits of a table's substring and the share of calibration pairs that met."""
 
     mean: np.ndarray
     projection: np.ndarray
     bits: int
+    recall: float = 1.0
 
     @property
     def tables(self) -> int:
@@ -65,8 +66,17 @@ def learn_rotation(x: np.ndarray, bits: int, rng: np.random.Generator, rounds: i
     return w @ r
 
 
+def _met_share(codes: Codes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of pairs that meet in the first table, the first two and so on, MOST_TABLES at most."""
+    return np.maximum.accumulate((codes.keys(a) == codes.keys(b))[:, :MOST_TABLES], axis=1).mean(axis=0)
+
+
 def fit_codes(x: np.ndarray, rows: int, threshold: float, recall: float = RECALL, seed: int = 11) -> Codes:
-    """Codes for rows vectors in all, learnt on the sample x of unit vectors."""
+    """Codes for rows vectors in all, learnt on the sample x of unit vectors.
+
+    If MOST_TABLES tables don't reach the recall, substrings get shorter until they do: buckets are more
+    crowded then, but all that meets is compared. Raises ValueError if not even one bit is enough.
+    """
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
     bits = int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, rows))))))
@@ -79,18 +89,22 @@ def fit_codes(x: np.ndarray, rows: int, threshold: float, recall: float = RECALL
     noise = rng.standard_normal(a.shape)
     noise -= (noise * a).sum(axis=1, keepdims=True) * a
     b = threshold * a + math.sqrt(1 - threshold**2) * noise / np.maximum(np.sqrt((noise * noise).sum(axis=1, keepdims=True)), 1e-12) if dim > 1 else a
-    projection, missed = np.zeros((dim, 0)), np.ones(len(a), bool)
+    projection = np.zeros((dim, 0))
     while True:
         projection = np.hstack([projection, learn_rotation(x - mean, min(dim, len(x)), rng)])
         codes = Codes(mean, projection, bits)
         if not codes.tables:
             continue
-        equal = codes.keys(a) == codes.keys(b)
-        met = np.maximum.accumulate(equal, axis=1).mean(axis=0)
-        enough = np.flatnonzero(met >= recall)
-        if len(enough) or codes.tables >= MOST_TABLES:
-            tables = int(enough[0]) + 1 if len(enough) else MOST_TABLES
-            return Codes(mean, projection[:, : tables * bits], bits)
+        met = _met_share(codes, a, b)
+        if met[-1] >= recall or codes.tables >= MOST_TABLES:
+            break
+    while met[-1] < recall and codes.bits > 1:
+        codes = Codes(mean, projection[:, : MOST_TABLES * (codes.bits - 1)], codes.bits - 1)
+        met = _met_share(codes, a, b)
+    if met[-1] < recall:
+        raise ValueError(f"{codes.tables} tables of one bit reach a recall of {met[-1]:.3f} for {recall}")
+    tables = int(np.argmax(met >= recall)) + 1
+    return Codes(mean, projection[:, : tables * codes.bits], codes.bits, float(met[tables - 1]))
 
 
 #: Rows of a bucket up to which its pairs are listed with those of all buckets of its size; larger ones are multiplied.

@@ -296,6 +296,23 @@ def test_embedding_near_duplicates(spark):
     assert itq.near_duplicates(vector_frame(spark, x[:0]).where("vec_id < 0")).collect() == []
 
 
+def test_itq_codes_reach_the_recall_of_vectors_with_a_common_direction():
+    """96 tables of 24 bits miss pairs here: substrings get shorter until the recall is reached, or it is said that it isn't."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 64))
+    x = x / np.linalg.norm(x, axis=1)[:, None] + np.eye(64)[0]  # a mean cosine of 0.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes = itq.fit_codes(x, 1 << 24, 0.93)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * noise / np.linalg.norm(noise, axis=1)[:, None]
+    met = (codes.keys(x) == codes.keys(y)).any(axis=1).mean()
+    assert codes.tables <= itq.MOST_TABLES and codes.recall >= itq.RECALL and met >= itq.RECALL - 0.015
+    with pytest.raises(ValueError):
+        itq.fit_codes(x, 1 << 24, 0.93, recall=1.01)
+
+
+
 # --- URLs ---
 
 
