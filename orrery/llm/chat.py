@@ -7,8 +7,10 @@ text replaced by two probes: what both outputs share before and after the probe
 mask is the spans of the assistant's texts.
 
 Rendering every prefix of n turns costs n renderings of up to n turns. Prefixes of long conversations are
-therefore rendered from a window of its last turns, WINDOW to twice as many; the whole conversation is
-rendered once at the end and must be all the spans put together, or the template rewrites history.
+therefore first rendered from a window of its last turns, WINDOW to twice as many; the whole conversation is
+rendered once at the end and must be all the spans put together. Where it is not, as with a template that
+numbers its turns, the conversation is rendered once more with true prefixes, and those alone decide whether
+the template rewrites history.
 """
 
 from __future__ import annotations
@@ -92,8 +94,18 @@ def _span(template: Template, before: list[Turn], turn: Turn, base: str) -> tupl
 def render(turns: list[Turn], template: Template = turn_template, window: int = WINDOW) -> Formatted:
     """Render turns and locate them; raises RewritesHistory for a template that changes what it has put out.
 
-    No turns give the template's output for none. Texts may hold anything, control strings included.
+    No turns give the template's output for none. Texts may hold anything, control strings included. The
+    window is a short cut only: where it fails, true prefixes are rendered.
     """
+    if len(turns) > 2 * window:
+        try:
+            return _rendered(turns, template, window)
+        except ValueError:
+            pass
+    return _rendered(turns, template, len(turns))
+
+
+def _rendered(turns: list[Turn], template: Template, window: int) -> Formatted:
     base = template([])
     parts, found, at = [base], [], len(base)
     before: list[Turn] = []
@@ -128,13 +140,13 @@ def parse(output: str) -> list[Turn]:
     return turns
 
 
-FORMATTED = "conv_id long, output string, turns array<struct<role:string,start:int,end:int,text_start:int,text_end:int>>"
+FORMATTED = "conv_id long, output string, turns array<struct<role:string,start:long,end:long,text_start:long,text_end:long>>"
 
 
 def _format(table: pa.Table, template: Template) -> pa.Table:
     rows = sorted(zip(table.column("turn").to_pylist(), table.column("role").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     done = render([(role, text) for _, role, text in rows], template)
-    kind = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int32()) for n in ("start", "end", "text_start", "text_end"))]))
+    kind = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int64()) for n in ("start", "end", "text_start", "text_end"))]))
     spans = [dict(zip(("role", "start", "end", "text_start", "text_end"), t, strict=True)) for t in done.turns]
     return pa.table([pa.array([table.column("conv_id")[0].as_py()], pa.int64()), pa.array([done.output], pa.string()), pa.array([spans], kind)], ["conv_id", "output", "turns"])
 

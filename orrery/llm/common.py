@@ -60,7 +60,7 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b) as (node, component), component being the smallest node.
 
     Alternates large-star and small-star rounds, each a partial aggregate and a join, until the edges
@@ -71,7 +71,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         "star",
     )
     seen = None
-    for _ in range(most_rounds):
+    while True:
         sym = now.selectExpr("hi as u", "lo as v").unionByName(now.selectExpr("lo as u", "hi as v"))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.where("v > u").join(least, "u").selectExpr("v as hi", "m as lo").where("hi <> lo").distinct()
@@ -82,8 +82,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components: no fixed point")
     return now.selectExpr("hi as node", "lo as component").unionByName(now.selectExpr("lo as node", "lo as component").distinct())
 
 

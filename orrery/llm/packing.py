@@ -3,13 +3,14 @@
 Bounded-space online best-fit: each task packs its pieces as they come into at most OPEN_BINS open bins,
 held in a bitset keyed by free space, so the bin with the least free space that still fits is its lowest
 set bit from the piece's length on. If none fits and all bins are open, the fullest closes first. What is
-in a task's open bins at its end is packed again, FAN_IN tasks' leftovers in one, longest first, until one
-task is left; that is at most OPEN_BINS sequences of each task.
+in a task's open bins at its end is packed again, FAN_IN tasks' leftovers in one, until one task is left. That
+is at most OPEN_BINS sequences of each task; they come longest first, and FAN_IN * OPEN_BINS bins may be open.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 import zlib
@@ -147,28 +148,40 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, capacity: int, open_bin
     """Each piece with its sequence and offset; open while its bin may still be packed better with other tasks' leftovers."""
     task = TaskContext.get().partitionId()
     base = (level << 56) | (task << 32)
-    bins = Bins(capacity, open_bins if level == 0 else 1 << 30)
+    bins = Bins(capacity, open_bins if level == 0 else FAN_IN * open_bins)
     waiting: dict[int, list[tuple]] = {}
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "task"]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_(), pa.int64()]
+    ids_type = pa.list_(pa.int32())
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        told = list(zip(*rows, strict=True))
+        columns = [pa.array(x, k) for x, k in zip(told[:5] + told[6:], kinds, strict=True)]
+        if told[5][0] is None:
+            return pa.RecordBatch.from_arrays(columns, names)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in told[5]])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(told[5]), pa.int32()), type=ids_type)], [*names, "ids"])
 
     def placed(rows) -> Iterator[pa.RecordBatch]:
         done = []
-        for doc, piece, start, length, crc in rows:
+        for *piece, length, crc, ids in rows:
             b, at = bins.place(length)
-            waiting.setdefault(b, []).append((doc, piece, start, length, crc, base + b, at))
+            waiting.setdefault(b, []).append((*piece, length, crc, ids, base + b, at))
             if bins.closed:
                 for c in bins.closed:
                     done += [(*r, False, task) for r in waiting.pop(c)]
                 bins.closed.clear()
+                if len(done) >= 512:
+                    yield out(done)
+                    done = []
         if done:
             yield out(done)
 
     def rows_of(batch: pa.RecordBatch) -> list[tuple]:
-        return list(zip(*(batch.column(n).to_pylist() for n in names[:5]), strict=True))
+        ids = [None] * batch.num_rows
+        if "ids" in batch.schema.names:  # copies, so that an open bin does not hold on to a whole batch
+            ids = [x.values.to_numpy().copy() for x in batch.column("ids")]
+        return list(zip(*(batch.column(n).to_pylist() for n in names[:5]), ids, strict=True))
 
     if level == 0:
         for batch in batches:
@@ -183,15 +196,18 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, capacity: int, open_bin
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) with a sequence_id and their offset in it, gapless from 0.
+    """Pieces (doc_id, piece, start, length, ids_crc32, and ids if there) with a sequence_id and their offset in it, gapless from 0.
 
-    No sequence is longer than capacity and no piece is cut. Which pieces share a sequence depends on how
+    A sequence's ids are those of its pieces by offset. No sequence is longer than capacity and no piece is cut. Which pieces share a sequence depends on how
     the input is split into tasks; every input row is in exactly one. An empty input gives no rows.
     """
-    now = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+    bounded_batches(pieces.sparkSession)
+    ids = ["ids"] * ("ids" in pieces.columns)
+    now = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", *ids), "pieces")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, task long" + ", ids array<int>" * len(ids)
     done = None
-    for level in range(8):
-        out = cut(now.mapInArrow(lambda b, level=level: _pack(b, level, capacity, open_bins), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, task long"), "packed")
+    for level in itertools.count():  # each level has a FAN_IN-th of the tasks
+        out = cut(now.mapInArrow(lambda b, level=level: _pack(b, level, capacity, open_bins), schema), "packed")
         last = level > 0 and out.select("task").distinct().limit(2).count() < 2
         part = out if last else out.where("not open")
         done = part if done is None else done.unionByName(part)

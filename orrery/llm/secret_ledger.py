@@ -11,6 +11,7 @@ add up to the offsets, so no match is searched for again.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,7 +44,11 @@ RULES = (
     Rule("hex", _HEX, 0, 24),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
 )
-RULE_VERSION = "2"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The version of a set of rules: a digest of all that they say, so other rules never find old findings."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def _spans(text: Column, order: int, rule: Rule) -> Column:
@@ -85,12 +90,13 @@ class Ledger:
         """One row for each blob that has findings: its spans, by start and then kind."""
         return self._read("findings", "blob binary, spans array<struct<start:long,end:long,kind_order:int,kind:string>>, rule_version string").where(F.col("rule_version") == version).select("blob", "spans")
 
-    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> None:
-        """Scan the texts of versions(blob, text) that this rule version has not seen; one text of each blob is read.
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan the texts of versions(blob, text) that this version of the rules has not seen; one text of each blob is read.
 
         Findings are written before the ledger says that a blob was scanned: a run that is lost between the
         two scans again and readers take one row of each blob.
         """
+        version = version_of(rules)
         unseen = versions.join(self.scanned(version), "blob", "left_anti")
         one = unseen.groupBy("blob").agg(F.first("text").alias("text"))
         spans = scan_blobs(one, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end"), F.col("kind_order"), "kind"))).alias("spans"))
@@ -105,23 +111,28 @@ def versions_of(docs: DataFrame, path_cols: list[str], text_col: str = "text") -
     return docs.select(*path_cols, F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
 
 
-def secret_spans(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+def secret_spans(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rounds: int = 1) -> DataFrame:
     """doc_id and spans (array of start, end, kind_order, kind) for each row of docs, after scanning what the ledger lacks.
 
     A null or empty text has no spans (an empty array); rows that repeat an id or a text each get a row;
     other columns are ignored. All matches of a rule count, leftmost first and not overlapping, and those
-    whose group is too short are dropped afterwards.
+    whose group is too short are dropped afterwards. With several rounds the rows arrive in as many parts, by
+    a hash of their ids, and each part's scan passes over the blobs that an earlier part brought.
     """
     versions = versions_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
-    ledger.scan(versions.select("blob", "text"), rules, version)
-    found = ledger.findings(version).groupBy("blob").agg(F.first("spans").alias("spans"))
+    for part in range(rounds):
+        ledger.scan(versions.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("blob", "text"), rules)
+    found = ledger.findings(version_of(rules)).groupBy("blob").agg(F.first("spans").alias("spans"))
     return versions.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", F.coalesce("spans", F.array()).alias("spans"))
 
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts by base kind, a digest of the base spans and all spans as text, for each document of docs; a ledger of its own."""
+    """Counts by base kind, a digest of the base spans and all spans as text, for each document of docs.
+
+    The ledger is its own and is filled in two rounds, so that the second goes by what the first has scanned.
+    """
     spark = docs.sparkSession
-    spans = secret_spans(docs, Ledger(spark, fresh_path(spark, "ledger")), rules=rules)
+    spans = secret_spans(docs, Ledger(spark, fresh_path(spark, "ledger")), rules=rules, rounds=2)
     base = [r.kind for r in rules if r.base]
     shown = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -133,24 +144,24 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
-def redacted(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span of its texts replaced by mark, overlapping spans by one; null texts stay null.
 
-    All columns of docs come back, in order. Documents are joined with their findings by blob, so rows that
-    repeat an id keep their own texts.
+    All columns of docs come back, in order; they are held in one struct, so none clashes with a helper's name.
+    Documents are joined with their findings by blob, so rows that repeat an id keep their own texts.
     """
-    versions = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    ledger.scan(versions.select(F.col("__blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    found = ledger.findings(RULE_VERSION).groupBy("blob").agg(F.first("spans").alias("spans"))
-    joined = versions.join(found.select(F.col("blob").alias("__found"), F.col("spans").alias("__spans")), F.col("__blob") == F.col("__found"), "left")
+    text = F.col("row").getField(text_col)
+    versions = docs.select(F.struct(*docs.columns).alias("row")).withColumn("blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+    ledger.scan(versions.select("blob", F.coalesce(text, F.lit("")).alias("text")), rules)
+    found = ledger.findings(version_of(rules)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    joined = versions.join(found, "blob", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    text = F.col(text_col)
     put = lambda acc, s: F.when(
         s["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at"))
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     finish = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.char_length(text)))
-    clean = F.when(F.col("__spans").isNull() | text.isNull(), text).otherwise(F.aggregate("__spans", start, put, finish))
-    return joined.select(*(clean.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    clean = F.when(F.col("spans").isNull() | text.isNull(), text).otherwise(F.aggregate("spans", start, put, finish))
+    return joined.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 # The same in DuckDB's SQL. RE2 finds the same leftmost matches of these patterns.

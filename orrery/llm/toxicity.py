@@ -7,7 +7,8 @@
 2. Label model. Votes are taken as noisy signs of an unseen label. Expectation-maximisation estimates the
    share of toxic texts and how often each voter fires on toxic and on clean ones, without labels; the
    correlation of two voters within the estimated classes lowers the weight of both, since voters that
-   agree because they look at the same thing count only once.
+   agree because they look at the same thing count only once. Correlations below 0.2, negative ones among
+   them, count as 0: by chance alone two rare voters may agree that much.
 3. Classifier. Logistic regression on which voters fire, trained on the label model's posterior labels.
 
 Everything is fitted on at most TRAIN_ROWS labelled training rows; scoring is one pass over all texts.
@@ -37,8 +38,7 @@ TRAIN_ROWS = 20_000
 FAMILY_WORDS = 3
 SMALL_HASHES = 8
 COMMON_HASHES = 3
-#: Stems mined as voters, at most, and the lengths of stems that are tried.
-MINED_VOTERS = 128
+#: The lengths of stems that are tried as voters.
 STEM_LENGTHS = range(4, 11)
 #: A mined stem is in so many toxic training texts at least, with such a log odds ratio and log-likelihood
 #: ratio (G squared) at least: what chance gives among a million stems.
@@ -184,19 +184,22 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit the voters, the label model and the classifier on labelled rows outside the held-out fold.
 
-    docs: doc_id, text; labels: doc_id, toxic. Rows without a label or an id don't take part. Without any
-    training row the model rests on the general lexicon alone.
+    docs: doc_id, text; labels: doc_id, toxic. Rows without a label or an id don't take part. Of labels that
+    contradict each other 1 counts, of texts that share an id the last in their order. Without any training
+    row the model rests on the general lexicon alone.
     """
     bounded_batches(docs.sparkSession)
-    ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch):
                 least = [(x[:SMALL_HASHES] >> np.uint64(1)).astype(np.int64) for x in shingle_sets(part.column("text"), FAMILY_WORDS)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "least"])
 
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "labelled")
     firsts = one_of_each_family({r["doc_id"]: r["least"] for r in texts.select("doc_id", "text").mapInArrow(smallest, "doc_id long, least array<long>").collect()})
     texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(firsts)], "doc_id long")), "doc_id", "left_semi")
 
@@ -222,9 +225,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         k, c = F.col("t"), F.col("n") - F.col("t")
         g2 = 2 * (part(k, F.col("n") * (t / n)) + part(c, F.col("n") * ((n - t) / n)))
         best = stats.where(k >= LEAST_TEXTS).withColumn("odds", odds).withColumn("g2", g2).where((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("g2") >= LEAST_G2))
-        for r in best.orderBy(F.desc("g2"), F.length("stem"), "stem").limit(50 * MINED_VOTERS).collect():
-            if len(mined) < MINED_VOTERS and not any(r["stem"].startswith(m) or m.startswith(r["stem"]) for m in (*mined, *LEXICON)):
-                mined.append(r["stem"])
+        # a stem that begins another's words, or is begun by it, says the same; the stronger one stays
+        taken, begun = set(LEXICON), {w[:k] for w in LEXICON for k in range(1, len(w) + 1)}
+        for r in best.orderBy(F.desc("g2"), F.length("stem"), "stem").collect():  # stems of train_rows texts, far beyond chance
+            stem = r["stem"]
+            heads = {stem[:k] for k in range(1, len(stem) + 1)}
+            if stem not in begun and not heads & taken:
+                mined.append(stem)
+                taken.add(stem)
+                begun |= heads
+
     def votes_of(batches: Iterator[pa.RecordBatch], voters: list[str]) -> Iterator[pa.RecordBatch]:
         stems = Stems(voters)
         place = {w: i for i, w in enumerate(voters)}
@@ -243,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     fired = Counter((v, r["toxic"]) for r in votes_with(voters) for v in r["votes"])
     voters = [w for i, w in enumerate(voters) if fired[i, 1] >= fired[i, 0]]
     rows = votes_with(voters)
-    votes = np.zeros((len(rows), len(voters) + 4))
+    votes = np.zeros((len(rows), len(voters) + 4), np.float32)
     for i, r in enumerate(rows):
         votes[i, r["votes"]] = 1
     sign = np.ones(votes.shape[1], bool)

@@ -82,6 +82,29 @@ def test_jaccard_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == [("5", 2, "5"), ("5", 2, "5"), ("None", 0, "None")]
 
 
+def test_jaccard_links_rows_without_an_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:-1], "other"])
+    far = " ".join(f"v{i}" for i in range(50))
+    df = frame(spark, [" ".join(base), near, near, far, far], [7, None, None, None, None])
+    rows = jaccard_components(df, words=1, percent=90).collect()
+    told = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows)
+    assert told == sorted([("7", 100, "7"), ("None", 100, "7"), ("None", 100, "7"), ("None", 50, "None"), ("None", 50, "None")])
+
+
+def test_jaccard_salts_a_crowded_pivot(spark, monkeypatch):
+    monkeypatch.setattr("orrery.llm.jaccard.SALT_PAIRS", 4)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for k in range(70):
+        w = list(base)
+        for at in rng.integers(0, 80, 2):
+            w[at] = f"z{k % 9}"
+        texts.append(" ".join(w))
+    assert jaccard_rows(frame(spark, texts), words=2, percent=90) == brute_components(list(enumerate(texts)), 2, 90)
+
+
 def test_boundary_follows_cost():
     assert light_boundary({n: 10 for n in range(1, 40)}, 90) >= 10
     assert light_boundary({25: 1000}, 90) < 25
@@ -164,6 +187,15 @@ def test_packing(spark, sf):
     assert packing.pack(packing.token_pieces(frame(spark, []), with_ids=False)).collect() == []
 
 
+def test_packed_sequences_hold_their_ids(spark, sf):
+    rows = texts_of(spark, sf)[:60] + [(10_003, "word " * 9000), (10_004, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, ids int").repartition(3)
+    bpe_ids = {i: [*packing.word_bpe("word_bpe_49k.json").encode(t or "").tolist(), 1] for i, t in rows}
+    packed = packing.pack(packing.token_pieces(docs), open_bins=4).collect()
+    assert all(r.ids == bpe_ids[r.doc_id][r.start : r.start + r.length] for r in packed)
+    assert sum(len(r.ids) for r in packed) == sum(map(len, bpe_ids.values()))
+
+
 def test_bins_take_the_tightest_and_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 5)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
@@ -200,7 +232,14 @@ def test_ledger_scans_a_blob_once(spark, tmp_path):
     for texts in (["token: abcdefg", "plain"], ["token: abcdefg", "secret: abcdefg", None]):
         spans = secret_ledger.secret_spans(frame(spark, texts), ledger).collect()
         assert [len(r.spans) for r in sorted(spans, key=lambda r: r.doc_id)] == [len(brute_spans(t)) for t in texts]
-    assert ledger.scanned(secret_ledger.RULE_VERSION).count() == ledger.scanned(secret_ledger.RULE_VERSION).distinct().count() == 4
+    assert ledger.scanned(secret_ledger.version_of(secret_ledger.RULES)).count() == ledger.scanned(secret_ledger.version_of(secret_ledger.RULES)).distinct().count() == 4
+
+
+def test_other_rules_find_no_old_findings(spark, tmp_path):
+    ledger, docs = secret_ledger.Ledger(spark, str(tmp_path / "ledger")), frame(spark, ["AKIA1 zz9"])
+    for pattern, n in (("AKIA", 1), ("z+", 1), ("q", 0)):
+        rules = (secret_ledger.Rule("x", pattern),)
+        assert [len(r.spans) for r in secret_ledger.secret_spans(docs, ledger, rules=rules).collect()] == [n]
 
 
 def test_redaction(spark, tmp_path):
@@ -369,6 +408,15 @@ def test_black_box_templates():
         chat.render(TALK, lambda turns: "".join(f"{r}{t}" for r, t in turns[-2:]))
 
 
+def test_templates_that_number_their_turns_are_rendered_from_true_prefixes():
+    numbered = lambda turns: "".join(f"[{k}:{r}]{t}\n" for k, (r, t) in enumerate(turns))
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(200)]
+    done = chat.render(turns, numbered)
+    assert [done.output[a:b] for _, _, _, a, b in done.turns] == [t for _, t in turns]
+    with pytest.raises(chat.RewritesHistory):
+        chat.render(turns, lambda turns: "".join(f"[{len(turns)}]{t}" for _, t in turns))
+
+
 def test_chat_table(spark):
     rows = [(c, k, r, t, "x") for c in (1, -7, None) for k, (r, t) in enumerate(TALK)] + [(2, 0, None, None, "x"), (2, 0, "assistant", "b", "x"), (2, 0, "assistant", "b", "x"), (2, None, "assistant", "last", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, output string")

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -28,14 +29,13 @@ def test_run_is_the_stages_by_brute_force(spark, sf):
     groups = brute_components(rows, 5, 80)
     rows = [(i, hidden(t)) for i, t in rows if groups[i][1] == i]
     bpe = packing.word_bpe("word_bpe_49k.json")
-    import numpy as np
-
     expected = []
     for i, t in rows:
         ids = np.append(bpe.encode(t or ""), 1).astype("<u4")
         expected += [(i, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted(tuple(r)[:5] for r in got) == sorted(expected)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
 
 
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES[:-1]])
@@ -57,3 +57,10 @@ def test_near_duplicates_keeps_every_unlinked_text(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOCS)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (None, c), (7, d), (8, e), (8, ""), (8, None), (9, ""), (None, "")])
+
+
+def test_stages_bear_columns_named_like_their_helpers(spark, sf):
+    docs = spark.createDataFrame([(1, "token: abcdefgh", "k", "b", ["s"], 3), (2, None, None, None, None, 4)], "doc_id long, text string, key string, blob string, spans array<string>, row long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and sorted(str(tuple(r)[2:]) for r in out.collect()) == sorted(str(tuple(r)[2:]) for r in docs.collect()), name
