@@ -27,14 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts: that with the smallest doc_id, one without an id last; of rows that repeat an id and a text, one.
 
-    Rows are told apart by id and text, so texts that share an id, or have none, stand for themselves. A text
-    without words links with nothing.
+    Rows are told apart by a digest of id and text, so texts that share an id, or have none, stand for
+    themselves. A text without words links with nothing. The columns are held in one struct meanwhile, so
+    none clashes with a helper's name; of rows that repeat an id and a text the least by its other columns stays.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    groups = jaccard_components(keyed, "__key", words=SHINGLE_WORDS, percent=SIMILARITY).select(F.col("doc_id").alias("__key"), "component_id")
-    ranked = keyed.select("__key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key").alias("rank")).join(groups.distinct(), "__key")
-    chosen = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.__key")
-    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    row = F.col("row")
+    told = F.to_json(F.struct(row.getField("doc_id").alias("doc_id"), row.getField("text").alias("text")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.unhex(F.sha2(told, 256)))
+    groups = jaccard_components(keyed.select("key", row.getField("text").alias("text")), "key", words=SHINGLE_WORDS, percent=SIMILARITY).select(F.col("doc_id").alias("key"), "component_id")
+    ranked = keyed.select("key", F.struct(row.getField("doc_id").isNull().alias("last"), row.getField("doc_id").alias("doc_id"), "key").alias("rank")).distinct().join(groups.distinct(), "key")
+    chosen = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.key")
+    return keyed.join(chosen, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select(*(row.getField(c).alias(c) for c in docs.columns))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' ids with their sequences and offsets."""
-    return packing.pack(packing.token_pieces(docs, with_ids=False))
+    """The pieces of the documents with their ids, sequences and offsets."""
+    return packing.pack(packing.token_pieces(docs))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", hide_secrets), ("packing", pack_sequences)]
