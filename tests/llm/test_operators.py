@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from orrery.llm import ann, bpe, chat, itq, packing, secret_ledger, toxicity, url_filter, warc
 from orrery.llm.common import components
@@ -453,3 +454,25 @@ def test_archives_least_bytes_and_none(spark, tmp_path):
     warc.write_archive(pages, str(tmp_path / "w"), least_bytes=2)
     assert {r.page_id: r.refers_to for r in warc.read_archive(spark, str(tmp_path / "w")).collect()} == {1: None, 2: None, 3: None, 4: 3}
     assert warc.written_and_read(pages.limit(0)).collect() == []
+
+
+def test_archives_are_the_same_in_every_run(spark, tmp_path):
+    """Many shards, hot payloads and repeated ids; neither the input's order nor the session's partitions show in the files."""
+    rows = [(k if k % 50 else (None if k % 100 else 7), f"u{k}", "same" if k % 3 == 0 else f"page {k} " * (k % 40)) for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name, df in (("a", pages.repartition(5)), ("b", pages.orderBy(F.desc("url")).repartition(3))):
+        spark.range(3).repartition(2).count()
+        warc.write_archive(df, str(tmp_path / name), shard_bytes=2000, roll_bytes=4000)
+    files = sorted(p.name for p in (tmp_path / "a").iterdir())
+    assert len(files) > 40 and files == sorted(p.name for p in (tmp_path / "b").iterdir())
+    assert all((tmp_path / "a" / f).read_bytes() == (tmp_path / "b" / f).read_bytes() for f in files)
+    got = warc.read_archive(spark, str(tmp_path / "a")).collect()
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u) for i, u, _ in rows)
+    least = {}
+    for i, _, h in rows:
+        least[h] = min(least.get(h, 1 << 60), 1 << 60 if i is None else i)
+    html = {u: h for _, u, h in rows}
+    assert all(r.refers_to == least[html[r.url]] or r.refers_to is None and least[html[r.url]] == 1 << 60 for r in got if r.record_type == "revisit")
+    assert sum(r.record_type == "response" for r in got) == len(least)
+    with pytest.raises(Exception, match="holds an archive"):
+        warc.write_archive(pages, str(tmp_path / "a"))
