@@ -1,14 +1,16 @@
 """URL filter by the ratio of two character language models, in DataFrame functions only.
 
-Rules decide the URLs that they fit, the longest rule first. Those URLs are also the examples: allowed ones
-train a model of accepted URLs, blocked ones a model of rejected ones. Both are variable-order Markov models
+Rules decide the URLs that they fit, the longest rule first. Those URLs are also the examples, each distinct one
+once: allowed ones train a model of accepted URLs, blocked ones a model of rejected ones. Both are variable-order Markov models
 of up to ORDER characters of context, smoothed by interpolation (Witten-Bell): what follows a context is
 estimated as far as the context was seen, the rest goes to the next shorter context, down to a uniform
-guess. A URL's score is its log likelihood as accepted less that as rejected, by character; it is allowed
-if that is at least a threshold, calibrated on the examples to the least balanced error.
+guess. A URL's score is the log likelihood of the whole URL as accepted less that as rejected, by character; it
+is allowed if that is at least a threshold, calibrated to the least balanced error on examples that a hash
+holds out of both models.
 
-Characters are mapped to a small alphabet, so the table of all character sequences has a size that no
-corpus exceeds (ALPHABET ** (ORDER + 1) rows) and may be broadcast.
+Characters are mapped to a small alphabet, so no table of character sequences exceeds ALPHABET ** (ORDER + 1)
+rows; those of contexts, ALPHABET ** ORDER at most, are broadcast, that of weights if a count shows it to be
+small. Counts of shorter sequences are sums over longer ones.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut
+from orrery.llm.common import cut, small_or_not
 
 #: Characters of context.
 ORDER = 3
@@ -29,6 +31,8 @@ ALPHABET = len(_KEPT) + 2
 #: Bins of the score in which the threshold is sought, from -SPAN to SPAN.
 BINS = 400
 SPAN = 4.0
+#: Examples are held out of the models, for the threshold, if the MD5 of their text begins with one of these.
+HELD_OUT = "012"
 
 
 @dataclass(frozen=True)
@@ -91,29 +95,27 @@ def gram_weights(examples: DataFrame) -> DataFrame:
 
     accepted is null for texts that are in neither model; their grams are weighed all the same.
     """
-    seen = _grams(examples).groupBy("gram").agg(F.count(F.when(F.col("accepted"), 1)).alias("a"), F.count(F.when(~F.col("accepted"), 1)).alias("r"))
-    probability = {k: F.lit(1.0 / ALPHABET) for k in "ar"}
-    table = seen
-    for order in range(ORDER + 1):  # from no context to the longest
-        suffix = F.substring("gram", ORDER + 1 - order, order + 1)
-        table = table.withColumn("__s", suffix).withColumn("__c", F.substring("__s", 1, order))
-        of_gram = Window.partitionBy("__s")
-        of_context = Window.partitionBy("__c")
-        for k in "ar":
-            table = table.withColumn(f"__n{k}", F.sum(k).over(of_gram))
-        first = F.row_number().over(Window.partitionBy("__s").orderBy("gram")) == 1
-        table = table.withColumn("__first", first)
-        for k in "ar":
-            table = table.withColumn(f"__m{k}", F.sum(k).over(of_context)).withColumn(f"__d{k}", F.sum(F.when(F.col("__first") & (F.col(f"__n{k}") > 0), 1).otherwise(0)).over(of_context))
-            total = F.col(f"__m{k}") + F.col(f"__d{k}")
-            table = table.withColumn(f"__p{k}{order}", F.when(total > 0, (F.col(f"__n{k}") + F.col(f"__d{k}") * probability[k]) / total).otherwise(probability[k]))
-            probability[k] = F.col(f"__p{k}{order}")
-    return table.select("gram", (F.log(probability["a"]) - F.log(probability["r"])).alias("weight"))
+    level = _grams(examples).groupBy("gram").agg(F.count(F.when(F.col("accepted"), 1)).alias("a"), F.count(F.when(~F.col("accepted"), 1)).alias("r"))
+    levels = [cut(level, "grams")]
+    for order in range(ORDER, 0, -1):  # counts by shorter and shorter suffixes
+        levels.insert(0, levels[0].groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
+    table = None
+    for order, level in enumerate(levels):
+        head = F.substring("gram", 1, order).alias("context")
+        kinds = [F.sum(k).alias(f"m{k}") for k in "ar"] + [F.count_if(F.col(k) > 0).alias(f"d{k}") for k in "ar"]
+        contexts = level.groupBy(head).agg(*kinds)  # ALPHABET ** order rows at most
+        now = level.withColumns({"context": F.substring("gram", 1, order), "shorter": F.substring("gram", 2, order)}).join(F.broadcast(contexts), "context")
+        if table is not None:
+            now = now.join(F.broadcast(table), "shorter")  # as many
+        shorter = {k: F.lit(1.0 / ALPHABET) if table is None else F.col(f"s{k}") for k in "ar"}
+        p = {k: F.when(F.col(f"m{k}") + F.col(f"d{k}") > 0, (F.col(k) + F.col(f"d{k}") * shorter[k]) / (F.col(f"m{k}") + F.col(f"d{k}"))).otherwise(shorter[k]) for k in "ar"}
+        table = now.select(F.col("gram").alias("shorter"), *(p[k].alias(f"s{k}") for k in "ar"))
+    return table.select(F.col("shorter").alias("gram"), (F.log("sa") - F.log("sr")).alias("weight"))
 
 
 def scored(texts: DataFrame, weights: DataFrame) -> DataFrame:
-    """texts(key, ..., text) to key and score, the mean weight of its grams; the table of weights is bounded and broadcast."""
-    return _grams(texts).join(F.broadcast(weights), "gram").groupBy("key").agg(F.avg("weight").alias("score"))
+    """texts(key, ..., text) to key and score, the mean weight of its grams."""
+    return _grams(texts).join(small_or_not(cut(weights, "weights")), "gram").groupBy("key").agg(F.avg("weight").alias("score"))
 
 
 def threshold(examples: DataFrame) -> float:
@@ -133,21 +135,22 @@ def threshold(examples: DataFrame) -> float:
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), score and threshold for each row of pages.
 
-    Each distinct host and path is scored once, and joined back to all rows that have it. A null URL and one
-    without :// have an empty host and path and fit no rule; their score is that of the empty text. Rows that
-    repeat an id or URL each get a row; other columns are ignored. Without examples of either kind all
-    scores are as the models give them and the threshold is 0.
+    Each distinct URL is scored once, as a whole, and joined back to all rows that have it. A null URL and one
+    without :// have an empty host and path and fit no rule; a null one is scored as the empty text. Rows that
+    repeat an id or URL each get a row; other columns are ignored. Without held-out examples of both kinds the
+    threshold is 0, the point where both models find a URL as likely. To the models digits are all alike, and
+    so are characters beyond the alphabet; the rules see them as they are.
     """
-    url = F.col(url_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    texts = rows.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    # an example counts once, however many pages repeat it
-    examples = texts.select(F.concat("host", "path").alias("text"), F.struct("host", "path").alias("key"), (F.col("r.verdict") == "allow").alias("accepted"))
-    score = scored(examples.select("key", "accepted", "text"), gram_weights(examples.select("text", "accepted")))
-    by_url = cut(texts.select("host", "path", "r", F.struct("host", "path").alias("key")).join(score, "key", "left").select("host", "path", "r", F.coalesce("score", F.lit(0.0)).alias("score")), "urls")
-    limit = threshold(by_url.select("score", (F.col("r.verdict") == "allow").alias("accepted")))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
+    urls = rows.select("url").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    accepted, held_out = F.col("r.verdict") == "allow", F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD_OUT)
+    urls = cut(urls.withColumns({"accepted": accepted, "held_out": held_out}), "urls")
+    weights = gram_weights(urls.select(F.col("url").alias("text"), F.when(~F.col("held_out"), F.col("accepted")).alias("accepted")))
+    score = scored(urls.select(F.col("url").alias("key"), F.col("url").alias("text")), weights)
+    by_url = cut(urls.join(score.withColumnRenamed("key", "url"), "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
+    limit = threshold(by_url.where("held_out").select("score", "accepted"))
     told = F.coalesce(F.col("r.verdict"), F.when(F.col("score") >= limit, "allow").otherwise("block"))
-    return rows.join(by_url, ["host", "path"], "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), told.alias("verdict"), "score", F.lit(limit).alias("threshold"))
+    return rows.join(by_url, "url", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), told.alias("verdict"), "score", F.lit(limit).alias("threshold"))
 
 
 def judged_sql(rules: tuple[Rule, ...] = RULES) -> str:
@@ -166,17 +169,17 @@ def judged_sql(rules: tuple[Rule, ...] = RULES) -> str:
         levels.append(f"p{o} as (select *, " + ", ".join(f"case when m{k}{o} + d{k}{o} > 0 then (n{k}{o} + d{k}{o} * {before[k]}) / (m{k}{o} + d{k}{o})::double else {before[k]} end as p{k}{o}" for k in "ar") + f" from d{o})")
         before, source = {k: f"p{k}{o}" for k in "ar"}, f"p{o}"
     return f"""
-with rows as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') as host,
+with rows as (select page_id, coalesce(url, '') as url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') as host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
-texts as (select distinct host, path, {name} as rule, {verdict} as told from rows),
-plain as (select *, repeat('^', {ORDER}) || regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^{kept}-]', '~', 'g') || '^' as t from texts),
-grams as (select host, path, told, substring(t, unnest(range(1, length(t) - {ORDER} + 1)), {ORDER + 1}) as gram from plain),
+texts as (select distinct url, {name} as rule, {verdict} as told, md5(url)[1] in ({', '.join(repr(x) for x in HELD_OUT)}) as held_out from rows),
+plain as (select *, repeat('^', {ORDER}) || regexp_replace(translate(lower(url), '123456789', '000000000'), '[^{kept}-]', '~', 'g') || '^' as t from texts),
+grams as (select url, case when not held_out then told end as told, substring(t, unnest(range(1, length(t) - {ORDER} + 1)), {ORDER + 1}) as gram from plain),
 seen as (select gram, count(*) filter (told = 'allow') as a, count(*) filter (told = 'block') as r from grams group by gram),
 {", ".join(levels)},
-scores as (select host, path, avg(ln({before['a']}) - ln({before['r']})) as score from grams join {source} using (gram) group by host, path),
-bins as (select told, floor(least(greatest((score + {SPAN}::double) / {2 * SPAN}::double, 0), 1) * {BINS}) as bin from scores join texts using (host, path) where told is not null),
+scores as (select url, avg(ln({before['a']}) - ln({before['r']})) as score from grams join {source} using (gram) group by url),
+bins as (select told, floor(least(greatest((score + {SPAN}::double) / {2 * SPAN}::double, 0), 1) * {BINS}) as bin from scores join texts using (url) where told is not null and held_out),
 edges as (select edge, (select count(*) from bins where told = 'allow' and bin < edge) / nullif((select count(*) from bins where told = 'allow'), 0)::double
     + (select count(*) from bins where told = 'block' and bin >= edge) / nullif((select count(*) from bins where told = 'block'), 0)::double as error from range({BINS + 1}) e(edge)),
 threshold as (select coalesce((select edge / {BINS}::double * {2 * SPAN}::double - {SPAN}::double from edges where error is not null order by error, abs(edge - {BINS / 2}::double), edge limit 1), 0) as bar)
 select page_id, host, path, rule, coalesce(told, case when score >= bar then 'allow' else 'block' end) as verdict
-from rows join texts using (host, path) left join scores using (host, path), threshold"""
+from rows join texts using (url) left join scores using (url), threshold"""

@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, bpe, chat, itq, packing, secret_ledger, toxicity, url_filter, warc
+from orrery.llm import ann, bpe, chat, itq, packing, queries, secret_ledger, toxicity, url_filter, warc
 from orrery.llm.common import components
 from orrery.llm.jaccard import jaccard_components, light_boundary
 
@@ -382,6 +383,7 @@ def test_url_rules_and_models(spark):
             assert r.verdict == rule.verdict
             right, n = right + ((r.score >= r.threshold) == (rule.verdict == "allow")), n + 1
     assert right / n > 0.9
+    assert {r.threshold for r in got.values()} == {next(iter(got.values())).threshold}
     assert url_filter.judged(pages.limit(0)).collect() == []
 
 
@@ -476,3 +478,25 @@ def test_archives_are_the_same_in_every_run(spark, tmp_path):
     assert sum(r.record_type == "response" for r in got) == len(least)
     with pytest.raises(Exception, match="holds an archive"):
         warc.write_archive(pages, str(tmp_path / "a"))
+
+
+# --- the registered queries ---
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_query(spark, sf, name):
+    """Each runs over its whole table, gives a row for each of its keys, and what its SQL gives."""
+    df = queries.QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    rows = sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    keys = {"op2": "select 5 * count(*) from embeddings where vec_id % 50 = 0", "op5": "select count(*) from embeddings", "op8": "select count(*) from pages", "op9": "select 1 + count(distinct conv_id) from conversations", "op10": "select count(*) from pages"}
+    op = name.split("_")[0]
+    if op != "op7":
+        assert len(rows) == con.execute(keys.get(op, "select count(*) from documents")).fetchone()[0]
+    if name in queries.ORACLE_SQL:
+        found = con.execute(queries.ORACLE_SQL[name])
+        names = [d[0] for d in found.description]
+        assert rows == sorted(str(tuple(dict(zip(names, r, strict=True))[c] for c in columns)) for r in found.fetchall())
