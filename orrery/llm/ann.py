@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample and shipped to all tasks; every row is then assigned to a leaf. A
-query walks the tree with a priority queue of nodes by the cosine to their centroids, and visits leaves in
+The tree's top is fitted on a bounded sample and shipped to all tasks; every row is then assigned to a leaf.
+Leaves that hold more than LEAF_MOST rows are split again, each by a tree fitted on a bounded sample of its own
+rows, until none does, its vectors can't be told apart or the tree has TREE_BYTES; so the number of leaves
+follows that of rows. A query walks the tree with a priority queue of nodes by the cosine to their centroids, and visits leaves in
 the order in which they come off it. How many leaves it visits is calibrated: for a sample of queries the
 exact neighbours are found in all rows, and visits widen until those are found as often as recall asks.
 Queries and rows meet by leaf, both in blocks of bounded size, so a crowded leaf is many small tasks.
@@ -19,13 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import cut
-from orrery.llm.vectors import cosines, matrix, sample, unit, usable
+from orrery.llm.vectors import cosines, lengths_of, matrix, sample, unit, usable
 
-#: Rows that the tree is fitted on, children of a node, sample rows that a leaf holds at most, and leaves at most.
+#: Rows that the top of the tree is fitted on, children of a node, sample rows that a leaf holds at most, and leaves of a fit at most.
 SAMPLE_ROWS = 20_000
 BRANCH = 8
 LEAF_ROWS = 100
 LEAVES_MOST = 4096
+#: Rows beyond which a leaf is split, sample rows that this is fitted on, and bytes of centroids that all tasks hold at most.
+LEAF_MOST = 2048
+SPLIT_ROWS = 2048
+TREE_BYTES = 64 << 20
 #: Queries whose exact neighbours calibrate the visits, and the recall that they widen to.
 CALIBRATION_QUERIES = 128
 RECALL = 0.97
@@ -109,6 +115,69 @@ def fit_tree(x: np.ndarray, branch: int = BRANCH, leaf_rows: int = LEAF_ROWS, le
     return Tree(np.array(centroid), children, leaf)
 
 
+def grafted(tree: Tree, subtrees: dict[int, Tree]) -> Tree:
+    """tree with subtrees in the place of some of its leaves."""
+    centroid, children = list(tree.centroid), list(tree.children)
+    for n, leaf in enumerate(tree.leaf):
+        if leaf in subtrees and tree.children[n] is None:
+            sub, base = subtrees[leaf], len(centroid) - 1  # its root is the leaf, its other nodes follow
+            children[n] = (sub.children[0][0] + base, sub.children[0][1] + base)
+            centroid += list(sub.centroid[1:])
+            children += [c and (c[0] + base, c[1] + base) for c in sub.children[1:]]
+    leaf = np.full(len(children), -1)
+    ends = [n for n, c in enumerate(children) if c is None]
+    leaf[ends] = np.arange(len(ends))
+    return Tree(np.array(centroid), children, leaf.tolist())
+
+
+def _indexed(rows: DataFrame, tree: Tree) -> DataFrame:
+    """rows(id, v) with their leaf, written."""
+
+    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(tree.assign(unit(matrix(b.column("v")))), pa.int64()), *b.columns], ["leaf", "id", "v"])
+
+    return cut(rows.mapInArrow(to_leaves, f"leaf long, id long, v {rows.schema['v'].dataType.simpleString()}"), "index")
+
+
+def grown(tree: Tree, index: DataFrame, rows: DataFrame, leaf_most: int = LEAF_MOST, split_rows: int = SPLIT_ROWS, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, DataFrame]:
+    """The tree with crowded leaves split by their own rows, and rows indexed by it."""
+
+    def split(t: pa.Table) -> pa.Table:
+        sub = fit_tree(unit(matrix(t.column("v").combine_chunks())), leaf_rows=leaf_rows)
+        told = [] if sub.leaves < 2 else [(t.column("leaf")[0].as_py(), sub.centroid.ravel().tolist(), [x for c in sub.children for x in (c or (0, 0))])]
+        return pa.table([pa.array([x[k] for x in told], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())))], ["leaf", "centroid", "children"])
+
+    whole: set[int] = set()  # leaves that can't be split
+    while True:
+        sizes = index.groupBy("leaf").count().where(F.col("count") > leaf_most)
+        crowded = {r["leaf"]: r["count"] for r in sizes.collect() if r["leaf"] not in whole}  # leaves of a tree of bounded size
+        room = TREE_BYTES // max(1, tree.centroid.nbytes // len(tree.centroid)) - len(tree.centroid)
+        chosen = []
+        for n in sorted(crowded, key=lambda n: -crowded[n]):  # the most crowded first, as far as the tree may grow
+            room -= 2 * min(split_rows, crowded[n]) // leaf_rows
+            if room < 0:
+                break
+            chosen.append(n)
+        if not chosen:
+            return tree, index
+        some = F.broadcast(index.sparkSession.createDataFrame([(n,) for n in chosen], "leaf long"))
+        first = Window.partitionBy("leaf").orderBy(F.xxhash64("id", "v"))
+        taken = index.join(some, "leaf").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= split_rows).select("leaf", "v")
+        found = {}
+        for r in taken.groupBy("leaf").applyInArrow(split, "leaf long, centroid array<double>, children array<long>").collect():  # TREE_BYTES at most
+            pairs = list(zip(r["children"][::2], r["children"][1::2], strict=True))
+            found[r["leaf"]] = Tree(np.array(r["centroid"]).reshape(len(pairs), -1), [c if c[1] else None for c in pairs], [])
+        keep = [n for n, c in enumerate(tree.children) if c is None and tree.leaf[n] not in found]
+        stuck = {n for n in keep if tree.leaf[n] in whole or tree.leaf[n] in chosen}
+        if not found:
+            return tree, index
+        tree = grafted(tree, found)
+        whole = {tree.leaf[n] for n in stuck}  # nodes keep their numbers
+        index = _indexed(rows, tree)
+
+
 def _top(scores_of, ids: np.ndarray, own: int, rough: np.ndarray, k: int) -> list[tuple[float, int]]:
     """The k best of ids by exact cosine, ties to the smaller id, each id once; rough cosines leave out the hopeless."""
     rough = np.where(ids == own, -np.inf, rough)
@@ -129,83 +198,69 @@ def _top(scores_of, ids: np.ndarray, own: int, rough: np.ndarray, k: int) -> lis
         spare *= 4
 
 
-def _neighbours(vec: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pa.RecordBatch:
+_FOUND = "query_id long, vec_id long, score double, leaf long"
+
+
+def _neighbours(vec: np.ndarray, ids: np.ndarray, leaf: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pa.RecordBatch:
+    """Of one block of rows the k nearest to each query, with their leaves."""
     rows: list[tuple[int, int, float]] = []
     rough = unit(queries) @ unit(vec).T if len(vec) and len(queries) else np.zeros((len(queries), 0))
     for r, q, i in zip(rough, queries, query_ids.tolist(), strict=True):
         rows += [(i, v, s) for s, v in _top(lambda some, q=q: cosines(vec[some], np.broadcast_to(q, vec[some].shape)), ids, i, r, k)]
     query, found, score = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
-
-
-_FOUND = "query_id long, vec_id long, score double"
+    leaf_of = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64()), pa.array([leaf_of[v] for v in found], pa.int64())], ["query_id", "vec_id", "score", "leaf"])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max_by("leaf", "score").alias("leaf"))
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_neighbours(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> DataFrame:
-    """The k nearest of all rows(id, v) to a bounded set of queries, block by block of the rows."""
+def exact_neighbours(index: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> DataFrame:
+    """The k nearest of all rows(leaf, id, v) to a bounded set of queries, block by block of the rows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield _neighbours(matrix(b.column("v")), b.column("id").to_numpy(), queries, query_ids, k)
+                yield _neighbours(matrix(b.column("v")), b.column("id").to_numpy(), b.column("leaf").to_numpy(), queries, query_ids, k)
 
-    return _best(rows.select("id", "v").mapInArrow(scan, _FOUND), k)
+    return _best(index.select("leaf", "id", "v").mapInArrow(scan, _FOUND), k)
 
 
-def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, most: int = CALIBRATION_QUERIES) -> int:
+def calibrate(tree: Tree, index: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, most: int = CALIBRATION_QUERIES) -> int:
     """How many leaves to visit: the fewest with which a sample of queries finds its exact neighbours as often as recall asks."""
     some = queries.orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
     if not some.num_rows:
         return 1
     q, ids = matrix(some.column("v").combine_chunks()), some.column("id").to_numpy()
-    true = exact_neighbours(rows, q, ids, k).select("query_id", F.col("vec_id").alias("id"))
-    found = true.join(rows, "id").select("query_id", "v").toArrow()  # most * k vectors, more only by repeated ids
+    found = exact_neighbours(index, q, ids, k).select("query_id", "leaf").toArrow()  # most * k rows
     if not found.num_rows:
         return 1
     place = dict(zip(ids.tolist(), (np.argsort(tree.visits(x, tree.leaves)) for x in unit(q)), strict=True))
-    leaf = tree.assign(unit(matrix(found.column("v").combine_chunks())))
-    ranks = np.sort([place[i][at] for i, at in zip(found.column("query_id").to_pylist(), leaf.tolist(), strict=True)])
+    ranks = np.sort([place[i][at] for i, at in zip(found.column("query_id").to_pylist(), found.column("leaf").to_pylist(), strict=True)])
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that is_query holds for, its k nearest rows of other ids by cosine.
-
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-    part. Ties go to the smaller id. Rows that repeat an id count as one candidate with the best of their
-    cosines; repeated query rows give one result. Fewer than k candidates give as many rows as there are.
-    """
-    rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null"), "v")
-    rows = cut(rows, "vectors")
-    queries = rows.where(is_query(F.col("id")))
-    tree = fit_tree(sample(rows, "id", "v", SAMPLE_ROWS))
-    visits = min(tree.leaves, calibrate(tree, rows, queries, k, recall))
-
-    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(tree.assign(unit(matrix(b.column("v")))), pa.int64()), *b.columns], ["leaf", "id", "v"])
+def _search_length(rows: DataFrame, queries: DataFrame, k: int, recall: float, leaf_most: int) -> DataFrame:
+    """query_id, vec_id, score, rank for rows and queries (id, v) whose vectors have one length."""
+    tree = fit_tree(sample(rows, F.xxhash64("id", "v"), "v", SAMPLE_ROWS))
+    tree, index = grown(tree, _indexed(rows, tree), rows, leaf_most)
+    visits = min(tree.leaves, calibrate(tree, index, queries, k, recall))
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 leaves = [tree.visits(x, visits) for x in unit(matrix(part.column("v")))]
-                take = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array([n for x in leaves for n in x], pa.int64()), part.column("id").take(take), part.column("v").take(take)], ["leaf", "id", "v"])
-
-    element = rows.schema["v"].dataType.simpleString()
-    schema = f"leaf long, id long, v {element}"
-    index = cut(rows.mapInArrow(to_leaves, schema), "index")
-    asked = queries.mapInArrow(to_visits, schema)
-    in_leaf = {r["leaf"]: -(-r["count"] // BLOCK) for r in index.groupBy("leaf").count().collect()}  # LEAVES_MOST rows at most
+                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.list_(pa.int64())), *part.columns], ["leaves", *part.schema.names])
+
+    asked = cut(queries.mapInArrow(to_visits, f"leaves array<long>, id long, v {rows.schema['v'].dataType.simpleString()}"), "asked")
+    asked = asked.select(F.explode("leaves").alias("leaf"), "id", "v")
+    in_leaf = {r["leaf"]: -(-r["count"] // BLOCK) for r in index.groupBy("leaf").count().collect()}  # one row a leaf of the tree
     on_leaf = {r["leaf"]: -(-r["count"] // BLOCK) for r in asked.groupBy("leaf").count().collect()}
-    blocks = cut(vectors.sparkSession.createDataFrame([(n, m, on_leaf[n]) for n, m in in_leaf.items() if n in on_leaf] or [(-1, 1, 1)], "leaf long, rb long, qb long"), "blocks")
+    blocks = rows.sparkSession.createDataFrame([(n, m, on_leaf[n]) for n, m in in_leaf.items() if n in on_leaf] or [(-1, 1, 1)], "leaf long, rb long, qb long")
 
     def dealt(df: DataFrame, own: str, other: str, kind: int) -> DataFrame:
         mine, others = ("r", "q") if kind == 0 else ("q", "r")
@@ -213,8 +268,28 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     def meet(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
-        v, ids = matrix(t.column("v").combine_chunks()), t.column("id").to_numpy()
-        return pa.Table.from_batches([_neighbours(v[kind == 0], ids[kind == 0], v[kind == 1], ids[kind == 1], k)])
+        v, ids, leaf = matrix(t.column("v").combine_chunks()), t.column("id").to_numpy(), t.column("leaf").to_numpy()
+        return pa.Table.from_batches([_neighbours(v[kind == 0], ids[kind == 0], leaf[kind == 0], v[kind == 1], ids[kind == 1], k)])
 
     met = dealt(index, "rb", "qb", 0).unionByName(dealt(asked, "qb", "rb", 1)).groupBy("leaf", "r", "q").applyInArrow(meet, _FOUND)
-    return _best(met, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _best(met, k).drop("leaf")
+
+
+def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, leaf_most: int = LEAF_MOST) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that is_query holds for, its k nearest rows of other ids by cosine.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part; a vector has a cosine with
+    those of its length only, and each length is a search of its own. Ties go to the smaller id. Rows that
+    repeat an id count as one candidate with the best of their cosines; repeated query rows give one result.
+    Fewer than k candidates give as many rows as there are.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = cut(rows, "vectors")
+    queries = rows.where(is_query(F.col("id")))
+    sizes = lengths_of(queries, "v")
+    found = rows.sparkSession.range(0).selectExpr("id as query_id", "id as vec_id", "cast(null as double) as score", "cast(null as int) as rank")
+    for n in sizes:
+        same = F.size("v") == n
+        found = found.unionByName(_search_length(rows.where(same), queries.where(same), k, recall, leaf_most))
+    one = _best(found.withColumn("leaf", F.lit(0).cast("long")), k) if len(sizes) > 1 else found  # an id may have vectors of several lengths
+    return one.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, vector_col: str) -> DataFrame:
-    """Rows whose vector is not null or zero and holds finite numbers only; of several lengths the most frequent one."""
-    v = F.col(vector_col)
-    size = df.where(v.isNotNull()).groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    size = size[0]["n"] if size else 0
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(v.isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0))
+def usable(vector: Column) -> Column:
+    """Whether a vector is not null or zero and holds finite numbers only."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def lengths_of(df: DataFrame, vector_col: str, least: int = 1) -> list[int]:
+    """The lengths that at least so many vectors have: a handful in any table of embeddings."""
+    return sorted(r["n"] for r in df.groupBy(F.size(vector_col).alias("n")).count().where(F.col("count") >= least).collect())
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -36,7 +38,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.reduce(a * b, axis=-1) / (lengths(a) * lengths(b))
 
 
-def sample(df: DataFrame, id_col: str, vector_col: str, rows: int) -> np.ndarray:
-    """At most rows unit vectors, the first in the order of a hash of their ids."""
-    table = df.orderBy(F.xxhash64(id_col), id_col).limit(rows).select(vector_col).toArrow()
+def sample(df: DataFrame, order: Column, vector_col: str, rows: int) -> np.ndarray:
+    """At most rows unit vectors, the first in an order such as a hash of their ids."""
+    table = df.orderBy(order).limit(rows).select(vector_col).toArrow()
     return unit(matrix(table.column(0).combine_chunks())) if table.num_rows else np.zeros((0, 1))

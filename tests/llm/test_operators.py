@@ -324,6 +324,65 @@ def test_nearest_neighbours_edges(spark):
     assert ann.search(few.limit(0), lambda i: i == 0).collect() == []
 
 
+def test_nearest_neighbours_with_leaves_split_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(ann, "SPLIT_ROWS", 60)
+    rng = np.random.default_rng(8)
+    x = np.vstack([c + 0.2 * rng.standard_normal((100, 8)) for c in rng.standard_normal((20, 8))])
+    x[1000:1300] = x[1000]  # a leaf that can't be split
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(50, [1.0, 0.0]), (51, [1.0, 1.0]), (52, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    rows = df.where("size(embedding) = 8").selectExpr("vec_id as id", "embedding as v")
+    top = ann.fit_tree(x[:100] / np.linalg.norm(x[:100], axis=1)[:, None])
+    tree, index = ann.grown(top, ann._indexed(rows, top), rows, 80, 60, 20)
+    sizes = sorted(r["count"] for r in index.groupBy("leaf").count().collect())
+    assert sum(sizes) == len(x) and sizes[-1] >= 300 and sizes[-2] <= 80 and tree.leaves > top.leaves
+    got = defaultdict(list)
+    for r in ann.search(df, lambda i: i % 50 == 0, leaf_most=80).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q, own in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        hits += sum(score >= np.sort(s)[-5] - 1e-12 for _, _, score in own)
+    assert sorted(got) == list(range(0, 2000, 50)) and hits >= 0.95 * 5 * len(got)
+    short = ann.search(df.where("size(embedding) = 2 or vec_id = 0"), lambda i: i % 50 == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in short] == [(50, 1, 52), (50, 2, 51)]
+
+
+def test_embedding_near_duplicates_of_repeated_ids_and_lengths(spark):
+    """Every row is a vector of its own; components and counts by brute force over rows."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((30, 6))
+    rows = [(int(rng.integers(0, 25)) if rng.random() < 0.9 else None, [float(c) for c in base[rng.integers(0, 30)] + 0.15 * rng.standard_normal(6) * (rng.random() < 0.7)], int(rng.integers(0, 2)), 1) for _ in range(300)]
+    rows += [(1, [1.0, 0.0], 0, 1), (1, [0.0, 1.0], 0, 1), (2, [1.0, 0.01], 0, 1), (1, None, 0, 1), (3, [1.0, 0.0, 0.0], 0, 1), (4, [2.0, 0.0, 0.0], 0, 1), (4, [0.0, 0.0], 0, 1), (5, [1.0, 0.0], None, 1)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int"), recall=0.9999).collect())
+    unit = [None if v is None or not any(v) or label is None else np.array(v) / np.linalg.norm(v) for _, v, label, _ in rows]
+    links = [[j for j in range(len(rows)) if j != i and unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93] for i in range(len(rows))]
+    top = list(range(len(rows)))
+    for _ in rows:
+        top = [min([top[i], *(top[j] for j in links[i])]) for i in range(len(rows))]
+    least = {}
+    for i, t in enumerate(top):
+        least.setdefault(t, []).append(rows[i][0])
+    least = {t: min((i for i in ids if i is not None), default=None) for t, ids in least.items()}
+    assert got == sorted((str(i), len(links[k]), str(least[top[k]]), i == least[top[k]]) for k, (i, *_) in enumerate(rows))
+
+
+def test_embedding_near_duplicates_in_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(itq, "BLOCK", 16)
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((400, 12))
+    x[100:220] = x[0] + 0.04 * rng.standard_normal((120, 12))
+    x[220:300] = x[1] + 0.2 * rng.standard_normal((80, 12))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()}
+    assert all(got[i] <= near[i].sum() for i in range(400)) and sum(got.values()) >= 0.97 * near.sum()
+
+
 def test_embedding_near_duplicates(spark):
     x = vectors(np.random.default_rng(6))
     labels = [i % 3 if i < 300 else (None if i == 349 else 0) for i in range(600)]
@@ -333,6 +392,10 @@ def test_embedding_near_duplicates(spark):
     np.fill_diagonal(near, False)
     found, true = sum(got[i][0] for i in range(600)), near.sum()
     assert 0.97 * true <= found <= true and all(got[i][0] <= near[i].sum() for i in range(600))
+    top = np.arange(600)
+    for _ in range(600):  # components of all links; of those that are found, since few are missed, nearly all
+        top = np.minimum(top, np.where(near, top[None, :], 600).min(axis=1))
+    assert np.mean([got[i][1:] == (top[i], top[i] == i) for i in range(600)]) > 0.98
     assert all(got[i] == (0, i, True) for i in (349, 9001, 9002, 9003, 9004, 9050))
     assert itq.near_duplicates(vector_frame(spark, x[:0]).where("vec_id < 0")).collect() == []
 
