@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, FractionalType, MapType, StringType
 
 
 def _c(x) -> Column:
@@ -54,12 +55,14 @@ def propagated(ra: Column, dec: Column, pm_ra: Column, pm_dec: Column, epoch: Co
     )
 
 
-def match_score(separation: Column, source_error: Column, target_error=0.0) -> Column:
-    """Gaussian likelihood of a separation in arc seconds; linear in it if the source's error is unknown."""
-    sigma = F.sqrt(F.pow(F.greatest(source_error, F.lit(0.1)), 2) + F.pow(F.greatest(_c(target_error), F.lit(0.0)), 2))
+def match_score(separation: Column, source_error: Column, target_error: Column | None = None) -> Column:
+    """Gaussian likelihood of a separation in arc seconds; linear in it if neither side's error is known."""
+    own = finite_or_null(source_error)
+    other = F.lit(None).cast("double") if target_error is None else finite_or_null(target_error)
+    sigma = F.sqrt(F.pow(F.greatest(own, F.lit(0.1)), 2) + F.pow(F.greatest(other, F.lit(0.0)), 2))
     gauss = F.exp(-0.5 * F.pow(separation / sigma, 2))
     linear = 1.0 - F.least(separation / 3.0, F.lit(10.0)) / 10.0
-    score = F.when(finite(source_error), gauss).otherwise(linear)
+    score = F.when(own.isNotNull() | other.isNotNull(), gauss).otherwise(linear)
     return F.when(separation < 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
 
 
@@ -161,9 +164,49 @@ def provider_of(url: Column, hosts: dict[str, str] = ARCHIVES) -> Column:
     return reduce(lambda out, kv: F.when(host.contains(kv[0]), F.lit(kv[1])).otherwise(out), reversed(list(hosts.items())), host)
 
 
-def present_text(x: Column) -> Column:
-    """Whether a text is there (F16); an empty one is not."""
-    return F.coalesce(x != "", F.lit(False))
+def present(x: Column, kind: DataType) -> Column:
+    """Whether a value of this type is there (F16): not null, a finite number, a text or collection that isn't empty."""
+    if isinstance(kind, FractionalType):
+        return finite(x.cast("double"))
+    if isinstance(kind, StringType):
+        return F.coalesce(x != "", F.lit(False))
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.coalesce(F.size(x) > 0, F.lit(False))
+    return x.isNotNull()
+
+
+def layered(*maps: Column) -> Column:
+    """One map of several, in which later maps' values stand before earlier ones', nulls among them; null maps count as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    return reduce(lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high), (F.coalesce(m, empty) for m in maps))
+
+
+def by_rank(rows: Column) -> Column:
+    """An array of structs (rank, row) to its rows in the order of their ranks; rows may hold what can't be ordered, such as maps."""
+    compared = lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
+    return F.transform(F.array_sort(rows, compared), lambda x: x["row"])
+
+
+def decoded_map(text: Column) -> Column:
+    """A JSON object as a map of texts; an empty map if it isn't one."""
+    return F.coalesce(F.from_json(F.when(F.ltrim(text).startswith("{"), text), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def observation_id(tic: Column, sector: Column, flux: Column, data_uri: Column, version: Column) -> Column:
+    """The id of a light curve from its product's address and version, or without an address from sector, target and flux."""
+    key = F.substring(F.sha2(F.concat(data_uri, F.decode(F.lit(b"\0"), "UTF-8"), F.coalesce(version, F.lit(""))), 256), 1, 16)
+    rest = F.concat(F.lit("sector-"), F.coalesce(F.nullif(sector.cast("string"), F.lit("0")), F.lit("unknown")), F.lit("-tic-"), tic.cast("string"), F.lit("-"), F.lower(flux))
+    return F.when(F.coalesce(data_uri != "", F.lit(False)), F.concat(F.lit("tess-product-"), key, F.lit("-"), rest)).otherwise(F.concat(F.lit("tess-"), rest))
+
+
+def significant(x: Column, digits: int = 3) -> Column:
+    """A number in text with so many significant digits, without trailing zeros; exponents below 1e-4 and from 10 ** digits on."""
+    size = F.floor(F.log10(F.abs(x))).cast("int")
+    rounded = F.format_string(f"%.{digits - 1}e", x).cast("double")  # rounding may reach the next power of ten
+    size = F.when(F.abs(rounded) >= F.pow(F.lit(10.0), size + 1), size + 1).otherwise(size)
+    trim = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    plain = reduce(lambda rest, n: F.when(digits - 1 - size == n, F.format_string(f"%.{n}f", x)).otherwise(rest), range(digits + 4), F.lit(None).cast("string"))
+    return F.when(x == 0, "0").when((size < -4) | (size >= digits), trim(F.format_string(f"%.{digits - 1}e", x))).otherwise(trim(plain))
 
 
 def triage_status(supported: Column, candidates: Column, comparable: Column, nearest: Column, good_fraction: Column, anomaly: float = 0.45) -> Column:

@@ -37,6 +37,9 @@ def alias_matches(hosts: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 def field_filter(name: str, value, columns: dict[str, Column]) -> Column:
     """A request's filter as a condition: min_x and max_x compare numbers, a bare name compares text; missing is false."""
+    columns = dict(columns)
+    if "proper_motion_masyr" not in columns and {"pmra", "pmdec"} <= columns.keys():
+        columns["proper_motion_masyr"] = exprs.proper_motion(columns["pmra"].try_cast("double"), columns["pmdec"].try_cast("double"))
     if name.startswith("min_"):
         x = columns[name[4:]].cast("double")
         return F.coalesce(exprs.finite(x) & (x >= float(value)), F.lit(False))
@@ -46,6 +49,27 @@ def field_filter(name: str, value, columns: dict[str, Column]) -> Column:
     return F.coalesce(columns[name].cast("string") == str(value), F.lit(False))
 
 
+def unknown_names(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """The names that are asked for and not known, each once."""
+    return asked.select(name).subtract(known.select(name))
+
+
+def lacking_columns(df: DataFrame, required: list[str]) -> list[str]:
+    """Required columns that df hasn't, names compared without case."""
+    have = {c.upper() for c in df.columns}
+    return sorted(c for c in required if c.upper() not in have)
+
+
+def picked(df: DataFrame, desired: list[str]) -> DataFrame:
+    """Of the desired columns those that df has, in the desired order."""
+    return df.select(*(F.col(f"`{c}`") for c in desired if c in df.columns))
+
+
+def provider_stats(members: DataFrame, by: str, stamp: str) -> DataFrame:
+    """Records and the first and last stamp of each provider or catalog."""
+    return members.groupBy(by).agg(F.count("*").alias("records"), F.min(stamp).alias("first_at"), F.max(stamp).alias("last_at"))
+
+
 def missing_fields(required: dict[str, Column]) -> Column:
     """The names of required values that aren't present, in order."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in required.items())))
@@ -74,5 +98,5 @@ def resolve_identity(arrivals: DataFrame, store: DataFrame, radius_arcsec: float
 def merged(sources: DataFrame, keys: list[str], fields: list[str], order: list[Column]) -> DataFrame:
     """One row for each key with the first present value of every field."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    picked = sources.select(*keys, *(F.first(F.when(F.col(f).isNotNull(), F.col(f)), True).over(w).alias(f) for f in fields))
+    picked = sources.select(*keys, *(F.first(F.when(exprs.present(F.col(f), sources.schema[f].dataType), F.col(f)), True).over(w).alias(f) for f in fields))
     return picked.distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs
@@ -14,6 +14,8 @@ from orrery.operators.store import cut
 
 #: Objects whose gaps a round looks at, rounds at most, and rounds without progress before it gives up.
 GAPS, ROUNDS, STUCK = 128, 1000, 25
+#: Units of work in a batch.
+BATCH = 16
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,7 @@ def coverage(store: DataFrame, request: Request, targets: DataFrame | None = Non
     named = [k.removeprefix("min_").removeprefix("max_") for k, _ in request.filters]
     fields = list(dict.fromkeys([*request.fields, *named]))
     # the first present value is the least (catalog, source, value) among those that are present
-    firsts = [F.min(F.when(F.col(f).isNotNull(), F.struct("catalog", "source_id", F.col(f).alias("v")))).getField("v").alias(f) for f in fields]
+    firsts = [F.min(F.when(exprs.present(F.col(f), rows.schema[f].dataType), F.struct("catalog", "source_id", F.col(f).alias("v")))).getField("v").alias(f) for f in fields]
     objects = rows.groupBy("object_id").agg(F.count("*").alias("members"), *firsts)
     for name, value in request.filters:
         field = name.removeprefix("min_").removeprefix("max_")
@@ -60,6 +62,35 @@ def totals(covered: DataFrame, request: Request) -> dict[str, int]:
     return {"usable": usable, "matching": matching, "missing": max(0, request.count - usable)}
 
 
+def chosen_objects(covered: DataFrame, reused: DataFrame, count: int) -> DataFrame:
+    """Usable objects with whether they were there at the start, those first, then by id, as many as asked for."""
+    usable = covered.where("usable").join(reused.select("object_id").withColumn("reused", F.lit(True)), "object_id", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
+    return usable.orderBy(F.desc("reused"), "object_id").limit(count)  # the request's own count
+
+
+def origin_counts(chosen: DataFrame, members: DataFrame, began: str) -> DataFrame:
+    """How many chosen objects are reused, enriched (a member is older than the build's beginning) or new.
+
+    chosen: object_id, reused; members: object_id, first_fetched_at, which compares as text with began.
+    """
+    older = members.groupBy("object_id").agg(F.min("first_fetched_at").alias("first"))
+    origin = F.when(F.col("reused"), "reused").when(F.col("first") < began, "enriched").otherwise("new")
+    return chosen.join(older, "object_id", "left").groupBy(origin.alias("origin")).agg(F.count("*").alias("objects"))
+
+
+def gap_batches(covered: DataFrame, wanted: DataFrame, done: DataFrame, gaps: int = GAPS, batch: int = BATCH) -> DataFrame:
+    """object_id, catalog and batch for the catalogs that incomplete objects still lack: gaps objects, batch units each.
+
+    wanted: catalog, those of the request; done: object_id, catalog, what has been asked for already.
+    """
+    first = covered.where("not usable").select("object_id").orderBy("object_id").limit(gaps)  # a round's own bound
+    names = [r["catalog"] for r in wanted.select("catalog").distinct().orderBy("catalog").collect()]  # the request's own
+    units = first.withColumn("catalog", F.explode(F.array(*map(F.lit, names))))
+    left = units.join(done, ["object_id", "catalog"], "left_anti")
+    number = F.row_number().over(Window.orderBy("object_id", "catalog"))  # gaps times the request's catalogs
+    return left.withColumn("batch", F.floor((number - 1) / batch))
+
+
 Fetch = Callable[[DataFrame, int], DataFrame]
 
 
@@ -83,8 +114,6 @@ def fulfil(store: DataFrame, request: Request, fetch: Fetch, merge: Callable[[Da
         if rows.isEmpty():
             break
         store = cut(merge(store, rows), "store")
-    covered = coverage(store, request, targets).where("usable")
-    chosen = covered.join(before.withColumn("reused", F.lit(True)), "object_id", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
-    chosen = chosen.orderBy(F.desc("reused"), "object_id").limit(request.count)  # the request's own count
+    chosen = chosen_objects(coverage(store, request, targets), before, request.count)
     status = "completed" if not state["missing"] else "partial"
     return chosen, state | {"status": status, "rounds": turns}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orrery.functions import exprs
 from orrery.operators import spatial
 from orrery.operators.store import cut
+from orrery.sources import catalogs
 
 
 def _year(x: object) -> float | None:
@@ -110,9 +111,11 @@ class Search:
 
 
 def crossmatch(targets: DataFrame, sources: DataFrame, search: Search) -> DataFrame:
-    """Matches of all targets at once: separation, confidence and object of each (Q6, Q7).
+    """Matches of all targets at once: separation, confidence and object of each.
 
-    targets: target_id, t_ra, t_dec; sources: catalog, source_id, ra, dec, error_arcsec and what filters name.
+    targets: target_id, t_ra, t_dec and, as far as known, t_epoch and t_uncertainty_arcsec; sources: catalog,
+    source_id, ra, dec, error_arcsec, epoch, pmra and pmdec as far as known, and what filters name. Sources
+    stand where they are at their target's epoch.
     Cone, adaptive radius, confidence and filters, then each catalog's first max_results, then objects: the
     components of what is left, numbered by their nearest detection.
     """
@@ -121,10 +124,10 @@ def crossmatch(targets: DataFrame, sources: DataFrame, search: Search) -> DataFr
     if search.catalogs:
         sources = sources.where(F.col("catalog").isin(*search.catalogs))
     order = [F.col("separation"), F.col("catalog"), F.col("source_id")]
-    m = spatial.cone_join(targets, sources, search.radius_arcsec)
+    m = spatial.moving_cone_join(targets, sources, search.radius_arcsec)
     if search.adaptive:
         m = spatial.adaptive(m, "target_id", order, search.radius_arcsec)
-    m = m.withColumn("confidence", exprs.match_score(F.col("separation"), F.col("error_arcsec"))).where(F.col("confidence") >= search.min_confidence)
+    m = m.withColumn("confidence", exprs.match_score(F.col("separation"), F.col("error_arcsec"), F.col("t_uncertainty_arcsec") if "t_uncertainty_arcsec" in m.columns else None)).where(F.col("confidence") >= search.min_confidence)
     m = m.where(search.condition(m.columns))
     if search.max_results is not None:
         m = spatial.top_matches(m, search.max_results, ["target_id", "catalog"], order).drop("rank")
@@ -135,9 +138,49 @@ def crossmatch(targets: DataFrame, sources: DataFrame, search: Search) -> DataFr
     return numbered.withColumn("object", F.dense_rank().over(Window.partitionBy("target_id").orderBy("__near"))).drop("__near", "root", "key")
 
 
-def records(matches: DataFrame) -> DataFrame:
-    """One evidence record for each target: catalogs asked, detections, objects and counts by wavelength (A2-A5)."""
-    by = matches.groupBy("target_id", "wavelength").agg(F.count("*").alias("n"))
-    waves = by.groupBy("target_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("wavelength", "n")))).alias("by_wavelength"))
-    whole = matches.groupBy("target_id").agg(F.sort_array(F.collect_set("catalog")).alias("catalogs"), F.count("*").alias("detections"), F.count_distinct("object").alias("objects"))
-    return whole.join(waves, "target_id")
+#: What a counterpart tells of a match, as far as the matches have it.
+COUNTERPART = ("catalog", "source_id", "ra", "dec", "separation", "confidence", "metadata", "data", "provenance", "error_arcsec", "epoch", "pmra", "pmdec", "physical", "links", "object_type", "spectral_type", "object")
+
+
+def records(matches: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """One evidence record for each target: catalogs, detections, objects, and counterparts by wavelength.
+
+    matches: target_id, catalog, source_id, separation, object, wavelength and what else a counterpart tells;
+    failures: target_id, catalog, error, the catalogs that could not be read. catalogs_queried counts both.
+    Counterparts are in the order of their separation; a target that has failures only has a record too.
+    A target's counterparts are one row of the result.
+    """
+    told = [c for c in COUNTERPART if c in matches.columns]
+    ranked = F.struct(F.struct("separation", "catalog", F.col("source_id").cast("string").alias("key")).alias("rank"), F.struct(*told).alias("row"))
+    by = matches.groupBy("target_id", "wavelength").agg(F.count("*").alias("n"), exprs.by_rank(F.collect_list(ranked)).alias("rows"))
+    entries = exprs.by_rank(F.collect_list(F.struct(F.struct("wavelength").alias("rank"), F.struct("wavelength", "n", "rows").alias("row"))))
+    waves = by.groupBy("target_id").agg(entries.alias("e")).select("target_id", F.map_from_entries(F.transform("e", lambda x: F.struct(x["wavelength"], x["n"]))).alias("by_wavelength"), F.map_from_entries(F.transform("e", lambda x: F.struct(x["wavelength"], x["rows"]))).alias("counterparts"))
+    whole = matches.groupBy("target_id").agg(F.sort_array(F.collect_set("catalog")).alias("catalogs"), F.sort_array(F.collect_set("wavelength")).alias("wavelengths"), F.count("*").alias("detections"), F.count_distinct("object").alias("objects"))
+    found = whole.join(waves, "target_id")
+    if failures is None:
+        none = F.array().cast("array<struct<catalog:string,error:string>>")
+        return found.withColumns({"failures": none, "catalogs_queried": F.size("catalogs").cast("long")})
+    failed = failures.groupBy("target_id").agg(F.array_sort(F.collect_set(F.struct("catalog", "error"))).alias("failures"))
+    both = found.join(failed, "target_id", "full_outer")
+    none = F.array().cast(failed.schema["failures"].dataType)
+    both = both.withColumns({"failures": F.coalesce("failures", none), **{c: F.coalesce(c, F.array().cast("array<string>")) for c in ("catalogs", "wavelengths")}, **{c: F.coalesce(c, F.lit(0).cast("long")) for c in ("detections", "objects")}})
+    asked = F.array_union("catalogs", F.transform("failures", lambda x: x["catalog"]))
+    return both.withColumn("catalogs_queried", F.size(asked).cast("long"))
+
+
+def summaries(evidence: DataFrame, name: Column, ra: Column, dec: Column, most: int = 5) -> DataFrame:
+    """target_id, status and text of each evidence record, with its first candidates."""
+    candidates = F.slice(F.flatten(F.map_values(F.coalesce("counterparts", F.create_map().cast(evidence.schema["counterparts"].dataType)))), 1, most)
+    one = lambda c: F.concat(F.lit(" Candidate "), c["source_id"].cast("string"), F.lit(" in "), c["catalog"], F.lit(" lies "), exprs.significant(c["separation"]), F.lit(" arcsec from the query position."))
+    told = F.concat(
+        name, F.lit(": RA "), ra.cast("string"), F.lit(" deg, Dec "), dec.cast("string"), F.lit(" deg. Queried "), F.col("catalogs_queried").cast("string"), F.lit(" catalogs; returned "),
+        F.col("detections").cast("string"), F.lit(" candidate counterparts. "), F.size("failures").cast("string"), F.lit(" catalog queries failed."), F.array_join(F.transform(candidates, one), ""),
+    )
+    return evidence.select("target_id", F.when(F.size("failures") > 0, "partial").otherwise("complete").alias("status"), told.alias("text"))
+
+
+def search_names(names: DataFrame, dimension: DataFrame, sources: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
+    """Matches around the objects that names(target_id, name) mean, and the names that nothing or several things bear (Q8)."""
+    found = catalogs.resolved(names, dimension)
+    targets = found.where("resolution = 'resolved'").select("target_id", F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"))
+    return crossmatch(targets, sources, search), found.where("resolution <> 'resolved'").select("target_id", "name", "resolution")

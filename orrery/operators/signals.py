@@ -1,10 +1,12 @@
 """One-dimensional signals (light curves, spectra) in long form: signal_id, pos, axis, value, error, quality.
 
-Every statistic is an aggregate or a window by signal_id; one shuffle by signal_id serves them all.
+Every statistic is an aggregate or a window by signal_id. Signals that can't be represented come with the reason.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs
-from orrery.operators import store
+from orrery.operators import spatial, store
+from orrery.sources import tables
 
 SHAPE_BINS = 32
 LAGS = (1, 2, 4, 8)
@@ -45,6 +48,14 @@ def prepared(samples: DataFrame) -> DataFrame:
     return usable_samples(samples).join(fit, "signal_id")
 
 
+def rejected(samples: DataFrame) -> DataFrame:
+    """signal_id and reason for signals that prepared() leaves out: too few usable samples, no span, or constant values (N1, ST7)."""
+    ok = usable_samples(samples).groupBy("signal_id").agg(F.count("*").alias("n"), (F.max("axis") - F.min("axis")).alias("span"), (F.max("value") > F.min("value")).alias("varies"))
+    every = samples.select("signal_id").distinct().join(ok, "signal_id", "left")
+    reason = F.when(F.coalesce("n", F.lit(0)) < LEAST_SAMPLES, "too_few_samples").when(~(F.col("span") > 0), "no_span").when(~F.col("varies"), "constant_values")
+    return every.select("signal_id", reason.alias("reason")).where("reason is not null")
+
+
 def in_order() -> Window:
     return Window.partitionBy("signal_id").orderBy("axis", "pos")
 
@@ -107,11 +118,112 @@ def median_derivative(samples: DataFrame) -> DataFrame:
 
 
 def logarithmic_axis(samples: DataFrame) -> DataFrame:
-    """Spectra with the logarithm of their axis, where it is positive throughout."""
+    """Spectra with the logarithm of their axis, where it is positive throughout (C21); with a column modality only those rows."""
     positive = F.min("axis").over(Window.partitionBy("signal_id")) > 0
+    if "modality" in samples.columns:
+        positive = positive & (F.col("modality") == "spectrum")
     return samples.withColumn("axis", F.when(positive, F.log("axis")).otherwise(F.col("axis")))
 
 
+def normalized(samples: DataFrame) -> DataFrame:
+    """Usable samples with values by the signal's median and errors by its size; none of signals with a median of 0."""
+    good = usable_samples(samples)
+    median = good.groupBy("signal_id").agg(F.median("value").alias("__m")).where("__m <> 0")
+    return good.join(median, "signal_id").withColumns({"value": F.col("value") / F.col("__m"), "error": F.col("error") / F.abs("__m")}).drop("__m")
+
+
+def folded(samples: DataFrame, period: float) -> DataFrame:
+    """Samples with their phase about the signal's first time, in the order of phases."""
+    start = samples.groupBy("signal_id").agg(F.min("axis").alias("__t"))
+    return samples.join(start, "signal_id").withColumn("phase", exprs.phase(F.col("axis"), F.col("__t"), period)).drop("__t").withColumn("rank", F.row_number().over(Window.partitionBy("signal_id").orderBy("phase", "axis", "pos")))
+
+
+def read_observations(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Observations out of lines(line, value) of JSON, and the lines that aren't objects with their numbers.
+
+    Blank lines are passed over. An observation needs an observation_id.
+    """
+    rows = lines.where(F.trim("value") != "").withColumn("o", F.from_json(F.when(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{"), F.col("value")), schema))
+    named = F.coalesce(F.trim(F.col("o.observation_id")) != "", F.lit(False))
+    reason = F.when(F.try_parse_json("value").isNull(), "not_json").when(~F.ltrim("value").startswith("{"), "not_an_object").otherwise("no_observation_id")
+    return rows.where(named).select("o.*"), rows.where(~named).select("line", reason.alias("reason"))
+
+
+def delivered(observations: DataFrame) -> DataFrame:
+    """Observations of a delivery, each id once; raises ValueError if an id comes with different contents (U7, ST10, N4)."""
+    told = observations.withColumn("__d", F.sha2(F.to_json(F.struct(*observations.columns)), 256))
+    conflicts = told.groupBy("observation_id").agg(F.count_distinct("__d").alias("n")).where("n > 1").limit(5).collect()  # a few names for the message
+    if conflicts:
+        raise ValueError(f"observations with different contents: {[r['observation_id'] for r in conflicts]}")
+    return told.dropDuplicates(["observation_id"]).drop("__d")
+
+
+def map_rows(observations: DataFrame, vectors: DataFrame, status: DataFrame) -> DataFrame:
+    """Rows for a map of signals (P13): what an observation is, how it was triaged, its vector as JSON.
+
+    observations: observation_id, object_id, title, modality, ra, dec, instrument, band, observed_at, source_url;
+    vectors: signal_id, n, good_fraction, vector; status: signal_id, status, nearest.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = observations.join(vectors, observations["observation_id"] == vectors["signal_id"]).drop("signal_id")
+    rows = rows.join(status.select("signal_id", "status", "nearest"), rows["observation_id"] == status["signal_id"])
+    summary = F.format_string("%s observation with %d usable samples; triage status %s.", "modality", "n", "status")
+    return rows.select(
+        F.concat(F.lit("observation:"), F.col("observation_id").cast("string")).alias("catalog_id"), F.coalesce(F.nullif("title", F.lit("")), F.col("observation_id").cast("string")).alias("title"),
+        F.lit("astronomical_signal").alias("kind"), text("object_id"), "modality", text("instrument"), text("band"), F.col("status").alias("triage_status"), summary.alias("summary"),
+        F.col("ra").alias("ra_deg"), F.col("dec").alias("dec_deg"), F.col("n").alias("sample_count"), "good_fraction", F.col("nearest").alias("nearest_representation_distance"),
+        F.to_json("vector").alias("representation"), text("observed_at"), text("source_url"),
+    )
+
+
+def commit(root: str, observations: DataFrame, references: DataFrame, radius_arcsec: float = 2.0, support: float = 0.25) -> dict:
+    """A delivery's map rows and status counts under root/fingerprint, and root/latest.json that names it.
+
+    observations: those of map_rows, with parallel arrays axis, values, uncertainties and quality. The
+    fingerprint depends on the observations, references and thresholds alone; a delivery that equals the latest
+    one writes nothing and comes back with changed false. Signals that can't be represented are counted by reason.
+    """
+    ready = store.cut(delivered(observations), "delivery")
+    digest = lambda df: str(df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")), F.lit(0)).alias("s")).first())
+    total = ready.count()
+    if not total:
+        raise ValueError("a delivery without observations")
+    fingerprint = hashlib.sha256(json.dumps([digest(ready), digest(references), radius_arcsec, support]).encode()).hexdigest()
+    fs, path = tables.filesystem(root)
+    latest = f"{path}/latest.json"
+    if fs.get_file_info(latest).is_file:
+        with fs.open_input_stream(latest) as f:
+            before = json.loads(f.read())
+        if before["fingerprint"] == fingerprint:
+            return before | {"changed": False}
+    samples = store.cut(logarithmic_axis(long_form(ready).join(ready.select(F.col("observation_id").alias("signal_id"), "modality"), "signal_id")), "samples")
+    counted = prepared(samples).groupBy("signal_id").agg(F.first("n").alias("n"))
+    vectors = store.cut(represent(samples).join(counted, "signal_id"), "vectors")
+    placed = vectors.join(ready.select(F.col("observation_id").alias("signal_id"), "ra", "dec", "modality"), "signal_id")
+    status = store.cut(cross_reference(placed, references, radius_arcsec, support), "status")
+    map_rows(ready, vectors, status).write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{fingerprint}")
+    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}  # six statuses
+    told = {"fingerprint": fingerprint, "observations": total, "statuses": counts, "rejected": {r["reason"]: r["count"] for r in rejected(samples).groupBy("reason").count().collect()}}
+    with fs.open_output_stream(f"{path}/.latest.json") as f:
+        f.write(json.dumps(told, sort_keys=True).encode())
+    fs.move(f"{path}/.latest.json", latest)
+    return told | {"changed": True}
+
+
+def candidates(vectors: DataFrame, references: DataFrame, radius_arcsec: float = 2.0, support: float = 0.25) -> DataFrame:
+    """signal_id, catalog_id, separation, distance, supported and rank for references near each signal.
+
+    Nearer ones come first, of equally near ones those whose vectors are nearer; a distance that is unknown or 0
+    ranks as 3. An equi-join on cubes of the sky; vectors are compared only within the radius and a modality.
+    """
+    v = vectors.select("signal_id", F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"), "modality", "vector")
+    r = references.select("catalog_id", "ra", "dec", F.col("modality").alias("r_modality"), F.col("vector").alias("r_vector"))
+    same = F.coalesce((F.col("modality") == F.col("r_modality")) & (F.size("vector") == F.size("r_vector")), F.lit(False))
+    near = spatial.cone_join(v, r, radius_arcsec).withColumn("distance", F.when(same, exprs.cosine_distance(F.col("vector"), F.col("r_vector"))))
+    order = Window.partitionBy("signal_id").orderBy("separation", F.coalesce(F.nullif("distance", F.lit(0.0)), F.lit(3.0)), "catalog_id")
+    return near.select("signal_id", "catalog_id", "separation", "distance", F.coalesce(F.col("distance") <= support, F.lit(False)).alias("supported"), F.row_number().over(order).alias("rank"))
+
+
 def represent(samples: DataFrame) -> DataFrame:
     """The unit vector of each prepared signal: 12 statistics, shape bins, lag correlations.
 

@@ -40,17 +40,56 @@ def cone_join(targets: DataFrame, sources: DataFrame, radius_arcsec: float, targ
     return joined.where(F.col("separation") <= (F.lit(radius_arcsec) if radius is None else radius))
 
 
+def moving_cone_join(targets: DataFrame, sources: DataFrame, radius_arcsec: float) -> DataFrame:
+    """cone_join with each source where it stands at its target's epoch.
+
+    targets may have t_epoch, sources epoch, pmra and pmdec (mas a year, pmra times cos dec); a source without
+    one of them, or a target without an epoch, is taken as it is. The sources' own ra and dec stay in the result.
+    Slow sources, that move no further than the radius, share a grid of twice the radius; the few fast ones
+    go by a wider grid, so they don't coarsen that of the others.
+    """
+    if "t_epoch" not in targets.columns or not {"epoch", "pmra", "pmdec"} <= set(sources.columns):
+        return cone_join(targets, sources, radius_arcsec)
+    number = lambda c: exprs.finite_or_null(F.col(c).cast("double"))
+    targets = targets.withColumn("__to", number("t_epoch"))
+    first, last = targets.agg(F.min("__to"), F.max("__to")).first()
+    moving = sources.withColumns({"__from": number("epoch"), "__pmra": number("pmra"), "__pmdec": number("pmdec")})
+    years = F.greatest(F.abs(F.lit(first) - F.col("__from")), F.abs(F.lit(last) - F.col("__from")))
+    moving = moving.withColumn("__motion", F.coalesce(F.hypot("__pmra", "__pmdec") / 1000 * years, F.lit(0.0)))
+    widest = moving.agg(F.max("__motion")).first()[0] or 0.0
+    found = None
+    for some, reach in ((F.col("__motion") <= radius_arcsec, 2 * radius_arcsec), (F.col("__motion") > radius_arcsec, radius_arcsec + widest)):
+        if found is not None and widest <= radius_arcsec:
+            break
+        near = cone_join(targets, moving.where(some), min(reach, 180 * 3600.0))
+        ra, dec = exprs.propagated(F.col("ra"), F.col("dec"), F.col("__pmra"), F.col("__pmdec"), F.col("__from"), F.col("__to"))
+        near = near.withColumns({"__ra": ra, "__dec": dec})  # columns of their own: the distance names them several times
+        near = near.withColumn("separation", exprs.angular_separation(F.col("t_ra"), F.col("t_dec"), F.col("__ra"), F.col("__dec"))).where(F.col("separation") <= radius_arcsec)
+        near = near.drop("__motion", "__from", "__to", "__pmra", "__pmdec", "__ra", "__dec")
+        found = near if found is None else found.unionByName(near)
+    return found
+
+
 def top_matches(matches: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:
     """The k first matches of each group, as column rank."""
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def adaptive(matches: DataFrame, by: str, order: list[Column], radius: float) -> DataFrame:
-    """Matches within min(radius, max(1, 1.5 times the median of a target's five nearest))."""
-    nearest = Window.partitionBy(by).orderBy(*order)
-    ranked = matches.withColumn("__r", F.row_number().over(nearest))
-    median = F.median(F.when(F.col("__r") <= 5, F.col("separation"))).over(Window.partitionBy(by))
-    return ranked.withColumn("effective_radius", F.least(F.lit(radius), F.greatest(F.lit(1.0), 1.5 * median))).where("separation <= effective_radius").drop("__r")
+    """Matches within min(radius, max(1, 1.5 times the median of a target's five nearest)).
+
+    The five nearest are cut off before they are shuffled; only their median goes back to the matches.
+    """
+    nearest = top_matches(matches.select(by, "separation", *(c.alias(f"__o{i}") for i, c in enumerate(order))), 5, [by], [F.col(f"__o{i}") for i in range(len(order))])
+    median = nearest.groupBy(by).agg(F.median("separation").alias("__m"))
+    within = matches.join(median, by).withColumn("effective_radius", F.least(F.lit(radius), F.greatest(F.lit(1.0), 1.5 * F.col("__m"))))
+    return within.where("separation <= effective_radius").drop("__m")
+
+
+def circular_center(points: DataFrame, by: list[str]) -> DataFrame:
+    """The mean position of each group, right ascensions on the circle."""
+    r = F.radians("ra")
+    return points.groupBy(*by).agg(exprs.normalized_ra(F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r))))).alias("ra"), F.avg("dec").alias("dec"))
 
 
 def nearest_target(targets: DataFrame, sources: DataFrame, radius_arcsec: float, source_key: str) -> DataFrame:
@@ -61,22 +100,30 @@ def nearest_target(targets: DataFrame, sources: DataFrame, radius_arcsec: float,
 def pair_edges(matches: DataFrame, by: str, key: str, radius_arcsec: float) -> DataFrame:
     """Pairs of one target's detections that lie within max(radius, either error) of each other.
 
-    matches: by, key, ra, dec and error_arcsec, which must not exceed the grid's edge; rows are joined by
-    target and cube, so a crowded target is as many groups as it has cubes.
+    matches: by, key, ra, dec and error_arcsec; an error that isn't a finite number counts as 0. Rows are joined
+    by target and cube, so a crowded target is as many groups as it has cubes. Rows with an error beyond the
+    radius are held against all rows on a wider grid of their own; the others don't see it.
     """
-    widest = matches.agg(F.max("error_arcsec")).first()[0]
-    most = max(radius_arcsec, widest or 0.0)
-    edge = 2 * math.sin(math.radians(most / 3600) / 2) * 1.000001 + 1e-12
     cols = [by, key, "ra", "dec", "error_arcsec"]
-    left = with_cells(matches.select(*cols), "ra", "dec", edge, True).withColumnsRenamed({c: f"l_{c}" for c in cols if c != by})
-    right = with_cells(matches.select(*cols), "ra", "dec", edge, False)
-    pairs = left.join(right, [by, "cx", "cy", "cz"]).where(F.col(f"l_{key}") < F.col(key))
-    sep = exprs.angular_separation(F.col("l_ra"), F.col("l_dec"), F.col("ra"), F.col("dec"))
-    limit = F.greatest(F.lit(radius_arcsec), F.coalesce("l_error_arcsec", F.lit(0.0)), F.coalesce("error_arcsec", F.lit(0.0)))
-    return pairs.where(sep <= limit).select(by, F.col(f"l_{key}").alias("a"), F.col(key).alias("b"))
+    rows = matches.select(*cols).withColumn("error_arcsec", F.coalesce(exprs.finite_or_null(F.col("error_arcsec").cast("double")), F.lit(0.0)))
+    wide = F.col("error_arcsec") > radius_arcsec
+    widest = rows.agg(F.max("error_arcsec")).first()[0] or 0.0
+
+    def joined(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+        edge = 2 * math.sin(math.radians(min(reach / 3600, 180.0)) / 2) * 1.000001 + 1e-12
+        left = with_cells(left, "ra", "dec", edge, True).withColumnsRenamed({c: f"l_{c}" for c in cols if c != by})
+        pairs = left.join(with_cells(right, "ra", "dec", edge, False), [by, "cx", "cy", "cz"])
+        sep = exprs.angular_separation(F.col("l_ra"), F.col("l_dec"), F.col("ra"), F.col("dec"))
+        return pairs.where(sep <= F.greatest(F.lit(radius_arcsec), F.col("l_error_arcsec"), F.col("error_arcsec")))
+
+    before = F.col(f"l_{key}") < F.col(key)
+    pairs = joined(rows.where(~wide), rows.where(~wide), radius_arcsec).where(before)
+    if widest > radius_arcsec:
+        pairs = pairs.unionByName(joined(rows.where(wide), rows, widest).where(before | (~wide & (F.col(f"l_{key}") != F.col(key)))))
+    return pairs.select(by, F.least(f"l_{key}", key).alias("a"), F.greatest(f"l_{key}", key).alias("b"))
 
 
-def group_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str, most_rounds: int = 30) -> DataFrame:
+def group_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str) -> DataFrame:
     """Connected components by target: by, key and root, the least key of the component (A1).
 
     Labels pass along edges and to their label's label, a partial aggregate and a join a round, and lineage
@@ -85,7 +132,7 @@ def group_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str, most_rou
     both = edges.select(by, "a", "b").unionByName(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.distinct(), "edges")
     labels = cut(nodes.select(by, key).distinct().withColumn("root", F.col(key)), "labels")
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels.select(by, F.col(key).alias("b"), "root"), [by, "b"]).groupBy(by, F.col("a").alias(key)).agg(F.min("root").alias("heard"))
         new = labels.join(heard, [by, key], "left").select(by, key, F.least("root", F.coalesce("heard", "root")).alias("new"), F.col("root").alias("old"))
         jump = new.select(by, F.col(key).alias("new"), F.col("new").alias("further"))
@@ -93,4 +140,3 @@ def group_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str, most_rou
         labels = new.select(by, key, "root")
         if new.where("root <> old").isEmpty():
             return labels
-    raise RuntimeError("group_labels: no fixed point")

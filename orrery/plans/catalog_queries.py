@@ -137,13 +137,13 @@ _WAVE = f"{_matches()}, w as (select m.*, r_name as wavelength from m join natio
 
 @query(f"{_WAVE} select target_id, wavelength, count(*) as detections, round(min(separation), 6) as nearest from w group by all")
 def counterpart_counts(spark, sf_dir):
-    """A3, A4, J7, P16."""
+    """A4 in plain Spark; evidence_records and evidence_counterparts go through the library."""
     return _with_wavelength(spark, sf_dir).groupBy("target_id", "wavelength").agg(F.count("*").alias("detections"), F.round(F.min("separation"), 6).alias("nearest"))
 
 
 @query(f"{_WAVE} select target_id, array_to_string(list_sort(list(distinct catalog)), ',') as catalogs, array_to_string(list_sort(list(distinct wavelength)), ',') as wavelengths, count(distinct catalog) as catalogs_queried from w group by all")
 def group_attributes(spark, sf_dir):
-    """A2, A5."""
+    """A2 in plain Spark; evidence_records goes through the library."""
     listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     return _with_wavelength(spark, sf_dir).groupBy("target_id").agg(listed("catalog").alias("catalogs"), listed("wavelength").alias("wavelengths"), F.count_distinct("catalog").alias("catalogs_queried"))
 
@@ -306,21 +306,21 @@ def union_catalogs(spark, sf_dir):
 
 @query("select p_brand from part where p_size > 30 intersect select p_brand from part where p_retailprice < 1500")
 def intersected_fields(spark, sf_dir):
-    """U5, U10."""
+    """U10."""
     p = _table(spark, sf_dir, "part")
     return p.where("p_size > 30").select("p_brand").intersect(p.where("p_retailprice < 1500").select("p_brand"))
 
 
 @query("select o_orderpriority as provider, count(*) as records, min(o_orderdate) as first_at, max(o_orderdate) as last_at from orders group by all")
 def provider_stats(spark, sf_dir):
-    """A8, A27."""
-    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("provider")).agg(F.count("*").alias("records"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
+    """A8."""
+    return catalogs.provider_stats(_table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "provider"), "provider", "o_orderdate")
 
 
 @query("""with o as (select o_custkey, count(*) as members, bool_or(o_orderstatus = 'F') as has_f, max(o_totalprice) as best from orders group by o_custkey)
 select count(*) filter (members >= 5 and has_f) as usable, count(*) as matching, greatest(0, 2000 - count(*) filter (members >= 5 and has_f)) as missing, count(*) filter (members < 5) as gaps from o""")
 def coverage_totals(spark, sf_dir):
-    """F17, A6, A7, A9, D4."""
+    """Conditional counts in plain Spark; coverage_request and dataset_origins go through the library."""
     o = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("members"), F.bool_or(F.col("o_orderstatus") == "F").alias("has_f"))
     usable = F.count_if((F.col("members") >= 5) & F.col("has_f"))
     return o.agg(usable.alias("usable"), F.count("*").alias("matching"), F.greatest(F.lit(0).cast("long"), 2000 - usable).alias("missing"), F.count_if(F.col("members") < 5).alias("gaps"))
@@ -328,7 +328,7 @@ def coverage_totals(spark, sf_dir):
 
 @query("select l_returnflag, l_linestatus, count(*) as n, case when bool_and(l_discount > 0) then 'complete' when bool_or(l_discount > 0) then 'partial' else 'failed' end as status from lineitem group by all")
 def status_histogram(spark, sf_dir):
-    """A10, A12."""
+    """A12, in plain Spark; product_outcomes goes through the library."""
     ok = F.col("l_discount") > 0
     status = F.when(F.bool_and(ok), "complete").when(F.bool_or(ok), "partial").otherwise("failed")
     return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), status.alias("status"))
@@ -413,20 +413,18 @@ def signal_vectors(spark, sf_dir):
 select signal_id, pos, round(case when f > 0.5 then f - 1 else f end, 6) + 0 as phase from p""")
 def phase_fold(spark, sf_dir):
     """C11, W9."""
-    s = samples_of(spark, sf_dir)
-    t0 = F.min("axis").over(Window.partitionBy("signal_id"))
-    return s.select("signal_id", "pos", F.round(exprs.phase(F.col("axis"), t0, 86400), 6).alias("phase"))
+    return signals.folded(samples_of(spark, sf_dir), 86400).select("signal_id", "pos", F.round("phase", 6).alias("phase"))
 
 
 @query(f"with {_E} select signal_id, pos, round(value / median(value) over (partition by signal_id), 6) as value from ev")
 def normalized_flux(spark, sf_dir):
     """C13, N5."""
-    return samples_of(spark, sf_dir).select("signal_id", "pos", F.round(F.try_divide(F.col("value"), F.median("value").over(Window.partitionBy("signal_id"))), 6).alias("value"))
+    return signals.normalized(samples_of(spark, sf_dir)).select("signal_id", "pos", F.round("value", 6).alias("value"))
 
 
-_QUERY_VECTORS = 20
+_QUERIES = "vec_id % 100 = 0"
 _DIST = "greatest(0, least(2, 1 - list_dot_product(q.e, r.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(r.e, r.e)))))"
-_PAIRS = f"""with v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select q.vec_id as query_id, r.vec_id, {_DIST} as d from v q join v r on r.label = q.label and r.vec_id >= {_QUERY_VECTORS} where q.vec_id < {_QUERY_VECTORS})"""
+_PAIRS = f"""with v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select q.vec_id as query_id, r.vec_id, {_DIST} as d from v q join v r on r.label = q.label and r.vec_id <> q.vec_id where q.{_QUERIES})"""
 
 
 def _as_signals(spark, sf_dir, observed: str, references: str) -> tuple[DataFrame, DataFrame]:
@@ -437,8 +435,8 @@ def _as_signals(spark, sf_dir, observed: str, references: str) -> tuple[DataFram
 
 
 def _reference_status(spark, sf_dir) -> DataFrame:
-    """The bounded set of observed vectors that the SQL names, against the references that it names."""
-    found = signals.cross_reference(*_as_signals(spark, sf_dir, f"vec_id < {_QUERY_VECTORS}", f"vec_id >= {_QUERY_VECTORS}"), support=0.9)
+    """Every vector whose id 100 divides against all others of its label."""
+    found = signals.cross_reference(*_as_signals(spark, sf_dir, _QUERIES, "true"), support=0.9, but_own=True)
     return found.where("comparable > 0").withColumnRenamed("signal_id", "query_id")
 
 
@@ -458,15 +456,14 @@ def triage(spark, sf_dir):
 @query()
 def cross_reference(spark, sf_dir):
     """Every vector whose id 100 divides against all others of its label; tests hold it against brute force."""
-    found = signals.cross_reference(*_as_signals(spark, sf_dir, "vec_id % 100 = 0", "true"), support=0.9, but_own=True)
+    found = signals.cross_reference(*_as_signals(spark, sf_dir, _QUERIES, "true"), support=0.9, but_own=True)
     return found.select(F.col("signal_id").alias("query_id"), F.round("nearest", 6).alias("nearest"), "supported", "candidates", "comparable", "status")
 
 
 @query(f"with {_S} select catalog, round((degrees(atan2(avg(sin(radians(ra))), avg(cos(radians(ra))))) + 360) % 360, 6) as ra, round(avg(dec), 6) as dec from src group by catalog")
 def circular_center(spark, sf_dir):
     """A22."""
-    r = F.radians("ra")
-    return sources_of(spark, sf_dir).groupBy("catalog").agg(F.round(F.pmod(F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r)))), F.lit(360.0)), 6).alias("ra"), F.round(F.avg("dec"), 6).alias("dec"))
+    return spatial.circular_center(sources_of(spark, sf_dir), ["catalog"]).select("catalog", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
 
 
 @query(f"with {_S} select source_id, round((((ra - 0.3 + 180) % 360 + 360) % 360 - 180) * cos(radians(10.1)) * 3600, 4) + 0 as east, round((dec - 10.1) * 3600, 4) + 0 as north from src")
@@ -490,7 +487,7 @@ def count_limited(spark, sf_dir):
 
 @query("select c_custkey, ((c_acctbal::bigint * 7) % 360 + 360) % 360 as ra, case when abs(c_acctbal) / 100 <= 90 then 'valid' else 'quarantined' end as status from customer")
 def coordinate_check(spark, sf_dir):
-    """C4, F14, P2."""
+    """C4, F14; normalized_sources goes through the whole normalisation."""
     c = _table(spark, sf_dir, "customer").withColumns({"raw": F.bround("c_acctbal").cast("long") * 7, "dec": F.abs("c_acctbal") / 100})
     ok = exprs.valid_position(F.col("raw").cast("double"), F.col("dec"))
     return c.select("c_custkey", F.pmod("raw", F.lit(360)).cast("long").alias("ra"), F.when(ok, "valid").otherwise("quarantined").alias("status"))
@@ -498,7 +495,7 @@ def coordinate_check(spark, sf_dir):
 
 @query("select p_partkey, field, value from (select p_partkey, unnest(['size', 'price']) as field, unnest([p_size::double, p_retailprice]) as value from part) where value between -100 and 1200")
 def measurement_unpivot(spark, sf_dir):
-    """P8, P9."""
+    """An unpivot in plain Spark; photometry goes through the library."""
     p = _table(spark, sf_dir, "part")
     return p.select("p_partkey", F.explode(F.array(F.struct(F.lit("size").alias("field"), F.col("p_size").cast("double").alias("value")), F.struct(F.lit("price").alias("field"), F.col("p_retailprice").alias("value")))).alias("m")).select("p_partkey", "m.field", "m.value").where("value between -100 and 1200")
 
@@ -512,7 +509,7 @@ def stable_ids(spark, sf_dir):
 @query("""select 'host:' || n_nationkey as from_id, 'region:' || n_regionkey as to_id, 'part_of' as relation from nation
 union all select 'planet:' || s_suppkey, 'host:' || s_nationkey, 'orbits' from supplier""")
 def relationship_edges(spark, sf_dir):
-    """G2, A25, P12."""
+    """A union of edges in plain Spark; planet_edges and planet_map_rows go through the library."""
     at = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
     hosts = _table(spark, sf_dir, "nation").select(at("host", "n_nationkey").alias("from_id"), at("region", "n_regionkey").alias("to_id"), F.lit("part_of").alias("relation"))
     return hosts.unionByName(_table(spark, sf_dir, "supplier").select(at("planet", "s_suppkey").alias("from_id"), at("host", "s_nationkey").alias("to_id"), F.lit("orbits").alias("relation")))

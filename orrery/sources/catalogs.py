@@ -73,7 +73,79 @@ def json_records(text: Column, schema: str) -> Column:
 
 
 def resolved(names: DataFrame, dimension: DataFrame) -> DataFrame:
-    """names(name) with the position of the object of that name or alias, compared without case and extra space."""
+    """names(name) with the position of the object of that name or alias, compared without case and extra space.
+
+    resolution tells names that one position answers to (resolved) from those of several (ambiguous) and none
+    (unknown); only the first have a position.
+    """
     key = lambda c: F.lower(exprs.collapsed(F.col(c)))
-    known = dimension.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"), "ra", "dec").select(key("n").alias("k"), "ra", "dec").dropDuplicates(["k"])
-    return names.withColumn("k", key("name")).join(known, "k", "left").drop("k")
+    borne = dimension.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"), "ra", "dec").select(key("n").alias("k"), F.struct("ra", "dec").alias("at"))
+    known = borne.groupBy("k").agg(F.count_distinct("at").alias("n"), F.min("at").alias("at"))
+    at = names.withColumn("k", key("name")).join(known, "k", "left").drop("k")
+    resolution = F.when(F.col("n").isNull(), "unknown").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
+    one = lambda c: F.when(F.col("n") == 1, F.col("at").getField(c)).alias(c)
+    return at.select(*names.columns, one("ra"), one("dec"), resolution.alias("resolution"))
+
+
+def comment_records(body: Column) -> Column:
+    """The rows of a CSV body as maps of texts by column: lines that begin with # after blanks are left out.
+
+    The first line that is left holds the names; a cell in quotes may hold commas and doubled quotes, no line
+    breaks. Cells that a line lacks are null.
+    """
+    lines = F.filter(F.split(body, r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
+    plain = lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, r'^"|"$', ""), '""', '"')).otherwise(c)
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),')), plain)
+    names = F.transform(cells(F.get(lines, 0)), lambda n: F.trim(F.regexp_replace(n, "^\ufeff", "")))
+    row = lambda line: F.map_from_arrays(names, F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda i: F.get(cells(line), i)))
+    return F.when(F.size(lines) > 1, F.transform(F.slice(lines, 2, F.size(lines) - 1), row)).otherwise(F.array().cast("array<map<string,string>>"))
+
+
+def evidence_sources(text: Column) -> Column:
+    """Sources of an evidence document, as JSON objects with their catalog.
+
+    Taken from catalog_results (each with its catalog's name where it has none), else counterparts, else
+    sources, else the document itself if it has a catalog; a list of documents gives those of all.
+    """
+    one = "struct<catalog_results:map<string,struct<sources:array<string>>>,counterparts:map<string,array<string>>,sources:array<string>,catalog:string>"
+    texts = "array<string>"
+
+    def of(doc: Column) -> Column:
+        d = F.from_json(doc, one)
+        named = lambda e: F.transform(F.coalesce(e["value"]["sources"], F.array().cast(texts)), lambda s: F.when(F.get_json_object(s, "$.catalog").isNull(), F.concat(F.lit('{"catalog":'), F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(","), F.regexp_replace(s, r"^\s*\{", ""))).otherwise(s))
+        from_results = F.flatten(F.transform(F.map_entries(d["catalog_results"]), named))
+        return F.coalesce(from_results, F.flatten(F.map_values(d["counterparts"])), d["sources"], F.when(d["catalog"].isNotNull(), F.array(doc)), F.array().cast(texts))
+
+    return F.when(F.ltrim(text).startswith("["), F.flatten(F.transform(F.from_json(text, texts), of))).otherwise(of(text))
+
+
+# Names of measured columns.
+_MAGNITUDE = r"(?i)^(j|h|k|w[1-4])_?m(?:pro|ag)?$"
+_FLUX = r"(?i)(flux|fpeak|fint|peakflux|intflux)"
+_NOT_MEASURED = r"(?i)(err|sig|snr|rms|noise|flag|qual|limit|upper|chisq|chi2)"
+
+
+def infrared_or_radio(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """Sources of infrared and radio catalogs that have a position, each catalog, id and position once.
+
+    sources: catalog, source_id, ra, dec, data and, as far as known, wavelength; the registry knows the rest.
+    """
+    known = F.broadcast(registry.select("catalog", F.lower("wavelength").alias("__w")))  # one row a catalog
+    own = F.nullif(F.lower(F.trim("wavelength")), F.lit("")) if "wavelength" in sources.columns else F.lit(None)
+    waves = sources.join(known, "catalog", "left").withColumn("wavelength", F.coalesce(own, "__w", F.lit("unknown"))).drop("__w")
+    ok = waves.where(F.col("wavelength").isin("infrared", "radio") & exprs.valid_position(F.col("ra"), F.col("dec")))
+    return ok.dropDuplicates(["catalog", "source_id", "ra", "dec"])
+
+
+def photometry(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each measurement in sources(wavelength, data map of texts): keys, label and value.
+
+    Infrared: bands within 100 magnitudes of 0, by band; radio: all columns that tell a flux. Errors, limits
+    and flags are not measurements.
+    """
+    at = sources.select(*keys, "wavelength", F.explode("data").alias("name", "text")).withColumn("name", F.trim("name"))
+    at = at.where(~F.col("name").rlike(_NOT_MEASURED)).withColumn("value", exprs.finite_or_null(F.trim("text").try_cast("double")))
+    infrared = (F.col("wavelength") == "infrared") & F.col("name").rlike(_MAGNITUDE) & F.col("value").between(-100, 100)
+    radio = (F.col("wavelength") == "radio") & F.col("name").rlike(_FLUX) & F.col("value").isNotNull()
+    label = F.when(F.col("wavelength") == "infrared", F.upper(F.regexp_extract("name", _MAGNITUDE, 1))).otherwise(F.col("name"))
+    return at.where(infrared | radio).select(*keys, label.alias("label"), "value")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from orrery.operators.store import cut
 from orrery.sources.tables import filesystem
 
 
@@ -21,6 +25,7 @@ class Policy:
     parquet_fields: int = 64
     parquet_bytes: int = 8 << 20
     part_rows: int = 100_000
+    part_bytes: int = 64 << 20
 
     def __post_init__(self):
         if any(v <= 0 for v in asdict(self).values()):
@@ -47,6 +52,25 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*(F.to_json(f.name).alias(f.name) if nested(f.dataType) else F.col(f.name) for f in df.schema))
 
 
+def part_digests(spark, folder: str) -> DataFrame:
+    """path, length and SHA-256 of each file under folder; tasks read the files in pieces."""
+    names = spark.read.format("binaryFile").load(folder).select("path", "length")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = []
+            for path in b.column("path").to_pylist():
+                fs, file = filesystem(path)
+                sha = hashlib.sha256()
+                with fs.open_input_stream(file, compression=None) as f:
+                    while piece := f.read(1 << 20):
+                        sha.update(piece)
+                told.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(told, pa.string())], ["path", "length", "sha256"])
+
+    return names.repartition("path").mapInArrow(digests, "path string, length long, sha256 string")
+
+
 def materialize(df: DataFrame, path: str, asked: str | None = None, use: str | None = None, policy: Policy = Policy()) -> dict:
     """Write df under path in parts of at most part_rows, and a manifest with counts and checksums.
 
@@ -54,20 +78,22 @@ def materialize(df: DataFrame, path: str, asked: str | None = None, use: str | N
     names them: a run that is lost leaves no dataset. FITS is written as Parquet, which readers of the
     manifest are told, since Spark has no writer for it; sources.tables.write_fits makes single files.
     """
+    df = cut(df, "dataset")  # read once, so that the counts are those of the rows that are written
     size = df.select(F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes"), F.count("*").alias("rows")).first()
     kind = chosen_format(df, size["rows"], size["bytes"] or 0, asked, use, policy)
     written = {"jsonl": "json", "fits": "parquet"}.get(kind, kind)
     out = df if kind in ("jsonl", "parquet") else flat(df)
     data = f"{path.rstrip('/')}/data-{uuid.uuid4().hex}"
-    writer = out.write.option("maxRecordsPerFile", policy.part_rows)
+    rows = max(1, min(policy.part_rows, policy.part_bytes * max(1, size["rows"]) // max(1, size["bytes"] or 0)))  # a part's bytes by the mean row
+    writer = out.write.option("maxRecordsPerFile", rows)
     if written == "csv":
         writer = writer.option("header", True)
     if written == "parquet":
         writer = writer.option("compression", "zstd")
     writer.format(written).save(data)
-    parts = df.sparkSession.read.format("binaryFile").load(data).select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
+    parts = part_digests(df.sparkSession, data).orderBy("path").collect()  # one row a part
     manifest = {
-        "format": kind, "written_as": written, "rows": size["rows"], "fields": [[f.name, f.dataType.simpleString()] for f in df.schema],
+        "format": written if kind == "fits" else kind, "asked": asked or use, "written_as": written, "rows": size["rows"], "fields": [[f.name, f.dataType.simpleString()] for f in df.schema],
         "bytes": sum(p["length"] for p in parts), "parts": [{"path": p["path"], "bytes": p["length"], "sha256": p["sha256"]} for p in parts],
     }
     fs, root = filesystem(path)
@@ -83,7 +109,7 @@ def read_back(spark, path: str) -> DataFrame:
     fs, root = filesystem(path)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
-    schema = ", ".join(f"`{n}` {k if manifest['written_as'] in ('json', 'parquet') and manifest['format'] != 'fits' else k if not k.startswith(('array', 'map', 'struct')) else 'string'}" for n, k in manifest["fields"])
+    schema = ", ".join(f"`{n}` {k if manifest['written_as'] == 'json' or manifest['format'] == 'parquet' and manifest['asked'] not in ('astronomy', 'fits') else k if not k.startswith(('array', 'map', 'struct')) else 'string'}" for n, k in manifest["fields"])
     reader = spark.read.schema(schema)
     if manifest["written_as"] == "csv":
         reader = reader.option("header", True)

@@ -42,13 +42,14 @@ def quoted(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
 
 
-def links(catalog: Column, source_id: Column, ra: Column, dec: Column, provider: Column) -> Column:
+def links(catalog: Column, source_id: Column, ra: Column, dec: Column, provider: Column, wavelength: Column | None = None) -> Column:
     """A map of outbound links by site, without the sites that don't apply (P5)."""
     at = F.concat_ws("%20", ra.cast("string"), dec.cast("string"))
     every = F.array(
         F.when(catalog == "simbad", F.struct(F.lit("SIMBAD").alias("site"), F.concat(F.lit("https://simbad.cds.unistra.fr/simbad/sim-id?Ident="), quoted(source_id)).alias("url"))),
         F.when(catalog == "ned", F.struct(F.lit("NED").alias("site"), F.concat(F.lit("https://ned.ipac.caltech.edu/byname?objname="), quoted(source_id)).alias("url"))),
         F.when(provider == "mast", F.struct(F.lit("MAST").alias("site"), F.concat(F.lit("https://mast.stsci.edu/portal/Mashup/Clients/Mast/Portal.html?searchQuery="), at).alias("url"))),
+        F.when(F.lit(False) if wavelength is None else wavelength.isin("optical", "extragalactic"), F.struct(F.lit("LegacySurvey").alias("site"), F.concat(F.lit("https://www.legacysurvey.org/viewer/fits-cutout?ra="), ra.cast("string"), F.lit("&dec="), dec.cast("string"), F.lit("&pixscale=0.262&bands=griz")).alias("url"))),
         F.when(provider == "irsa_gator", F.struct(F.lit("IRSA").alias("site"), F.concat(F.lit("https://irsa.ipac.caltech.edu/applications/finderchart/servlet/api?locstr="), at).alias("url"))),
     )
     return F.map_from_entries(F.array_compact(every))

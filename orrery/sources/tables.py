@@ -6,6 +6,7 @@ as Arrow batches. Files are opened through the filesystem that their URI names.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import xml.etree.ElementTree as ET
@@ -132,11 +133,15 @@ def _header(data: bytes, at: int) -> tuple[dict[str, object], int]:
 def parse_fits(data: bytes) -> tuple[dict[str, object], StructType, list[np.ndarray | list]]:
     """Primary header, columns, and values by column of the first binary table (S16); scalars only, NaN as null."""
     primary, at = _header(data, 0)
-    sizes = [int(primary.get(f"NAXIS{i}", 0)) for i in range(1, int(primary.get("NAXIS", 0)) + 1)]
-    at += -(-(math.prod(sizes) * abs(int(primary.get("BITPIX", 8))) // 8 if sizes else 0) // _BLOCK) * _BLOCK
-    table, at = _header(data, at)
-    if table.get("XTENSION") != "BINTABLE":
-        raise TableError("the first extension is not a binary table")
+    table = primary
+    while table.get("XTENSION") != "BINTABLE":  # other extensions are passed over
+        sizes = [int(table.get(f"NAXIS{i}", 0)) for i in range(1, int(table.get("NAXIS", 0)) + 1)]
+        size = (math.prod(sizes) + int(table.get("PCOUNT", 0))) * abs(int(table.get("BITPIX", 8))) // 8 if sizes else 0
+        at += -(-size // _BLOCK) * _BLOCK
+        if at >= len(data):
+            raise TableError("no binary table")
+        table, at = _header(data, at)
+    primary = {**table, **primary} if table is not primary else primary
     names, formats, kinds = [], [], []
     for i in range(1, int(table["TFIELDS"]) + 1):
         repeat, code = re.match(r"(\d*)([A-Z])", str(table[f"TFORM{i}"])).groups()
@@ -152,9 +157,18 @@ def parse_fits(data: bytes) -> tuple[dict[str, object], StructType, list[np.ndar
         names.append(str(table.get(f"TTYPE{i}", f"col{i}")))
     rows = np.frombuffer(data, np.dtype({"names": names, "formats": formats, "offsets": np.cumsum([0, *(np.dtype(f).itemsize for f in formats)])[:-1].tolist(), "itemsize": int(table["NAXIS1"])}), int(table["NAXIS2"]), at)
     columns = []
-    for name, kind in zip(names, kinds, strict=True):
+    for i, (name, kind) in enumerate(zip(names, kinds, strict=True), 1):
         x = rows[name]
-        if kind is DoubleType:
+        null, scale, zero = (table.get(f"{k}{i}") for k in ("TNULL", "TSCAL", "TZERO"))
+        if kind is LongType and (null, scale, zero) != (None, None, None):
+            whole = float(scale or 1) == 1 and float(zero or 0).is_integer()
+            told = [None if v == null else v + int(zero or 0) if whole else v * float(scale or 1) + float(zero or 0) for v in x.astype(object).tolist()]
+            if not whole:
+                kinds[i - 1] = DoubleType
+            columns.append(told)
+        elif kind is DoubleType and (scale, zero) != (None, None):
+            columns.append([v * float(scale or 1) + float(zero or 0) if math.isfinite(v) else None for v in x.astype(float).tolist()])
+        elif kind is DoubleType:
             columns.append([v if math.isfinite(v) else None for v in x.astype(float).tolist()])
         elif kind is StringType:
             columns.append([v.decode("ascii", "replace").rstrip() for v in x.tolist()])
@@ -163,6 +177,58 @@ def parse_fits(data: bytes) -> tuple[dict[str, object], StructType, list[np.ndar
     return primary, StructType([StructField(n, k()) for n, k in zip(names, kinds, strict=True)]), columns
 
 
+ALLOWED_FLUX = ("PDCSAP_FLUX", "SAP_FLUX")
+OBSERVATION = (
+    "observation_id string, object_id string, title string, modality string, ra double, dec double, axis array<double>, `values` array<double>, uncertainties array<double>, quality array<long>, "
+    "instrument string, band string, observed_at string, source_url string, time_reference double, file string"
+)
+
+
+def light_curve(data: bytes, flux: str = "PDCSAP_FLUX", name: str = "", uri: str = "", version: str = "") -> dict:
+    """A light-curve file as an observation (S16, U6, C28): identity from its headers, samples that aren't numbers as null."""
+    flux = flux.upper()
+    if flux not in ALLOWED_FLUX:
+        raise TableError(f"flux must be one of {ALLOWED_FLUX}")
+    primary, schema, columns = parse_fits(data)
+    by_name = {n.upper(): c for n, c in zip(schema.names, columns, strict=True)}
+    lacking = {"TIME", flux, flux + "_ERR", "QUALITY"} - by_name.keys()
+    if lacking:
+        raise TableError(f"columns {sorted(lacking)} are lacking")
+    ra, dec = primary.get("RA_OBJ"), primary.get("DEC_OBJ")
+    if ra is None or dec is None:
+        raise TableError("the headers have no position")
+    if not by_name["TIME"]:
+        raise TableError("no samples")
+    tic, sector = primary.get("TICID") or primary.get("OBJECT") or name, primary.get("SECTOR") or "unknown"
+    key = f"product-{hashlib.sha256(f'{uri}\0{version}'.encode()).hexdigest()[:16]}-" if uri else ""
+    reference = primary.get("BJDREFI"), primary.get("BJDREFF")
+    return {
+        "observation_id": f"tess-{key}sector-{sector}-tic-{tic}-{flux.lower()}", "object_id": f"TIC {tic}", "title": f"TIC {tic}, TESS sector {sector} ({flux})", "modality": "light_curve",
+        "ra": float(ra), "dec": float(dec), "axis": by_name["TIME"], "values": by_name[flux], "uncertainties": by_name[flux + "_ERR"], "quality": by_name["QUALITY"],
+        "instrument": "TESS", "band": "TESS", "observed_at": primary.get("DATE-OBS"), "source_url": uri, "time_reference": None if reference == (None, None) else float(reference[0] or 0) + float(reference[1] or 0), "file": name,
+    }
+
+
+def light_curves(spark, path: str, flux: str = "PDCSAP_FLUX"):
+    """Observations of the FITS files under path, and the files that aren't light curves with the reason (S16, ST7)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    told, error = light_curve(data.as_py(), flux, file.rsplit("/", 1)[-1]), None
+                except TableError as e:
+                    told, error = {"file": file.rsplit("/", 1)[-1]}, str(e)
+                names = [f.strip("` ").split("` ")[0].split(" ")[0] for f in OBSERVATION.split(", ")]
+                kinds = {"string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
+                types = [kinds[f.rsplit(" ", 1)[1]] for f in OBSERVATION.split(", ")]
+                yield pa.RecordBatch.from_arrays([*(pa.array([told.get(n)], k) for n, k in zip(names, types, strict=True)), pa.array([error], pa.string())], [*names, "error"])
+
+    rows = files.mapInArrow(parse, f"{OBSERVATION}, error string")
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("file", "error")
+
+
 def write_fits(names: list[str], columns: list[np.ndarray], header: dict[str, object] | None = None) -> bytes:
     """A binary table of whole numbers (K), numbers (D, null as NaN) and texts (A) as a file's bytes (K5)."""
 
@@ -189,6 +255,9 @@ def write_fits(names: list[str], columns: list[np.ndarray], header: dict[str, ob
 
 # --- the data sources ---
 
+#: Rows of a file that go to Spark at a time.
+BATCH_ROWS = 50_000
+
 
 def _rows_to_batch(schema: StructType, columns: list[list]) -> pa.RecordBatch:
     kinds = {LongType: pa.int64(), DoubleType: pa.float64(), BooleanType: pa.bool_(), StringType: pa.string()}
@@ -206,7 +275,8 @@ class _Reader(DataSourceReader):
         schema, columns = self.source.parse(contents(self.source.options["path"], partition.value))
         by_name = dict(zip(schema.names, columns, strict=True))
         n = len(columns[0]) if columns else 0
-        yield _rows_to_batch(self.schema, [by_name.get(f.name, [None] * n) for f in self.schema])
+        for at in range(0, n, BATCH_ROWS):
+            yield _rows_to_batch(self.schema, [by_name[f.name][at : at + BATCH_ROWS] if f.name in by_name else [None] * len(columns[0][at : at + BATCH_ROWS]) for f in self.schema])
 
 
 class _Tables(DataSource):
@@ -214,10 +284,19 @@ class _Tables(DataSource):
         raise NotImplementedError
 
     def schema(self) -> StructType:
+        """The columns of all files; a column of several types is double if they are numbers, else an error."""
         files = files_of(self.options["path"])
         if not files:
             raise TableError("no files")
-        return self.parse(contents(self.options["path"], files[0]))[0]
+        found: dict[str, StructField] = {}
+        for file in files if self.options.get("merge", "true") == "true" else files[:1]:
+            for f in self.parse(contents(self.options["path"], file))[0]:
+                old = found.setdefault(f.name, f)
+                if type(old.dataType) is not type(f.dataType):
+                    if {type(old.dataType), type(f.dataType)} != {LongType, DoubleType}:
+                        raise TableError(f"column {f.name} of {file} has another type than before")
+                    found[f.name] = StructField(f.name, DoubleType())
+        return StructType(list(found.values()))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self, schema)

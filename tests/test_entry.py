@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from orrery.plans import catalog_queries
+from orrery.plans import catalog_queries, engine_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
