@@ -40,7 +40,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of rows that go to a Python worker at a time: rows with whole texts or sets are large.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -303,9 +302,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 def kept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores below threshold, with all their columns."""
 
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         stems = Stems(model.stems)
         for batch in texts:
-            yield pd.Series([_score(model, stems, t or "") for t in batch], dtype="float64")
+            yield pa.array([_score(model, stems, t.as_py() or "") for t in batch], pa.float64())
 
-    return docs.where(F.pandas_udf(scores, "double")(F.col(text_col)) < threshold)
+    return docs.where(F.arrow_udf(scores, "double")(F.col(text_col)) < threshold)
