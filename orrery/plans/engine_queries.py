@@ -343,15 +343,15 @@ def export_orders(spark, sf_dir):
     return exports.read_back(spark, path)
 
 
-@query(f"""with recursive {_matches(60.5)[5:]}, k as (select *, {_score('separation', 'error')} as confidence from m), c as (select * from k where confidence >= 0.0 and balance >= 0),
-e as (select a.target_id, a.source_id as a, b.source_id as b from k a join k b using (target_id) where a.confidence >= 0.0 and b.confidence >= 0.0 and a.source_id <> b.source_id and {_sep('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= greatest(60.5, a.error, b.error)),
+@query(f"""with recursive {_matches(150.5)[5:]}, k as (select *, {_score('separation', 'error')} as confidence from m), c as (select * from k where confidence >= 0.0 and balance >= 0),
+e as (select a.target_id, a.source_id as a, b.source_id as b from k a join k b using (target_id) where a.confidence >= 0.0 and b.confidence >= 0.0 and a.source_id <> b.source_id and {_sep('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= greatest(150.5, a.error, b.error)),
 reach as (select target_id, source_id as a, source_id as b from k where confidence >= 0.0 union select r.target_id, r.a, e.b from reach r join e on e.target_id = r.target_id and e.a = r.b),
 r as (select target_id, a as source_id, min(b) as root from reach group by target_id, a), n as (select c.*, root, count(*) over (partition by c.target_id, root) as n from c join r using (target_id, source_id))
 select catalog, source_id, target_id from (select *, row_number() over (partition by catalog, source_id order by separation, target_id) as first from n where n >= 2) where first = 1""")
 def dataset_build(spark, sf_dir):
     """A dataset around targets, of objects with two detections at least, each source once."""
     path = f"{store.shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
-    request = search.Search(radius_arcsec=60.5, min_confidence=0.0, count_threshold=2, filters={"min_balance": 0})
+    request = search.Search(radius_arcsec=150.5, min_confidence=0.0, count_threshold=2, filters={"min_balance": 0})
     objects.create_dataset(targets_of(spark, sf_dir), sources_of(spark, sf_dir).withColumnRenamed("error", "error_arcsec"), request, path)
     return exports.read_back(spark, path).select("catalog", "source_id", "target_id")
 
