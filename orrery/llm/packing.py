@@ -28,6 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 256
 FAN_IN = 16
+#: Ids in one Arrow batch of packed pieces, or one piece more.
+BATCH_IDS = 1 << 18
 
 # Characters whose lower case, class and normal form are beyond doubt; texts with others take the library's own way.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
@@ -162,20 +164,17 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, capacity: int, open_bin
         at = np.concatenate([[0], np.cumsum([len(x) for x in told[5]])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(told[5]), pa.int32()), type=ids_type)], [*names, "ids"])
 
-    def placed(rows) -> Iterator[pa.RecordBatch]:
-        done = []
+    def placed(rows: Iterator[tuple]) -> Iterator[tuple]:
         for *piece, length, crc, ids in rows:
             b, at = bins.place(length)
             waiting.setdefault(b, []).append((*piece, length, crc, ids, base + b, at))
-            if bins.closed:
-                for c in bins.closed:
-                    done += [(*r, False, task) for r in waiting.pop(c)]
-                bins.closed.clear()
-                if len(done) >= 512:
-                    yield out(done)
-                    done = []
-        if done:
-            yield out(done)
+            for c in bins.closed:
+                yield from ((*r, False, task) for r in waiting.pop(c))
+            bins.closed.clear()
+        emptiest = sorted(waiting, key=lambda b: sum(r[3] for r in waiting[b]))[:open_bins]
+        still = set(emptiest)  # the open_bins bins with the most free space stay open
+        for b in list(waiting):
+            yield from ((*r, b in still, task) for r in waiting.pop(b))
 
     def rows_of(batch: pa.RecordBatch) -> list[tuple]:
         ids = [None] * batch.num_rows
@@ -183,16 +182,22 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, capacity: int, open_bin
             ids = [x.values.to_numpy().copy() for x in batch.column("ids")]
         return list(zip(*(batch.column(n).to_pylist() for n in names[:5]), ids, strict=True))
 
-    if level == 0:
-        for batch in batches:
-            yield from placed(rows_of(batch))
-    else:  # at most FAN_IN tasks' open bins
-        rows = [r for batch in batches for r in rows_of(batch)]
-        yield from placed(sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1])))
-    if waiting:  # the open_bins bins with the most free space stay open
-        emptiest = sorted(waiting, key=lambda b: sum(r[3] for r in waiting[b]))[:open_bins]
-        still = set(emptiest)
-        yield out([(*r, b in still, task) for b, rows in waiting.items() for r in rows])
+    def longest_first() -> Iterator[tuple]:
+        rows = [r for batch in batches for r in rows_of(batch)]  # at most FAN_IN tasks' open bins
+        rows.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+        rows.reverse()
+        while rows:  # a piece is let go once it is written
+            yield rows.pop()
+
+    ready, held = [], 0
+    for row in placed(longest_first() if level else (r for batch in batches for r in rows_of(batch))):
+        ready.append(row)
+        held += row[3]
+        if len(ready) >= 512 or held >= BATCH_IDS:
+            yield out(ready)
+            ready, held = [], 0
+    if ready:
+        yield out(ready)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
