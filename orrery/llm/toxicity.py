@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,8 @@ SMALL_HASHES = 8
 COMMON_HASHES = 3
 #: The lengths of stems that are tried as voters.
 STEM_LENGTHS = range(4, 11)
+#: Stems that a task counts, or one text's more, before it reports them and begins anew; the reports are added up.
+COUNTED_STEMS = 50_000
 #: A mined stem is in so many toxic training texts at least, with such a log odds ratio and log-likelihood
 #: ratio (G squared) at least: what chance gives among a million stems.
 LEAST_TEXTS = 4
@@ -203,6 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(firsts)], "doc_id long")), "doc_id", "left_semi")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array(list(every.values()), pa.int64())], ["stem", "t", "n"])
+
         toxic, every = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -210,9 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
                 every.update(own)
                 if y:
                     toxic.update(own)
-        for at in range(0, len(every), 100_000):
-            some = list(islice(every.items(), at, at + 100_000))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([toxic[w] for w, _ in some], pa.int64()), pa.array([n for _, n in some], pa.int64())], ["stem", "t", "n"])
+                if len(every) >= COUNTED_STEMS:
+                    yield told()
+                    toxic.clear()
+                    every.clear()
+        yield told()
 
     total = texts.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     n, t = total["n"], total["t"] or 0
