@@ -94,6 +94,11 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
 
 
 def first_deliveries(df: DataFrame, key: str, fingerprint: str, order: str) -> DataFrame:
-    """Of deliveries that repeat a key and fingerprint, the first (ST10)."""
+    """Of deliveries that repeat a key and fingerprint, the first (ST10).
+
+    On a stream, which must bring a watermark, the first to arrive; a repeat later than the watermark's delay passes again.
+    """
+    if df.isStreaming:
+        return df.dropDuplicatesWithinWatermark([key, fingerprint])
     w = Window.partitionBy(key, fingerprint).orderBy(order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -201,3 +201,11 @@ def test_breaker(spark):
     df = spark.createDataFrame([("k", i, float(t), ok) for i, (t, ok) in enumerate(seen)], "key string, id long, seconds double, ok boolean")
     got = [r.state for r in quota.breaker_states(df).orderBy("id").collect()]
     assert got == ["closed"] * 4 + ["open"] * 5 + ["closed", "closed"]
+
+
+def test_first_deliveries_of_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 10), (1, "a", 10), (1, "b", 20), (2, "a", 30), (2, "a", 30)], "k long, f string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = quota.first_deliveries(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour"), "k", "f", "at")
+    stream.writeStream.format("memory").queryName("deliveries").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.k, r.f) for r in spark.table("deliveries").collect()) == [(1, "a"), (1, "b"), (2, "a")]
