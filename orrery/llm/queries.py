@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, bpe, chat, itq, packing, secret_ledger, toxicity, url_filter, warc
+from orrery.llm import ann, balance, bpe, chat, itq, merkle, packing, repair, secret_ledger, toxicity, url_filter, warc
 from orrery.llm.jaccard import jaccard_components
 
 
@@ -61,6 +61,20 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.written_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.pack(balance.document_pieces(_table(spark, sf_dir, "documents")), with_ids=False)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.prove(docs, claimed=merkle.tampered(docs))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree_concatenation": op1_bpe_tree_concatenation,
     "op2_kmeans_tree_neighbours": op2_kmeans_tree_neighbours,
@@ -72,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_language_models": op8_url_language_models,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc_archives": op10_warc_archives,
+    "op11_cost_balanced_packing": op11_cost_balanced_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_ledger": secret_ledger.report_sql(), "op8_url_language_models": url_filter.judged_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_secret_ledger": secret_ledger.report_sql(), "op8_url_language_models": url_filter.judged_sql(), "op12_merkle_manifest": merkle.proofs_sql(), "op13_conversation_repair": repair.report_sql()}
