@@ -31,6 +31,8 @@ LEAVES_MOST = 4096
 #: Rows beyond which a leaf is split, sample rows that this is fitted on, and bytes of centroids that all tasks hold at most.
 LEAF_MOST = 2048
 SPLIT_ROWS = 2048
+#: Of the choice of these rows.
+SEED = 7
 TREE_BYTES = 64 << 20
 #: Queries whose exact neighbours calibrate the visits, and the recall that they widen to.
 CALIBRATION_QUERIES = 128
@@ -162,9 +164,8 @@ def grown(tree: Tree, index: DataFrame, rows: DataFrame, leaf_most: int = LEAF_M
             chosen.append(n)
         if not chosen:
             return tree, index
-        some = F.broadcast(index.sparkSession.createDataFrame([(n,) for n in chosen], "leaf long"))
-        first = Window.partitionBy("leaf").orderBy(F.xxhash64("id", "v"))
-        taken = index.join(some, "leaf").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= split_rows).select("leaf", "v")
+        share = F.broadcast(index.sparkSession.createDataFrame([(n, split_rows / crowded[n]) for n in chosen], "leaf long, share double"))  # leaves of the tree
+        taken = index.join(share, "leaf").where(F.rand(SEED) < F.col("share")).select("leaf", "v")  # some split_rows rows of each
         found = {}
         for r in taken.groupBy("leaf").applyInArrow(split, "leaf long, centroid array<double>, children array<long>").collect():  # TREE_BYTES at most
             pairs = list(zip(r["children"][::2], r["children"][1::2], strict=True))

@@ -6,11 +6,8 @@ template rewrites history. Within a span the turn's text is found by rendering t
 text replaced by two probes: what both outputs share before and after the probe frames the text. The loss
 mask is the spans of the assistant's texts.
 
-Rendering every prefix of n turns costs n renderings of up to n turns. Prefixes of long conversations are
-therefore first rendered from a window of its last turns, WINDOW to twice as many; the whole conversation is
-rendered once at the end and must be all the spans put together. Where it is not, as with a template that
-numbers its turns, the conversation is rendered once more with true prefixes, and those alone decide whether
-the template rewrites history.
+Every prefix is rendered in full, whatever the conversation's length: n turns cost three renderings each of up
+to n turns, and a template that rewrites history at any length is refused.
 """
 
 from __future__ import annotations
@@ -27,8 +24,6 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Turns, and up to twice as many, that a prefix of a longer conversation is rendered from.
-WINDOW = 16
 #: What opens and closes a turn in turn_template; a text that holds one is escaped.
 OPEN, CLOSE = "### ", "</turn>"
 _PROBES = ("probe-one", "another-2")
@@ -76,7 +71,7 @@ def _common(a: str, b: str) -> int:
 
 
 def _span(template: Template, before: list[Turn], turn: Turn, base: str) -> tuple[str, int, int]:
-    """What the turn adds to base, the output of the turns before, and where in it the text begins and ends."""
+    """The output with the turn, base being that of the turns before, and where in it the turn's text begins and ends."""
     out = template([*before, turn])
     if not out.startswith(base):
         raise RewritesHistory("output of a longer conversation does not begin with that of its beginning")
@@ -88,40 +83,20 @@ def _span(template: Template, before: list[Turn], turn: Turn, base: str) -> tupl
         raise ValueError("the template does not keep a turn's text in one place")
     if added[:start] != one[:start] or end and added[len(added) - end :] != one[len(one) - end :]:
         raise ValueError("what frames a turn depends on its text")
-    return added, start, len(added) - end
+    return out, len(base) + start, len(out) - end
 
 
-def render(turns: list[Turn], template: Template = turn_template, window: int = WINDOW) -> Formatted:
+def render(turns: list[Turn], template: Template = turn_template) -> Formatted:
     """Render turns and locate them; raises RewritesHistory for a template that changes what it has put out.
 
-    No turns give the template's output for none. Texts may hold anything, control strings included. The
-    window is a short cut only: where it fails, true prefixes are rendered.
+    No turns give the template's output for none. Texts may hold anything, control strings included. What the
+    template itself raises goes to the caller.
     """
-    if len(turns) > 2 * window:
-        try:
-            return _rendered(turns, template, window)
-        except ValueError:
-            pass
-    return _rendered(turns, template, len(turns))
-
-
-def _rendered(turns: list[Turn], template: Template, window: int) -> Formatted:
-    base = template([])
-    parts, found, at = [base], [], len(base)
-    before: list[Turn] = []
-    for turn in turns:
-        if len(before) >= 2 * window:  # from here on the last turns stand for all
-            before = before[-window:]
-            base = template(before)
-        added, a, b = _span(template, before, turn, base)
-        found.append((turn[0], at, at + len(added), at + a, at + b))
-        parts.append(added)
-        at += len(added)
-        before.append(turn)
-        base += added
-    output = template(turns)
-    if output != "".join(parts):
-        raise RewritesHistory("the whole output is not its turns' spans put together")
+    output, found = template([]), []
+    for k, turn in enumerate(turns):
+        at = len(output)
+        output, a, b = _span(template, turns[:k], turn, output)
+        found.append((turn[0], at, len(output), a, b))
     return Formatted(output, found)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -32,6 +32,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and marks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = fresh_path(df.sparkSession, name)

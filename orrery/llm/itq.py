@@ -37,6 +37,8 @@ LEAST_BITS, MOST_BITS, MOST_TABLES = 8, 24, 96
 FEW, BLOCK = 24, 1024
 #: Pairs of small buckets that a task compares at a time; rows of the sample whose own pairs are sought.
 STEP_PAIRS, REAL_ROWS = 1 << 17, 2_000
+#: Vectors that so many rows share, or a HOT_SHARE-th of all rows if that is more, are joined back by broadcast.
+HOT_ROWS, HOT_SHARE = 1_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -223,7 +225,7 @@ def _block_links(t: pa.Table, codes: Codes, threshold: float) -> pa.Table:
 
 def _of_one_length(good: DataFrame, threshold: float, recall: float) -> DataFrame:
     """vec_id, n_links and component_id for rows (vec_id, label, v) of usable vectors of one length."""
-    nodes = good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("count")).withColumn("node", F.monotonically_increasing_id())
+    nodes = good.groupBy("tag").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("count")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes, "nodes")  # numbered as they are written
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     codes = fit_codes(sample(nodes, F.xxhash64("label", "v"), "v", SAMPLE_ROWS), largest, threshold, recall)
@@ -254,8 +256,12 @@ def _of_one_length(good: DataFrame, threshold: float, recall: float) -> DataFram
     found = cut(components(crowds.selectExpr("node as a", "root as b").unionByName(sure.select("a", "b"))), "found")
     least = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("least_id"))
     of_node = nodes.join(links, "node", "left").join(found.join(least, "component").select("node", "least_id"), "node", "left")
-    of_node = of_node.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("least_id", "least").alias("component_id"))
-    return good.join(of_node, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    of_node = of_node.select("tag", "count", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("least_id", "least").alias("component_id"))
+    of_node = cut(of_node, "of_node")
+    rows, hot = good.select("vec_id", "tag"), max(HOT_ROWS, good.count() // HOT_SHARE)  # at most HOT_SHARE vectors are as frequent
+    told = rows.join(F.broadcast(of_node.where(F.col("count") >= hot).select("tag", F.struct("n_links", "component_id").alias("hot"))), "tag", "left")
+    rare = told.where("hot is null").select("vec_id", "tag").join(of_node.where(F.col("count") < hot), "tag").select("vec_id", "n_links", "component_id")
+    return told.where("hot is not null").select("vec_id", "hot.n_links", "hot.component_id").unionByName(rare)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = RECALL) -> DataFrame:
@@ -271,8 +277,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     element = vectors.schema[vector_col].dataType.elementType
     rows = rows.withColumn("good", usable(F.col("v")) & F.col("label").isNotNull()).withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0).cast(element))))
+    # equal vectors of one label meet by 128 bits of a digest of both
+    rows = rows.withColumn("tag", F.when(F.col("good"), F.unhex(F.md5(F.to_json(F.struct("label", "v")).cast("binary")))))
     rows = cut(rows, "vectors")
-    good = rows.where("good").select("vec_id", "v", "label")
+    good = rows.where("good").select("vec_id", "v", "label", "tag")
     sizes = lengths_of(good, "v", 2)
     alone = rows.where(~(F.col("good") & F.size("v").isin(sizes)))
     out = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

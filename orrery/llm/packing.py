@@ -183,7 +183,12 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, capacity: int, open_bin
         return list(zip(*(batch.column(n).to_pylist() for n in names[:5]), ids, strict=True))
 
     def longest_first() -> Iterator[tuple]:
-        rows = [r for batch in batches for r in rows_of(batch)]  # at most FAN_IN tasks' open bins
+        rows, tasks = [], set()
+        for batch in batches:  # at most FAN_IN tasks' open bins
+            rows += rows_of(batch)
+            tasks |= set(batch.column("task").to_pylist())
+        if len(tasks) > FAN_IN:
+            raise RuntimeError(f"leftovers of {len(tasks)} tasks met in one, {FAN_IN} are the most")
         rows.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
         rows.reverse()
         while rows:  # a piece is let go once it is written
@@ -219,6 +224,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
         if last:
             break
         left = out.where("open")
-        tasks = left.agg(F.countDistinct("task")).first()[0]
-        now = left.withColumn("group", F.floor(F.col("task") / FAN_IN)).repartition(max(1, -(-tasks // FAN_IN)), "group") if tasks > FAN_IN else left.coalesce(1)
+        groups = (left.agg(F.max("task")).first()[0] or 0) // FAN_IN + 1
+        now = left.repartitionById(groups, F.expr(f"cast(task div {FAN_IN} as int)"))
     return done.drop("open", "task")

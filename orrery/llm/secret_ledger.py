@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.llm.common import fresh_path
+from orrery.llm.common import cut, fresh_path, named, small_or_not
 
 # The base rules' patterns, with letters in either case spelt out, and the least length that counts.
 _ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +26,10 @@ _ACCESS = r"AKIA[A-Z0-9]+"
 _HEX = r"[0-9a-f]{24,}"
 
 
+#: Tasks that a blob's copies are spread over before one is taken.
+SPREAD = 64
+
+
 @dataclass(frozen=True)
 class Rule:
     """kind: its name in results; pattern: a Java regular expression; least: the characters needed of the group."""
@@ -97,12 +101,15 @@ class Ledger:
         two scans again and readers take one row of each blob.
         """
         version = version_of(rules)
-        unseen = versions.join(self.scanned(version), "blob", "left_anti")
-        one = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = cut(versions.select("blob").distinct().join(self.scanned(version), "blob", "left_anti"), "unseen")
+        texts = versions.join(small_or_not(blobs), "blob", "left_semi")
+        # one text of each blob: of the tasks' own first ones, whatever a blob's copies, SPREAD meet before they meet in one
+        part = texts.withColumn("part", F.spark_partition_id() % SPREAD).groupBy("blob", "part").agg(F.first("text").alias("text"))
+        one = part.groupBy("blob").agg(F.first("text").alias("text"))
         spans = scan_blobs(one, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end"), F.col("kind_order"), "kind"))).alias("spans"))
         spans = spans.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_order"].alias("kind_order"), s["kind"].alias("kind"))).alias("spans"))
         spans.withColumn("rule_version", F.lit(version)).write.mode("append").parquet(f"{self.path}/findings")
-        unseen.select("blob").distinct().withColumn("rule_version", F.lit(version)).write.mode("append").parquet(f"{self.path}/scanned")
+        blobs.withColumn("rule_version", F.lit(version)).write.mode("append").parquet(f"{self.path}/scanned")
 
 
 def versions_of(docs: DataFrame, path_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -151,7 +158,7 @@ def redacted(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col:
     Documents are joined with their findings by blob, so rows that repeat an id keep their own texts.
     """
     text = F.col("row").getField(text_col)
-    versions = docs.select(F.struct(*docs.columns).alias("row")).withColumn("blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+    versions = docs.select(F.struct(*map(named, docs.columns)).alias("row")).withColumn("blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
     ledger.scan(versions.select("blob", F.coalesce(text, F.lit("")).alias("text")), rules)
     found = ledger.findings(version_of(rules)).groupBy("blob").agg(F.first("spans").alias("spans"))
     joined = versions.join(found, "blob", "left")

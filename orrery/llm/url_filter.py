@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, small_or_not
+from orrery.llm.common import cut
 
 #: Characters of context.
 ORDER = 3
@@ -114,8 +114,11 @@ def gram_weights(examples: DataFrame) -> DataFrame:
 
 
 def scored(texts: DataFrame, weights: DataFrame) -> DataFrame:
-    """texts(key, ..., text) to key and score, the mean weight of its grams."""
-    return _grams(texts).join(small_or_not(cut(weights, "weights")), "gram").groupBy("key").agg(F.avg("weight").alias("score"))
+    """texts(key, ..., text) to key and score, the mean weight of its grams.
+
+    Weights are broadcast: the alphabet bounds them to ALPHABET ** (ORDER + 1) grams, whatever the texts.
+    """
+    return _grams(texts).join(F.broadcast(cut(weights, "weights")), "gram").groupBy("key").agg(F.avg("weight").alias("score"))
 
 
 def threshold(examples: DataFrame) -> float:

@@ -21,6 +21,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,8 @@ MANIFEST = "manifest.json"
 SHARD_BYTES = 64 << 20
 LEAST_SHARDS = 32
 BOUND_KEYS = 200_000
+#: Files that are renamed at a time.
+RENAMES = 16
 #: Payloads that so many rows share, or a HOT_SHARE-th of all rows if that is more, are joined by broadcast.
 HOT_ROWS, HOT_SHARE = 1_000, 100_000
 #: The date of all records, unless an option names another: archives don't depend on when they were written.
@@ -157,9 +160,12 @@ class _Writer(DataSourceArrowWriter):
                 if out is None:
                     name = f"part-{shard:05d}-{rolled:05d}.warc.gz"
                     rolled += 1
+                    sha = hashlib.sha256()
                     entry = {"name": name, "temporary": f"{self.run}/{name}.{attempt}-{uuid.uuid4().hex}", "shard": shard, "records": 0, "bytes": 0, "first": i}
                     out = fs.open_output_stream(f"{root}/{entry['temporary']}", compression=None)
                 out.write(data)
+                sha.update(data)
+                entry["sha256"] = sha.hexdigest()
                 entry["records"] += 1
                 entry["bytes"] += len(data)
                 entry["last"] = i
@@ -173,15 +179,19 @@ class _Writer(DataSourceArrowWriter):
         return _Written(done)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Parts go to a folder named by what they hold, and the manifest that names it is put up last; a folder with a manifest is left as it is."""
+        _refuse_written(self.path)
         fs, root = _files(self.path)
-        fs.create_dir(root, recursive=True)
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f["name"])
-        fs.create_dir(f"{root}/{self.run}", recursive=True)
-        for f in files:
-            fs.move(f"{root}/{f['temporary']}", f"{root}/{f['name']}")
+        told = [{k: v for k, v in f.items() if k != "temporary"} for f in files]
+        folder = f"parts-{hashlib.sha256(json.dumps(told).encode()).hexdigest()[:16]}"
+        for f in (f"{root}/{self.run}", *([f"{root}/{folder}"] if files else [])):
+            fs.create_dir(f, recursive=True)
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(lambda f: fs.move(f"{root}/{f['temporary']}", f"{root}/{folder}/{f['name']}"), files))
         with fs.open_output_stream(f"{root}/{self.run}/{MANIFEST}") as out:
-            out.write(json.dumps({"bounds": self.bounds, "files": [{k: v for k, v in f.items() if k != "temporary"} for f in files]}).encode())
-        _refuse_written(self.path)
+            out.write(json.dumps({"bounds": self.bounds, "folder": folder, "files": told}).encode())
+        _refuse_written(self.path)  # another writer may have been quicker; its parts are in a folder of their own
         fs.move(f"{root}/{self.run}/{MANIFEST}", f"{root}/{MANIFEST}")
         fs.delete_dir(f"{root}/{self.run}")  # what attempts that failed have left goes too
 
@@ -200,7 +210,8 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, root = _files(self.path)
         with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [InputPartition(x["name"]) for x in json.loads(f.read())["files"]] or [InputPartition(None)]
+            told = json.loads(f.read())
+        return [InputPartition(f"{told['folder']}/{x['name']}") for x in told["files"]] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:

@@ -59,6 +59,16 @@ def test_near_duplicates_keeps_every_unlinked_text(spark, sf):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (None, c), (7, d), (8, e), (8, ""), (8, None), (9, ""), (None, "")])
 
 
+def test_stages_bear_dotted_names_maps_and_long_texts(spark, sf):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, "token: abcdefgh", {"k": 1}, 1.5, 15), (1, "token: abcdefgh", {"k": 2}, 2.5, 15), (2, None, None, None, None), (3, long, {}, 0.0, 1)], "doc_id long, text string, `m` map<string,int>, `a.b``c` double, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+        rows = out.collect()
+        assert len(rows) == (3 if name == "near_duplicates" else 4) and max(len(r.text or "") for r in rows) == len(long)
+
+
 def test_stages_bear_columns_named_like_their_helpers(spark, sf):
     docs = spark.createDataFrame([(1, "token: abcdefgh", "k", "b", ["s"], 3), (2, None, None, None, None, 4)], "doc_id long, text string, key string, blob string, spans array<string>, row long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
