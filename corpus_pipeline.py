@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import packing, secret_ledger, toxicity
-from orrery.llm.common import cut, fresh_path
+from orrery.llm.common import cut, fresh_path, named
 from orrery.llm.jaccard import jaccard_components
 
 #: Near duplicates: shingles of so many words, and the least similarity in per cent.
@@ -29,15 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a digest of id and text, so texts that share an id, or have none, stand for
     themselves. A text without words links with nothing. The columns are held in one struct meanwhile, so
-    none clashes with a helper's name; of rows that repeat an id and a text the least by its other columns stays.
+    none clashes with a helper's name; of rows that repeat an id and a text one stays, by a hash of all columns.
     """
     row = F.col("row")
     told = F.to_json(F.struct(row.getField("doc_id").alias("doc_id"), row.getField("text").alias("text")))
-    keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.unhex(F.sha2(told, 256)))
+    keyed = docs.select(F.struct(*map(named, docs.columns)).alias("row")).withColumn("key", F.unhex(F.sha2(told, 256)))
     groups = jaccard_components(keyed.select("key", row.getField("text").alias("text")), "key", words=SHINGLE_WORDS, percent=SIMILARITY).select(F.col("doc_id").alias("key"), "component_id")
     ranked = keyed.select("key", F.struct(row.getField("doc_id").isNull().alias("last"), row.getField("doc_id").alias("doc_id"), "key").alias("rank")).distinct().join(groups.distinct(), "key")
     chosen = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.key")
-    return keyed.join(chosen, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select(*(row.getField(c).alias(c) for c in docs.columns))
+    return keyed.join(chosen, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select(*(row.getField(c).alias(c) for c in docs.columns))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
