@@ -39,47 +39,35 @@ BATCH_IDS = 1 << 18
 _U = np.uint64
 
 
-def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
-    """A list<int32> array; None is null."""
-    at = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in arrays])]).astype(np.int32)
-    there = [x for x in arrays if x is not None]
-    values = np.concatenate(there).astype(np.int32) if there else np.empty(0, np.int32)
-    mask = pa.array([x is None for x in arrays])
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values), mask=mask if any(x is None for x in arrays) else None)
-
-
 def _documents(batches: Iterator[pa.RecordBatch], file: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     bpe = word_bpe(file)
-    task, read = TaskContext.get().partitionId(), count()
+    task, read, end = TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
     for batch in batches:
         for part in text_batches(batch):
             rows, ids = [], []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = np.append(bpe.encode(text), end_id).astype(np.int32)
-                for start, piece in _cut_evenly(own, capacity):
-                    salt = int(mix(np.array([(task << 40) + next(read)], _U))[0] >> _U(1))
-                    rows.append((doc, start, len(piece), len(own), salt))
-                    ids.append(piece)
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(ids)], ["doc_id", "start", "length", "doc_tokens", "salt", "ids"])
-
-
-def _cut_evenly(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, np.ndarray]]:
-    n = -(-len(ids) // capacity)
-    for k in range(n):
-        a, b = len(ids) * k // n, len(ids) * (k + 1) // n
-        yield a, ids[a:b]
+                own = bpe.encode(text).astype("<u4").tobytes() + end
+                tokens = len(own) // 4
+                pieces = -(-tokens // capacity)
+                at = [tokens * k // pieces for k in range(pieces + 1)]
+                for a, b in zip(at, at[1:], strict=False):
+                    rows.append((doc, a, b - a, tokens))
+                    ids.append(own[4 * a : 4 * b])
+            salt = mix(np.arange(len(rows), dtype=_U) + _U((task << 40) + read)) >> _U(1)
+            read += len(rows)
+            columns = [*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), pa.array(salt.astype(np.int64)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "salt", "ids"])
 
 
 def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, doc_tokens, salt and ids: each document's ids and one end_id, in pieces of at most capacity.
+    """doc_id, start, length, doc_tokens, salt and ids (little-endian, 4 bytes each): each document's ids and one end_id, in pieces of at most capacity.
 
     A null or empty text is the end_id alone. Rows that repeat an id, or have none, each give their pieces;
     other columns are ignored. salt is a hash of where a row was read.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(lambda b: _documents(b, file, capacity, end_id), "doc_id long, start long, length long, doc_tokens long, salt long, ids array<int>")
+    return docs.mapInArrow(lambda b: _documents(b, file, capacity, end_id), "doc_id long, start long, length long, doc_tokens long, salt long, ids binary")
 
 
 def capacities(total: int, capacity: int, last: bool) -> list[int]:
@@ -117,7 +105,7 @@ def assign(lengths: list[int], room: list[int], linear: float = LINEAR, quadrati
 
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open", "bucket", "ids"]
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, bucket long, ids array<int>"
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, bucket long, ids binary"
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -126,12 +114,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
     for batch in batches:
         own = batch.column("bucket").to_pylist()
         keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), strict=True)
-        for b, key, ids in zip(own, keys, batch.column("ids"), strict=True):
+        for b, key, ids in zip(own, keys, batch.column("ids").to_pylist(), strict=True):
             if b != bucket and rows:
                 yield bucket, rows
                 rows = []
             bucket = b
-            rows.append((*key, ids.values.to_numpy().copy()))  # a copy, so that no batch is held on to
+            rows.append((*key, ids))
     if rows:
         yield bucket, rows
 
@@ -139,17 +127,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 def _packed(batches: Iterator[pa.RecordBatch], level: int, last: bool, capacity: int, linear: float, quadratic: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
     def out(rows: list[tuple], ids: list) -> pa.RecordBatch:
         columns = [pa.array(x, pa.bool_() if n == "open" else pa.int64()) for n, x in zip(_NAMES[:-1], zip(*rows, strict=True), strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, _lists(ids)], _NAMES)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], _NAMES)
 
     for bucket, pieces in _groups(batches):
-        room = capacities(sum(len(p[3]) for p in pieces), capacity, last)
+        lengths = [len(p[3]) // 4 for p in pieces]
+        room = capacities(sum(lengths), capacity, last)
         base = (level << 56) | (bucket << 20)
         rows, ids, held = [], [], 0
-        for k, begin, n, s, at in assign([len(p[3]) for p in pieces], room, linear, quadratic):
+        for k, begin, n, s, at in assign(lengths, room, linear, quadratic):
             doc, start, tokens, own = pieces[k]
-            part = own[begin : begin + n]
+            part = own[4 * begin : 4 * (begin + n)]
             still = not last and room[s] < capacity
-            rows.append((doc, start + begin, n, zlib.crc32(part.astype("<u4").tobytes()), tokens, base + s, at, still, bucket))
+            rows.append((doc, start + begin, n, zlib.crc32(part), tokens, base + s, at, still, bucket))
             ids.append(part if with_ids or still else None)
             held += n
             if held >= BATCH_IDS:
@@ -160,7 +149,7 @@ def _packed(batches: Iterator[pa.RecordBatch], level: int, last: bool, capacity:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = True) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, and ids if asked) with a sequence_id and their offset in it, gapless from 0.
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, and ids, as in pieces, if asked) with a sequence_id and their offset in it, gapless from 0.
 
     Every id of pieces is in exactly one row. All sequences but some with a power of two of ids are full.
     Which pieces share a sequence depends on how the input was read; an empty input gives no rows. A group
