@@ -11,7 +11,7 @@ from orrery.functions import exprs
 from orrery.operators import catalogs as rows_of_catalogs
 from orrery.operators import fulfilment, objects, planets, products, search, signals, spatial, store
 from orrery.plans.catalog_queries import _E, _S, _matches, _score, _sep, _table, matches_of, query, samples_of, sources_of, targets_of
-from orrery.sources import catalogs, exports, registry
+from orrery.sources import catalogs, exports, registry, tables
 from orrery.streaming import quota
 
 _MOVE = "(x.nation - 12) * 1000"
@@ -343,6 +343,37 @@ def export_orders(spark, sf_dir):
     return exports.read_back(spark, path)
 
 
+_NOTED = """e as (select o_orderkey, case o_orderkey % 7 when 0 then 'line' || chr(10) || o_orderkey when 1 then 'a "quote", \\' when 2 then '' when 3 then null when 4 then ' blanks ' when 5 then chr(13) || chr(10) || chr(9) || 'é' else o_orderpriority end as note,
+    o_orderdate + to_microseconds(o_orderkey % 1000003) as at, case when o_orderkey % 11 = 0 then null else o_totalprice end as price, case when o_orderkey % 5 = 0 then null else o_orderkey % 2 = 0 end as even from orders)"""
+
+
+@query(f"with {_NOTED} select format, e.* from e, (values ('csv'), ('jsonl'), ('json'), ('parquet'), ('fits')) t(format)")
+def export_formats(spark, sf_dir):
+    """K2-K5, K8: texts with line breaks, quotes, backslashes and blanks, empty and null ones, and stamps with microseconds come back equal in every format."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 7 == 0, F.concat(F.lit("line\n"), k.cast("string"))).when(k % 7 == 1, 'a "quote", \\').when(k % 7 == 2, "").when(k % 7 == 4, " blanks ").when(k % 7 == 5, "\r\n\té").when(k % 7 == 6, F.col("o_orderpriority"))
+    at = F.col("o_orderdate") + F.make_dt_interval(secs=(k % 1000003) / F.lit(1000000).cast("decimal(10,0)"))
+    rows = _table(spark, sf_dir, "orders").select(k, note.alias("note"), at.alias("at"), F.when(k % 11 != 0, F.col("o_totalprice")).alias("price"), F.when(k % 5 != 0, k % 2 == 0).alias("even"))
+    found = None
+    for kind in ("csv", "jsonl", "json", "parquet", "fits"):
+        path = f"{store.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+        exports.materialize(rows, path, kind, policy=exports.Policy(part_bytes=4 << 20))
+        back = exports.read_back(spark, path).select(F.lit(kind).alias("format"), *rows.columns)
+        found = back if found is None else found.unionByName(back)
+    return found
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_returnflag, count(*) as n from lineitem where l_quantity >= 25 group by all")
+def fits_ranges(spark, sf_dir):
+    """Line items written as FITS tables, read again by ranges of rows, with four of seven columns and a comparison made on raw values."""
+    path = f"{store.shared_folder(spark)}/fits-{uuid.uuid4().hex}"
+    tables.register(spark)
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    rows.write.format("fits").option("path", path).mode("append").save()
+    read = spark.read.schema("l_orderkey long, l_linenumber long, l_quantity double, l_returnflag string").format("fits").option("splitBytes", 1 << 20).load(path)
+    return read.where("l_quantity >= 25").groupBy("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").agg(F.count("*").alias("n"))
+
+
 @query(f"""with recursive {_matches(150.5)[5:]}, k as (select *, {_score('separation', 'error')} as confidence from m), c as (select * from k where confidence >= 0.0 and balance >= 0),
 e as (select a.target_id, a.source_id as a, b.source_id as b from k a join k b using (target_id) where a.confidence >= 0.0 and b.confidence >= 0.0 and a.source_id <> b.source_id and {_sep('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= greatest(150.5, a.error, b.error)),
 reach as (select target_id, source_id as a, source_id as b from k where confidence >= 0.0 union select r.target_id, r.a, e.b from reach r join e on e.target_id = r.target_id and e.a = r.b),

@@ -1,21 +1,28 @@
 """Readers of scientific table formats as Spark data sources: ipac, votable and fits.
 
-Each file is one input partition, so a directory of many files is read in parallel; the rows of a file come
-as Arrow batches. Files are opened through the filesystem that their URI names.
+Columns are learnt from headers alone. A FITS file is read by ranges of rows and an IPAC file by ranges of
+bytes that end with a line, so one large file is many tasks; a VOTable is parsed as it streams by. Rows come as
+Arrow batches of bounded size. With a schema given, only its columns are converted, and comparisons of FITS
+columns with numbers are made before that. Files are opened through the filesystem that their URI names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import math
+import operator
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 
 class TableError(ValueError):
@@ -28,18 +35,15 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
 
 
-def files_of(path: str) -> list[str]:
+def files_of(path: str) -> list[tuple[str, int]]:
+    """The files under path with their bytes, but those whose names begin with a dot or underscore."""
     from pyarrow import fs
 
     system, root = filesystem(path)
-    if system.get_file_info(root).type == fs.FileType.File:
-        return [root]
-    return sorted(f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
-
-
-def contents(path: str, file: str) -> bytes:
-    with filesystem(path)[0].open_input_stream(file, compression=None) as f:
-        return f.read()
+    whole = system.get_file_info(root)
+    if whole.type == fs.FileType.File:
+        return [(root, whole.size)]
+    return sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
 # --- IPAC ---
@@ -47,25 +51,53 @@ def contents(path: str, file: str) -> bytes:
 _IPAC_TYPES = {"int": LongType, "long": LongType, "i": LongType, "l": LongType, "double": DoubleType, "float": DoubleType, "real": DoubleType, "d": DoubleType, "f": DoubleType, "r": DoubleType}
 
 
-def parse_ipac(text: str) -> tuple[StructType, list[list]]:
-    """Columns and rows of a table with header lines between bars; null where a cell is blank or the null mark."""
-    lines = [x for x in text.splitlines() if x.strip() and not x.startswith("\\")]
-    heads = [x for x in lines if x.startswith("|")]
-    if not heads:
-        raise TableError("no header between bars")
-    bars = [i for i, c in enumerate(heads[0]) if c == "|"]
-    cells = lambda line: [line[a + 1 : b].strip() for a, b in zip(bars, bars[1:], strict=False)]
-    names = cells(heads[0])
-    kinds = [_IPAC_TYPES.get(k.lower(), StringType) for k in cells(heads[1])] if len(heads) > 1 else [StringType] * len(names)
-    nulls = cells(heads[3]) if len(heads) > 3 else [""] * len(names)
+@dataclass
+class IpacLayout:
+    """Columns of a table by the bars of its header, and where its rows begin."""
+
+    schema: StructType
+    bars: list[int]
+    nulls: list[str]
+    at: int = 0
+
+    @classmethod
+    def of(cls, lines: Iterable[str]) -> IpacLayout:
+        """From a file's first lines, with their ends; reads on to the first row only."""
+        heads, at = [], 0
+        for line in lines:
+            if line.startswith("|"):
+                heads.append(line.rstrip("\r\n"))
+            elif line.strip() and not line.startswith("\\"):
+                break
+            at += len(line.encode())
+        if not heads:
+            raise TableError("no header between bars")
+        bars = [i for i, c in enumerate(heads[0]) if c == "|"]
+        cells = lambda line: [line[a + 1 : b].strip() for a, b in zip(bars, bars[1:], strict=False)]
+        names = cells(heads[0])
+        kinds = [_IPAC_TYPES.get(k.lower(), StringType) for k in cells(heads[1])] if len(heads) > 1 else [StringType] * len(names)
+        return cls(StructType([StructField(n, k()) for n, k in zip(names, kinds, strict=True)]), bars, cells(heads[3]) if len(heads) > 3 else [""] * len(names), at)
+
+    def row(self, line: str, wanted: Iterable[int] | None = None) -> list:
+        """The values of a line, null where a cell is blank or the null mark; wanted: places of columns."""
+        ends = [*self.bars[1:-1], None]
+        out = []
+        for i in range(len(ends)) if wanted is None else wanted:
+            cell, kind = line[self.bars[i] : ends[i]].strip(), type(self.schema[i].dataType)
+            null = cell in ("", self.nulls[i]) or cell.lower() == "null"
+            out.append(None if null else int(cell) if kind is LongType else float(cell) if kind is DoubleType else cell)
+        return out
+
+
+def _is_row(line: str) -> bool:
+    return bool(line.strip()) and not line.startswith(("\\", "|"))
 
-    def value(cell: str, kind, null: str):
-        if cell in ("", null) or cell.lower() == "null":
-            return None
-        return int(cell) if kind is LongType else float(cell) if kind is DoubleType else cell
 
-    rows = [[value(c, k, n) for c, k, n in zip((line[a:b].strip() for a, b in zip(bars, [*bars[1:-1], None], strict=False)), kinds, nulls, strict=True)] for line in lines if not line.startswith("|")]
-    return StructType([StructField(n, k()) for n, k in zip(names, kinds, strict=True)]), rows
+def parse_ipac(text: str) -> tuple[StructType, list[list]]:
+    """Columns and rows of a table with header lines between bars; null where a cell is blank or the null mark."""
+    lines = text.splitlines()
+    layout = IpacLayout.of(line + "\n" for line in lines)
+    return layout.schema, [layout.row(line) for line in lines if _is_row(line)]
 
 
 # --- VOTable ---
@@ -73,47 +105,98 @@ def parse_ipac(text: str) -> tuple[StructType, list[list]]:
 _VO_TYPES = {"short": LongType, "int": LongType, "long": LongType, "unsignedByte": LongType, "float": DoubleType, "double": DoubleType, "boolean": BooleanType}
 
 
+def _local(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _vo_value(cell: str | None, kind: type):
+    if cell is None or not cell.strip() and kind is not StringType or cell == "":
+        return None
+    if kind is LongType:
+        return int(cell, 0)
+    if kind is DoubleType:
+        return x if math.isfinite(x := float(cell)) else None
+    return cell.strip().lower() in ("t", "true", "1") if kind is BooleanType else cell
+
+
+class VotableStream:
+    """The first table of a VOTable, parsed as it is read: schema, then rows(); what has gone by is let go.
+
+    strict asks for query statuses and that all be OK; one after the table is met when the rows have been read.
+    """
+
+    def __init__(self, stream, strict: bool = False):
+        self.strict, self.statuses, self.fields = strict, [], []
+        self.path: list[ET.Element] = []
+        self.events, self.in_table, self.ended = ET.iterparse(stream, ("start", "end")), False, False
+        self.first: list | None = None
+        for row in self._steps():  # up to the first row or the table's end
+            self.first = row
+            break
+        if not self.in_table:
+            raise TableError("no table")
+        self.schema = StructType([StructField(n, k()) for n, k in self.fields])
+
+    def _status(self, e: ET.Element) -> None:
+        if _local(e) == "INFO" and e.get("name") == "QUERY_STATUS":
+            self.statuses.append(e.get("value"))
+            if e.get("value") in ("ERROR", "OVERFLOW"):
+                raise TableError(f"query status {self.statuses}")
+
+    def _steps(self) -> Iterator[list]:
+        try:
+            for event, e in self.events:
+                name = _local(e)
+                if event == "start":
+                    self.path.append(e)
+                    if name == "TABLE" and not self.ended:
+                        self.in_table = True
+                    continue
+                self.path.pop()
+                self._status(e)
+                if self.in_table and not self.ended and name == "FIELD":
+                    self.fields.append((e.get("name"), _VO_TYPES.get(e.get("datatype"), StringType) if not e.get("arraysize") else StringType))
+                if self.in_table and not self.ended and name == "TR":
+                    cells = [c for c in e if _local(c) == "TD"]
+                    yield [_vo_value(c.text, k) for c, (_, k) in zip(cells, self.fields, strict=True)]
+                if name == "TABLE":
+                    self.ended = True
+                if name in ("TR", "TABLE", "RESOURCE", "INFO") and self.path:
+                    self.path[-1].remove(e)
+        except ET.ParseError as e:
+            raise TableError(f"not XML: {e}") from e
+        if self.strict and (not self.statuses or any(s != "OK" for s in self.statuses)):
+            raise TableError(f"query status {self.statuses}")
+
+    def rows(self) -> Iterator[list]:
+        if self.first is not None:
+            yield self.first
+        yield from self._steps()
+
+
 def parse_votable(data: bytes, strict: bool = False) -> tuple[StructType, list[list]]:
     """Columns and rows of the first table; strict asks for query statuses and that all be OK.
 
     Blank cells and numbers that aren't finite are null; whole numbers of any size stay exact.
     """
-    try:
-        root = ET.fromstring(data)
-    except ET.ParseError as e:
-        raise TableError(f"not XML: {e}") from e
-    local = lambda e: e.tag.rpartition("}")[2]
-    statuses = [e.get("value") for e in root.iter() if local(e) == "INFO" and e.get("name") == "QUERY_STATUS"]
-    if any(s in ("ERROR", "OVERFLOW") for s in statuses) or strict and (not statuses or any(s != "OK" for s in statuses)):
-        raise TableError(f"query status {statuses}")
-    table = next((e for e in root.iter() if local(e) == "TABLE"), None)
-    if table is None:
-        raise TableError("no table")
-    fields = [(e.get("name"), _VO_TYPES.get(e.get("datatype"), StringType) if not e.get("arraysize") else StringType) for e in table.iter() if local(e) == "FIELD"]
-
-    def value(cell: str | None, kind):
-        if cell is None or not cell.strip() and kind is not StringType or cell == "":
-            return None
-        if kind is LongType:
-            return int(cell, 0)
-        if kind is DoubleType:
-            return x if math.isfinite(x := float(cell)) else None
-        return cell.strip().lower() in ("t", "true", "1") if kind is BooleanType else cell
-
-    rows = [[value(c.text, k) for c, (_, k) in zip((e for e in tr if local(e) == "TD"), fields, strict=True)] for tr in table.iter() if local(tr) == "TR"]
-    return StructType([StructField(n, k()) for n, k in fields]), rows
+    table = VotableStream(io.BytesIO(data), strict)
+    return table.schema, list(table.rows())
 
 
 # --- FITS ---
 
 _FITS_CODES = {"L": ("u1", BooleanType), "B": ("u1", LongType), "I": (">i2", LongType), "J": (">i4", LongType), "K": (">i8", LongType), "E": (">f4", DoubleType), "D": (">f8", DoubleType)}
 _BLOCK = 2880
+#: What a float column holds for null where the header says so (NULLNAN): a NaN with a load of its own.
+NULL_NAN = np.uint64(0x7FF8_0000_4E55_4C4C)
 
 
-def _header(data: bytes, at: int) -> tuple[dict[str, object], int]:
+def _header(stream, at: int) -> tuple[dict[str, object], int]:
+    """The cards of the header that begins at a byte of a stream, and where it ends."""
     cards: dict[str, object] = {}
+    stream.seek(at)
     while True:
-        block = data[at : at + _BLOCK].decode("ascii", "replace")
+        block = stream.read(_BLOCK).decode("ascii", "replace")
         if len(block) < _BLOCK:
             raise TableError("header without end")
         at += _BLOCK
@@ -130,51 +213,113 @@ def _header(data: bytes, at: int) -> tuple[dict[str, object], int]:
                     cards[card[:8].strip()] = raw == "T" if raw in ("T", "F") else int(raw) if re.fullmatch(r"[+-]?\d+", raw) else float(raw.replace("D", "E")) if raw else None
 
 
-def parse_fits(data: bytes) -> tuple[dict[str, object], StructType, list[np.ndarray | list]]:
-    """Primary header, columns, and values by column of the first binary table (S16); scalars only, NaN as null."""
-    primary, at = _header(data, 0)
-    table = primary
-    while table.get("XTENSION") != "BINTABLE":  # other extensions are passed over
-        sizes = [int(table.get(f"NAXIS{i}", 0)) for i in range(1, int(table.get("NAXIS", 0)) + 1)]
-        size = (math.prod(sizes) + int(table.get("PCOUNT", 0))) * abs(int(table.get("BITPIX", 8))) // 8 if sizes else 0
-        at += -(-size // _BLOCK) * _BLOCK
-        if at >= len(data):
-            raise TableError("no binary table")
-        table, at = _header(data, at)
-    primary = {**table, **primary} if table is not primary else primary
-    names, formats, kinds = [], [], []
-    for i in range(1, int(table["TFIELDS"]) + 1):
-        repeat, code = re.match(r"(\d*)([A-Z])", str(table[f"TFORM{i}"])).groups()
-        n = int(repeat or 1)
-        if code == "A":
-            formats.append(f"S{n}")
-            kinds.append(StringType)
-        elif code in _FITS_CODES and n == 1:
-            formats.append(_FITS_CODES[code][0])
-            kinds.append(_FITS_CODES[code][1])
-        else:
-            raise TableError(f"column format {repeat}{code} is not read")
-        names.append(str(table.get(f"TTYPE{i}", f"col{i}")))
-    rows = np.frombuffer(data, np.dtype({"names": names, "formats": formats, "offsets": np.cumsum([0, *(np.dtype(f).itemsize for f in formats)])[:-1].tolist(), "itemsize": int(table["NAXIS1"])}), int(table["NAXIS2"]), at)
-    columns = []
-    for i, (name, kind) in enumerate(zip(names, kinds, strict=True), 1):
-        x = rows[name]
-        null, scale, zero = (table.get(f"{k}{i}") for k in ("TNULL", "TSCAL", "TZERO"))
-        if kind is LongType and (null, scale, zero) != (None, None, None):
-            whole = float(scale or 1) == 1 and float(zero or 0).is_integer()
-            told = [None if v == null else v + int(zero or 0) if whole else v * float(scale or 1) + float(zero or 0) for v in x.astype(object).tolist()]
-            if not whole:
-                kinds[i - 1] = DoubleType
-            columns.append(told)
-        elif kind is DoubleType and (scale, zero) != (None, None):
-            columns.append([v * float(scale or 1) + float(zero or 0) if math.isfinite(v) else None for v in x.astype(float).tolist()])
-        elif kind is DoubleType:
-            columns.append([v if math.isfinite(v) else None for v in x.astype(float).tolist()])
-        elif kind is StringType:
-            columns.append([v.decode("ascii", "replace").rstrip() for v in x.tolist()])
+def unescaped(text: str) -> str | None:
+    """A text as write_fits escapes it: \\N for null, \\u and four digits for what isn't plain ASCII."""
+    return None if text == "\\N" else re.sub(r"\\u([0-9a-f]{4})|\\(\\)", lambda m: chr(int(m[1], 16)) if m[1] else "\\", text).encode("utf-16", "surrogatepass").decode("utf-16")
+
+
+@dataclass
+class FitsLayout:
+    """The first binary table of a file, from its headers alone: columns, rows and where they begin."""
+
+    cards: dict[str, object]
+    table: dict[str, object]
+    names: list[str]
+    formats: list[str]
+    repeats: list[int]
+    kinds: list[DataType] = field(default_factory=list)
+    at: int = 0
+
+    @classmethod
+    def of(cls, stream) -> FitsLayout:
+        stream.seek(0, 2)
+        end = stream.tell()
+        primary, at = _header(stream, 0)
+        table = primary
+        while table.get("XTENSION") != "BINTABLE":  # other extensions are passed over
+            sizes = [int(table.get(f"NAXIS{i}", 0)) for i in range(1, int(table.get("NAXIS", 0)) + 1)]
+            size = (math.prod(sizes) + int(table.get("PCOUNT", 0))) * abs(int(table.get("BITPIX", 8))) // 8 if sizes else 0
+            at += -(-size // _BLOCK) * _BLOCK
+            if at >= end:
+                raise TableError("no binary table")
+            table, at = _header(stream, at)
+        found = cls({**table, **primary} if table is not primary else primary, table, [], [], [], [], at)
+        for i in range(1, int(table["TFIELDS"]) + 1):
+            repeat, code = re.match(r"(\d*)([A-Z])", str(table[f"TFORM{i}"])).groups()
+            n = int(repeat or 1)
+            if code != "A" and code not in _FITS_CODES:
+                raise TableError(f"column format {repeat}{code} is not read")
+            plain = StringType if code == "A" else _FITS_CODES[code][1]
+            if plain is LongType and (table.get(f"TSCAL{i}") or table.get(f"TZERO{i}")) and not found.whole(i):
+                plain = DoubleType
+            found.formats.append(f"S{n}" if code == "A" else _FITS_CODES[code][0])
+            found.repeats.append(1 if code == "A" else n)
+            found.kinds.append(plain() if code == "A" or n == 1 else ArrayType(plain()))
+            found.names.append(str(table.get(f"TTYPE{i}", f"col{i}")))
+        return found
+
+    def whole(self, i: int) -> bool:
+        """Whether a scaled column of whole numbers stays one."""
+        return float(self.table.get(f"TSCAL{i}") or 1) == 1 and float(self.table.get(f"TZERO{i}") or 0).is_integer()
+
+    @property
+    def rows(self) -> int:
+        return int(self.table["NAXIS2"])
+
+    @property
+    def row_bytes(self) -> int:
+        return int(self.table["NAXIS1"])
+
+    @property
+    def schema(self) -> StructType:
+        return StructType([StructField(n, k) for n, k in zip(self.names, self.kinds, strict=True)])
+
+    @cached_property
+    def dtype(self) -> np.dtype:
+        shapes = [(f, (n,)) if n != 1 else f for f, n in zip(self.formats, self.repeats, strict=True)]
+        offsets = np.cumsum([0, *(np.dtype(x).itemsize for x in shapes)])[:-1].tolist()
+        return np.dtype({"names": [f"c{i}" for i in range(len(shapes))], "formats": shapes, "offsets": offsets, "itemsize": self.row_bytes})
+
+    def values(self, rows: np.ndarray, k: int, keep: bool = False) -> pa.Array:
+        """Column k of raw rows; null for the null mark and, unless keep, for numbers that aren't finite."""
+        x, i, kind = rows[f"c{k}"], k + 1, self.kinds[k]
+        flat, inner = x.reshape(-1), kind.elementType if isinstance(kind, ArrayType) else kind
+        null, scale, zero = (self.table.get(f"{c}{i}") for c in ("TNULL", "TSCAL", "TZERO"))
+        if isinstance(inner, StringType):
+            texts = [v.decode("ascii", "replace").rstrip() for v in flat.tolist()]
+            out = pa.array(map(unescaped, texts) if self.table.get(f"TESC{i}") else texts, pa.string())
+        elif isinstance(inner, BooleanType):
+            out = pa.array(flat == ord("T"), mask=flat == 0)
+        elif self.formats[k] in ("u1", ">i2", ">i4", ">i8"):
+            mask = flat == null if null is not None else np.zeros(len(flat), bool)
+            told = flat.astype(np.int64)
+            if isinstance(inner, LongType):
+                told = told + int(zero or 0)
+            elif zero is not None or scale is not None:
+                told = told * float(scale or 1) + float(zero or 0)
+            out = pa.array(told, mask=mask)
         else:
-            columns.append((x == ord("T")).tolist() if kind is BooleanType else x.astype(int).tolist())
-    return primary, StructType([StructField(n, k()) for n, k in zip(names, kinds, strict=True)]), columns
+            told = flat.astype(np.float64)
+            mask = flat.astype(">f8").view(">u8") == NULL_NAN if keep and self.table.get("NULLNAN") else ~np.isfinite(told) & (not keep)
+            if scale is not None or zero is not None:
+                told = told * float(scale or 1) + float(zero or 0)
+            out = pa.array(told, mask=mask)
+        return out if not isinstance(kind, ArrayType) else pa.FixedSizeListArray.from_arrays(out, self.repeats[k]).cast(pa.list_(out.type))
+
+    def read(self, stream, begin: int, end: int) -> np.ndarray:
+        stream.seek(self.at + begin * self.row_bytes)
+        data = stream.read((end - begin) * self.row_bytes)
+        if len(data) < (end - begin) * self.row_bytes:
+            raise TableError("the table ends before its last row")
+        return np.frombuffer(data, self.dtype)
+
+
+def parse_fits(data: bytes) -> tuple[dict[str, object], StructType, list[list]]:
+    """Headers, columns, and values by column of the first binary table (S16); NaN as null."""
+    stream = io.BytesIO(data)
+    layout = FitsLayout.of(stream)
+    rows = layout.read(stream, 0, layout.rows)
+    return layout.cards, layout.schema, [layout.values(rows, k).to_pylist() for k in range(len(layout.names))]
 
 
 ALLOWED_FLUX = ("PDCSAP_FLUX", "SAP_FLUX")
@@ -229,70 +374,139 @@ def light_curves(spark, path: str, flux: str = "PDCSAP_FLUX"):
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("file", "error")
 
 
-def write_fits(names: list[str], columns: list[np.ndarray], header: dict[str, object] | None = None) -> bytes:
-    """A binary table of whole numbers (K), numbers (D, null as NaN) and texts (A) as a file's bytes (K5)."""
+_PLAIN = re.compile(r"[ -\[\]-~]*[!-\[\]-~]|")
+
+
+def escaped(text: str | None) -> str:
+    r"""text in plain ASCII without a blank at its end: \N for null, \\ for a backslash, \u and four digits of UTF-16 for the rest."""
+    if text is None:
+        return "\\N"
+    units = np.frombuffer(text.encode("utf-16-le"), "<u2").tolist()
+    end = len(text.rstrip(" ").encode("utf-16-le")) // 2
+    return "".join("\\\\" if u == 92 else chr(u) if 32 < u < 127 or u == 32 and i < end else f"\\u{u:04x}" for i, u in enumerate(units))
+
+
+def _card(k: str, v: object) -> bytes:
+    told = "'" + f"{v:<8}".replace("'", "''") + "'" if isinstance(v, str) else ("T" if v else "F").rjust(20) if isinstance(v, bool) else f"{v!r:>20}"
+    return f"{k:<8}= {told}".ljust(80).encode()
+
+
+def _cards(cards: list[tuple[str, object]]) -> bytes:
+    raw = b"".join(_card(*c) for c in cards) + b"END".ljust(80)
+    return raw + b" " * (-len(raw) % _BLOCK)
 
-    def card(k: str, v: object) -> bytes:
-        told = f"'{v:<8}'" if isinstance(v, str) else ("T" if v else "F").rjust(20) if isinstance(v, bool) else f"{v!r:>20}"
-        return f"{k:<8}= {told}".ljust(80).encode()
 
-    def block(cards: list[bytes]) -> bytes:
-        raw = b"".join(cards) + b"END".ljust(80)
-        return raw + b" " * (-len(raw) % _BLOCK)
+def fits_bytes(table: pa.Table, header: dict[str, object] | None = None) -> bytes:
+    """A binary table of whole numbers (K), numbers (D), truth values (L) and texts (A) as a file's bytes (K5).
 
-    columns = [np.asarray(c) for c in columns]
-    columns = [c.astype(">i8") if c.dtype.kind in "iu" else c.astype(">f8") if c.dtype.kind == "f" else np.array([("" if v is None else str(v)).encode("ascii", "replace") for v in c.tolist()] or [b""])[: len(c)] for c in columns]
-    forms = ["1K" if c.dtype.kind == "i" else "1D" if c.dtype.kind == "f" else f"{max(1, c.dtype.itemsize)}A" for c in columns]
-    rows = np.zeros(len(columns[0]) if columns else 0, np.dtype([(f"c{i}", c.dtype) for i, c in enumerate(columns)]))
+    Nulls are TNULL, a number that the column doesn't hold, a NaN with a load of its own (NULLNAN), a zero byte
+    and, with other texts that aren't plain ASCII, escaped (TESC).
+    """
+    if bad := [n for n in table.column_names if not re.fullmatch(r"[ -~]{1,60}", n)]:
+        raise TableError(f"column names {bad} can't be written")
+    columns, cards = [], []
+    for i, (name, c) in enumerate(zip(table.column_names, table.columns, strict=True), 1):
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        empty, more = c.is_null().to_numpy(zero_copy_only=False), []
+        if pa.types.is_boolean(c.type):
+            form, x = "1L", np.where(empty, 0, np.where(c.fill_null(False).to_numpy(zero_copy_only=False), ord("T"), ord("F"))).astype("u1")
+        elif pa.types.is_integer(c.type):
+            form, x = "1K", c.fill_null(0).to_numpy(zero_copy_only=False).astype(">i8")
+            if empty.any():
+                held, mark = set(x.tolist()), -(1 << 63)
+                while mark in held:
+                    mark += 1
+                x = np.where(empty, mark, x).astype(">i8")
+                more = [(f"TNULL{i}", mark)]
+        elif pa.types.is_floating(c.type):
+            bits = c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).astype(">f8").view(">u8")
+            form, x = "1D", np.where(empty, NULL_NAN, bits).astype(">u8").view(">f8")
+        else:
+            texts = c.cast(pa.string()).to_pylist()
+            if any(t is None or not _PLAIN.fullmatch(t) for t in texts):
+                texts, more = [escaped(t) for t in texts], [(f"TESC{i}", True)]
+            x = np.array([t.encode("ascii") for t in texts] or [b""])[: len(texts)]
+            form = f"{max(1, x.dtype.itemsize)}A"
+        columns.append(x)
+        cards += [(f"TTYPE{i}", name), (f"TFORM{i}", form), *more]
+    rows = np.zeros(table.num_rows, np.dtype([(f"c{i}", c.dtype) for i, c in enumerate(columns)]))
     for i, c in enumerate(columns):
         rows[f"c{i}"] = c
-    head = [card(*x) for x in (("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True), *(header or {}).items())]
-    table = [card(*x) for x in (("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(names)))]
-    table += [card(*x) for i, (n, f) in enumerate(zip(names, forms, strict=True), 1) for x in ((f"TTYPE{i}", n), (f"TFORM{i}", f))]
+    head = _cards([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True), *(header or {}).items()])
+    told = _cards([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(columns)), ("NULLNAN", True), *cards])
     body = rows.tobytes()
-    return block(head) + block(table) + body + b"\0" * (-len(body) % _BLOCK)
+    return head + told + body + b"\0" * (-len(body) % _BLOCK)
+
+
+def write_fits(names: list[str], columns: list[np.ndarray], header: dict[str, object] | None = None) -> bytes:
+    """fits_bytes of NumPy columns."""
+    return fits_bytes(pa.table([pa.array(np.asarray(c)) for c in columns], names), header)
 
 
 # --- the data sources ---
 
-#: Rows of a file that go to Spark at a time.
-BATCH_ROWS = 50_000
+#: Rows, and bytes of a FITS file, that go to Spark at a time; bytes of a file from which it is several tasks, unless option splitBytes names others.
+BATCH_ROWS, BATCH_BYTES, SPLIT_BYTES = 50_000, 8 << 20, 32 << 20
+_ARROW = {LongType: pa.int64(), DoubleType: pa.float64(), BooleanType: pa.bool_(), StringType: pa.string()}
+_COMPARED = {ds.EqualTo: operator.eq, ds.GreaterThan: operator.gt, ds.GreaterThanOrEqual: operator.ge, ds.LessThan: operator.lt, ds.LessThanOrEqual: operator.le}
 
 
-def _rows_to_batch(schema: StructType, columns: list[list]) -> pa.RecordBatch:
-    kinds = {LongType: pa.int64(), DoubleType: pa.float64(), BooleanType: pa.bool_(), StringType: pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[type(f.dataType)]) for f, c in zip(schema, columns, strict=True)], [f.name for f in schema])
+def _arrow(kind: DataType) -> pa.DataType:
+    return pa.list_(_ARROW[type(kind.elementType)]) if isinstance(kind, ArrayType) else _ARROW[type(kind)]
 
 
 class _Reader(DataSourceReader):
+    """Partitions are (file, begin, end) in a format's own measure; end is None for the whole file."""
+
     def __init__(self, source: _Tables, schema: StructType):
         self.source, self.schema = source, schema
+        self.path, self.split = source.options["path"], int(source.options.get("splitBytes", SPLIT_BYTES))
+        self.conditions: list[tuple[str, object, float]] = []
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in files_of(self.source.options["path"])]
+        """Files as they are, large ones by what the format splits them into."""
+        found = []
+        for file, size in files_of(self.path):
+            found += [InputPartition((file, 0, None))] if size <= self.split else [InputPartition((file, *x)) for x in self.source.ranges(file, size, self.split)]
+        return found
+
+    def pushFilters(self, filters: list) -> Iterable:
+        """Comparisons with numbers are made on raw values, where the format can; Spark makes all of them again."""
+        for f in filters:
+            if type(f) in _COMPARED and len(f.attribute) == 1 and isinstance(f.value, (int, float)) and not isinstance(f.value, bool):
+                self.conditions.append((f.attribute[0], _COMPARED[type(f)], f.value))
+            yield f
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        schema, columns = self.source.parse(contents(self.source.options["path"], partition.value))
-        by_name = dict(zip(schema.names, columns, strict=True))
-        n = len(columns[0]) if columns else 0
-        for at in range(0, n, BATCH_ROWS):
-            yield _rows_to_batch(self.schema, [by_name[f.name][at : at + BATCH_ROWS] if f.name in by_name else [None] * len(columns[0][at : at + BATCH_ROWS]) for f in self.schema])
+        for columns, n in self.source.batches(*partition.value, self.schema.names, self.conditions):
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(_arrow(f.dataType)) if f.name in columns else pa.nulls(n, _arrow(f.dataType)) for f in self.schema], self.schema.names)
 
 
 class _Tables(DataSource):
-    def parse(self, data: bytes) -> tuple[StructType, list[list]]:
+    def header(self, file: str) -> StructType:
+        """The columns of a file, without reading its rows."""
         raise NotImplementedError
 
+    def ranges(self, file: str, size: int, split: int) -> list[tuple[int, int | None]]:
+        return [(0, None)]
+
+    def batches(self, file: str, begin: int, end: int | None, names: list[str], conditions: list) -> Iterator[tuple[dict[str, pa.Array], int]]:
+        """Columns of these names, as far as the file has them, and rows of each batch of a range."""
+        raise NotImplementedError
+
+    def open(self, file: str):
+        return filesystem(self.options["path"])[0].open_input_file(file)
+
     def schema(self) -> StructType:
-        """The columns of all files; a column of several types is double if they are numbers, else an error."""
+        """The columns of all files (of the first with option merge false); a column of several types is double if they are numbers, else an error."""
         files = files_of(self.options["path"])
         if not files:
             raise TableError("no files")
         found: dict[str, StructField] = {}
-        for file in files if self.options.get("merge", "true") == "true" else files[:1]:
-            for f in self.parse(contents(self.options["path"], file))[0]:
+        for file, _ in files if self.options.get("merge", "true") == "true" else files[:1]:
+            for f in self.header(file):
                 old = found.setdefault(f.name, f)
-                if type(old.dataType) is not type(f.dataType):
+                if old.dataType != f.dataType:
                     if {type(old.dataType), type(f.dataType)} != {LongType, DoubleType}:
                         raise TableError(f"column {f.name} of {file} has another type than before")
                     found[f.name] = StructField(f.name, DoubleType())
@@ -302,8 +516,8 @@ class _Tables(DataSource):
         return _Reader(self, schema)
 
 
-def _columns(schema: StructType, rows: list[list]) -> tuple[StructType, list[list]]:
-    return schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in schema]
+def _by_column(rows: list[list], names: list[str], kinds: list[DataType]) -> tuple[dict[str, pa.Array], int]:
+    return {n: pa.array([r[i] for r in rows], _arrow(k)) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}, len(rows)
 
 
 class IpacSource(_Tables):
@@ -313,32 +527,104 @@ class IpacSource(_Tables):
     def name(cls) -> str:
         return "ipac"
 
-    def parse(self, data: bytes):
-        return _columns(*parse_ipac(data.decode()))
+    def _layout(self, stream) -> IpacLayout:
+        return IpacLayout.of(line.decode() for line in iter(stream.readline, b""))
+
+    def header(self, file: str) -> StructType:
+        with self.open(file) as f:
+            return self._layout(io.BufferedReader(f)).schema
+
+    def ranges(self, file: str, size: int, split: int) -> list[tuple[int, int | None]]:
+        return [(at, min(at + split, size)) for at in range(0, size, split)]
+
+    def batches(self, file, begin, end, names, conditions):
+        """Lines that begin within the bytes."""
+        with self.open(file) as f:
+            stream = io.BufferedReader(f)
+            layout = self._layout(stream)
+            own = [i for i, n in enumerate(layout.schema.names) if n in names]
+            told = [layout.schema[i].name for i in own], [layout.schema[i].dataType for i in own]
+            stream.seek(max(begin, layout.at))
+            if begin > layout.at:  # the line that the byte before lies in belongs to the range before
+                stream.seek(begin - 1)
+                stream.readline()
+            rows: list[list] = []
+            while (end is None or stream.tell() < end) and (line := stream.readline()):
+                text = line.decode().rstrip("\r\n")
+                if _is_row(text):
+                    rows.append(layout.row(text, own))
+                if len(rows) == BATCH_ROWS:
+                    yield _by_column(rows, *told)
+                    rows = []
+            if rows:
+                yield _by_column(rows, *told)
 
 
 class VotableSource(_Tables):
-    """format("votable"), option strict ("true": query statuses are asked for)"""
+    """format("votable"), option strict ("true": query statuses are asked for); a file is one task"""
 
     @classmethod
     def name(cls) -> str:
         return "votable"
 
-    def parse(self, data: bytes):
-        return _columns(*parse_votable(data, self.options.get("strict", "false") == "true"))
+    def header(self, file: str) -> StructType:
+        with self.open(file) as f:
+            return VotableStream(f).schema
+
+    def batches(self, file, begin, end, names, conditions):
+        with self.open(file) as f:
+            table = VotableStream(f, self.options.get("strict", "false") == "true")
+            own = [i for i, n in enumerate(table.schema.names) if n in names]
+            told = [table.schema[i].name for i in own], [table.schema[i].dataType for i in own]
+            rows: list[list] = []
+            for row in table.rows():
+                rows.append([row[i] for i in own])
+                if len(rows) == BATCH_ROWS:
+                    yield _by_column(rows, *told)
+                    rows = []
+            if rows:
+                yield _by_column(rows, *told)
 
 
 class FitsSource(_Tables):
-    """format("fits"): the first binary table of each file"""
+    """format("fits"): the first binary table of each file; option nonfinite ("keep") leaves NaN and infinities as they are"""
 
     @classmethod
     def name(cls) -> str:
         return "fits"
 
-    def parse(self, data: bytes):
-        return parse_fits(data)[1:]
+    def header(self, file: str) -> StructType:
+        with self.open(file) as f:
+            return FitsLayout.of(f).schema
+
+    def ranges(self, file: str, size: int, split: int) -> list[tuple[int, int | None]]:
+        with self.open(file) as f:
+            layout = FitsLayout.of(f)
+        step = max(1, split // max(1, layout.row_bytes))
+        return [(at, min(at + step, layout.rows)) for at in range(0, layout.rows, step)]
+
+    def batches(self, file, begin, end, names, conditions):
+        """Rows of a range, those first that meet the conditions on plain numbers."""
+        keep = self.options.get("nonfinite") == "keep"
+        with self.open(file) as f:
+            layout = FitsLayout.of(f)
+            own = [k for k, n in enumerate(layout.names) if n in names]
+            plain = {n: k for k, n in enumerate(layout.names) if isinstance(layout.kinds[k], (LongType, DoubleType)) and not any(layout.table.get(f"{c}{k + 1}") for c in ("TSCAL", "TZERO", "TNULL"))}
+            end = layout.rows if end is None else end
+            step = min(BATCH_ROWS, max(1, BATCH_BYTES // max(1, layout.row_bytes)))
+            for at in range(begin, end, step):
+                rows = layout.read(f, at, min(at + step, end))
+                for name, compare, value in conditions:
+                    if name in plain:
+                        rows = rows[compare(rows[f"c{plain[name]}"], value)]
+                if len(rows):
+                    yield {layout.names[k]: layout.values(rows, k, keep) for k in own}, len(rows)
 
 
 def register(spark) -> None:
-    for source in (IpacSource, VotableSource, FitsSource):
+    """Make the formats known to the session, and let Spark hand comparisons to Python sources."""
+    from orrery.sources import sinks
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (IpacSource, VotableSource, sinks.FitsTables, sinks.Lines):
         spark.dataSource.register(source)
