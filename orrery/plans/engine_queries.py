@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import exprs
 from orrery.operators import catalogs as rows_of_catalogs
-from orrery.operators import fulfilment, objects, planets, products, search, signals, spatial, store
+from orrery.operators import fulfilment, object_store, objects, planets, products, search, signals, spatial, store
 from orrery.plans.catalog_queries import _E, _S, _matches, _score, _sep, _table, matches_of, query, samples_of, sources_of, targets_of
 from orrery.sources import catalogs, exports, registry, tables
 from orrery.streaming import quota
@@ -343,6 +343,34 @@ def export_orders(spark, sf_dir):
     return exports.read_back(spark, path)
 
 
+_FULFILLED = """s as (select o_custkey as k, o_orderstatus as status, max(o_totalprice) as price from orders group by all),
+o as (select 'F' as catalog, k, sha256('["F", "' || k || '"]')[1:32] as object_id, k in (select k from s where status = 'O') as filled from s where status = 'F'),
+n as (select count(*) // 2 as n from o)"""
+
+
+@query(f"""with {_FULFILLED}, c as (select k, object_id, k % 5 = 0 as reused, row_number() over (order by k % 5 = 0 desc, object_id) as place from o where filled)
+select k, object_id, reused from c, n where place <= n""")
+def fulfil(spark, sf_dir):
+    """A store of customers' F orders, into which rounds fetch O orders for objects that lack them until half of all objects have both."""
+    k = F.col("o_custkey")
+    s = _table(spark, sf_dir, "orders").groupBy(k, "o_orderstatus").agg(F.max("o_totalprice").alias("price"))
+    s = s.select(F.col("o_orderstatus").alias("catalog"), k.cast("string").alias("source_id"), ((k % 1000) / 60).alias("ra"), (F.floor(k / 1000) % 9000 / 60 - 75).alias("dec"), F.lit(1.0).alias("error_arcsec"), F.when(F.col("o_orderstatus") == "O", F.col("price")).alias("price"))
+    s = store.cut(s, "customers")
+    there = object_store.ObjectStore(spark, f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    there.upsert(s.where("catalog = 'F'"))
+    there.upsert(s.where("catalog = 'O' and source_id % 5 = 0").join(s.where("catalog = 'F'").select("source_id"), "source_id", "left_semi"))
+    wanted = s.where("catalog = 'F'").count() // 2
+
+    def fetch(objects: DataFrame, turn: int) -> DataFrame:
+        keys = there.members(objects=objects).where("catalog = 'F'").select("source_id")
+        return s.where("catalog = 'O'").join(keys, "source_id", "left_semi")
+
+    request = fulfilment.Request(wanted, fields=("price",), members=2)
+    chosen, _ = object_store.fulfil(there, request, fetch, gaps=max(fulfilment.GAPS, wanted // 3))
+    keys = there.members().where("catalog = 'F'").select("object_id", F.col("source_id").cast("long").alias("k"))
+    return chosen.join(keys, "object_id").select("k", "object_id", "reused")
+
+
 _NOTED = """e as (select o_orderkey, case o_orderkey % 7 when 0 then 'line' || chr(10) || o_orderkey when 1 then 'a "quote", \\' when 2 then '' when 3 then null when 4 then ' blanks ' when 5 then chr(13) || chr(10) || chr(9) || 'é' else o_orderpriority end as note,
     o_orderdate + to_microseconds(o_orderkey % 1000003) as at, case when o_orderkey % 11 = 0 then null else o_totalprice end as price, case when o_orderkey % 5 = 0 then null else o_orderkey % 2 = 0 end as even from orders)"""
 
