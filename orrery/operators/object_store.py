@@ -118,9 +118,12 @@ class ObjectStore:
 
     def _append(self, manifest: Manifest, table: str, rows: DataFrame) -> None:
         """Write rows(bucket, ...) as the delta of a version; a crowded bucket is several files."""
+        from pyarrow.fs import FileSelector
+
         path = f"{self.root}/{table}/{manifest.version:08d}-{uuid.uuid4().hex[:12]}"
         rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
-        own = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # one row a bucket
+        fs, folder = filesystem(path)
+        own = sorted(int(f.base_name.partition("=")[2]) for f in fs.get_file_info(FileSelector(folder)) if f.base_name.startswith("bucket="))
         manifest.tables[table].append([path, manifest.version, own])
 
     def _read(self, manifest: Manifest, table: str, schema: str, buckets: set[int] | None = None) -> DataFrame:

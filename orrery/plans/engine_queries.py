@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import exprs
 from orrery.operators import catalogs as rows_of_catalogs
-from orrery.operators import fulfilment, object_store, objects, planets, products, search, signals, spatial, store
+from orrery.operators import fulfilment, object_store, objects, planets, products, search, signals, sky_index, spatial, store
 from orrery.plans.catalog_queries import _E, _S, _matches, _score, _sep, _table, matches_of, query, samples_of, sources_of, targets_of
 from orrery.sources import catalogs, exports, registry, tables
 from orrery.streaming import quota
@@ -343,6 +343,14 @@ def export_orders(spark, sf_dir):
     return exports.read_back(spark, path)
 
 
+@query(f"{_matches(60.5)} select target_id, source_id, round(separation, 6) as separation from m")
+def indexed_match(spark, sf_dir):
+    """Sources stored by cells of the sky, read as far as the targets' surroundings reach."""
+    path = f"{store.shared_folder(spark)}/sky-{uuid.uuid4().hex}"
+    index = sky_index.SkyIndex.write(sources_of(spark, sf_dir), path, rows_per_file=5000)
+    return index.join(targets_of(spark, sf_dir), 60.5).select("target_id", "source_id", F.round("separation", 6).alias("separation"))
+
+
 _FULFILLED = """s as (select o_custkey as k, o_orderstatus as status, max(o_totalprice) as price from orders group by all),
 o as (select 'F' as catalog, k, sha256('["F", "' || k || '"]')[1:32] as object_id, k in (select k from s where status = 'O') as filled from s where status = 'F'),
 n as (select count(*) // 2 as n from o)"""
