@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from orrery.functions import exprs
 from orrery.operators import spatial, store
@@ -250,20 +253,15 @@ def represent(samples: DataFrame) -> DataFrame:
     return with_raw.select("signal_id", "good_fraction", F.transform("raw", lambda y: F.when(norm > 0, y / norm).otherwise(0.0)).alias("vector"))
 
 
-#: Values of the vectors that a block of signals holds, each block being sent to one pass over the references; pairs that a task compares at a time.
-BLOCK_VALUES, STEP_PAIRS = 1 << 19, 1 << 20
+#: Rows of either side that a task compares at a time; reference vectors of a modality and length that others are placed by, and bytes of all of them at most.
+BLOCK, PIVOTS, PIVOT_BYTES = 1024, 64, 32 << 20
+#: What a bound on an angle may be off by.
+SLACK = 1e-6
 
 
-def _by_length(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rows and matrix of the vectors of each length; those that are null, empty or hold a null are in none."""
-    size, found = pc.list_value_length(lists), {}
-    for n in pc.unique(size.drop_null()).to_pylist():
-        rows = np.flatnonzero(pc.fill_null(pc.equal(size, n), False).to_numpy(zero_copy_only=False)) if n else np.empty(0, np.int64)
-        if len(rows):
-            flat = lists.take(pa.array(rows)).flatten()
-            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n).any(axis=1)
-            found[n] = rows[whole], flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)[whole]
-    return found
+def _matrix(lists: pa.Array) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
 def _distances(dot: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -277,6 +275,79 @@ def _lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.reduce(x * x, axis=-1))
 
 
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances row by row, which don't depend on a row's place."""
+    return _distances(np.add.reduce(x * y, axis=-1), _lengths(x) * _lengths(y))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / _lengths(x)[:, None] if len(x) else x
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], f: Callable[[pa.Table, pa.Table], pa.RecordBatch], schema: str, block: int = BLOCK) -> DataFrame:
+    """f of every block of left rows and block of right rows that have a key in common.
+
+    left and right have a unique row; a key's rows are split into blocks by it, so that of a key with any number
+    of rows on either side a task holds two blocks, and no pair of rows is a row.
+    """
+    sizes = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias(n))
+    blocks = store.cut(sizes(left, "lefts").join(sizes(right, "rights"), keys), "blocks")
+
+    def side(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        told = df.join(blocks, keys).withColumn(f"__{own}", F.pmod(F.xxhash64("row"), F.col(own)))
+        told = told.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return told.select(*keys, "__lefts", "__rights", F.struct(*(c for c in df.columns if c not in keys)).alias(name))
+
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    pairs = side(left, "lefts", "rights", "l").unionByName(side(right, "rights", "lefts", "r"), allowMissingColumns=True)
+
+    def both(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        sides = [pa.Table.from_struct_array(t.column(c).combine_chunks().filter(t.column(c).combine_chunks().is_valid())) for c in "lr"]
+        return pa.Table.from_batches([f(*sides)]) if all(x.num_rows for x in sides) else none
+
+    return pairs.groupBy(*keys, "__lefts", "__rights").applyInArrow(both, schema)
+
+
+def _usable(c: str) -> Column:
+    """Whether a vector can be compared: no null in it, and not of length 0; NaN and infinities can."""
+    return F.coalesce(F.forall(c, lambda x: x.isNotNull()) & F.exists(c, lambda x: x.isNotNull() & (x != 0)), F.lit(False))
+
+
+def _finite(c: str) -> Column:
+    return F.forall(c, exprs.finite)
+
+
+def _near_counts(v: DataFrame, r: DataFrame, radius_arcsec: float, support: float, but_own: bool) -> DataFrame:
+    """row, candidates and supported: references of a signal's modality within the radius, and those whose vectors are near enough."""
+    edge = 2 * math.sin(math.radians(min(radius_arcsec / 3600, 180.0)) / 2) * 1.000001 + 1e-12
+    placed = lambda df: df.where(exprs.valid_position(F.col("ra"), F.col("dec")) & F.col("modality").isNotNull())
+    left = spatial.with_cells(placed(v), "ra", "dec", edge, True).select("modality", "cx", "cy", "cz", "row", "id", "ra", "dec", "vector")
+    right = spatial.with_cells(placed(r), "ra", "dec", edge, False).select("modality", "cx", "cy", "cz", "row", "id", "ra", "dec", "vector")
+
+    def counted(a: pa.Table, b: pa.Table) -> pa.RecordBatch:
+        place = lambda t: [t.column(c).to_numpy() for c in ("ra", "dec")]
+        near = _near(*place(a), *place(b), radius_arcsec)
+        if but_own:
+            near &= np.array(a.column("id").to_pylist(), object)[:, None] != np.array(b.column("id").to_pylist(), object)[None, :]
+        candidates, supported = near.sum(axis=1), np.zeros(len(near), np.int64)
+        vectors = [t.column("vector").combine_chunks() for t in (a, b)]
+        size = [pc.fill_null(pc.list_value_length(x), -1).to_numpy() for x in vectors]
+        for n in set(size[0].tolist()) & set(size[1].tolist()) - {-1, 0}:
+            i, j = (np.flatnonzero(s == n) for s in size)
+            x, y = (_matrix(vec.take(pa.array(k))) for vec, k in zip(vectors, (i, j), strict=True))
+            p, q = np.nonzero(near[np.ix_(i, j)])
+            for at in range(0, len(p), 1 << 16):
+                some = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                ok = _exact(x[some[0]], y[some[1]]) <= support
+                supported += np.bincount(i[some[0][ok]], minlength=len(supported))
+        return pa.RecordBatch.from_arrays([a.column("row").combine_chunks(), pa.array(candidates), pa.array(supported)], ["row", "candidates", "supported"])
+
+    empty = lambda df: df.withColumn("vector", F.when(_usable("vector"), F.col("vector")))
+    found = met(empty(left), empty(right), ["modality", "cx", "cy", "cz"], counted, "row long, candidates long, supported long")
+    return found.groupBy("row").agg(F.sum("candidates").alias("candidates"), F.sum("supported").alias("supported"))
+
+
 def _near(ra1, dec1, ra2, dec2, radius_arcsec: float) -> np.ndarray:
     """Which pairs are at most the radius apart: products of directions leave few, haversines decide."""
     (ra1, dec1), (ra2, dec2) = np.radians([ra1, dec1]), np.radians([ra2, dec2])
@@ -288,77 +359,151 @@ def _near(ra1, dec1, ra2, dec2, radius_arcsec: float) -> np.ndarray:
     return near
 
 
-def _rows_of(values: list) -> dict:
-    """Rows of each value but null."""
-    found = defaultdict(list)
-    for i, x in enumerate(values):
-        if x is not None:
-            found[x].append(i)
-    return {x: np.array(rows) for x, rows in found.items()}
-
-
-def _crossed(batches: Iterator[pa.RecordBatch], block: pa.Table, radius_arcsec: float, support: float, but_own: bool) -> Iterator[pa.RecordBatch]:
-    """One task's references against a block of signals: a row for each signal that has a pair here."""
-    block = block.combine_chunks()
-    place = lambda t, rows, names: [t.column(c).to_numpy().astype(np.float64)[rows] for c in names]
-    column = lambda t, c: t.column(c).combine_chunks() if isinstance(t, pa.Table) else t.column(c)
-    kinds = {m: (q, _by_length(column(block, "vector").take(pa.array(q)))) for m, q in _rows_of(block.column("modality").to_pylist()).items()}
-    n, ids = block.num_rows, _rows_of(block.column("signal_id").to_pylist())
-    supported, candidates, comparable, pairs, nearest = *np.zeros((4, n), np.int64), np.full(n, np.nan)
-    step = max(1, STEP_PAIRS // max(1, n))
-    for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
-        for m, r in _rows_of(part.column("modality").to_pylist()).items():
-            if m not in kinds:
-                continue
-            q, lists = kinds[m]
-            other = np.ones((len(q), len(r)), bool)
-            if but_own:
-                for j, x in enumerate(part.column("catalog_id").take(pa.array(r)).to_pylist()):
-                    if x in ids:
-                        other[np.isin(q, ids[x]), j] = False
-            near = other & _near(*place(block, q, ("ra", "dec")), *place(part, r, ("r_ra", "r_dec")), radius_arcsec)
-            candidates[q] += near.sum(axis=1)
-            pairs[q] += other.sum(axis=1)
-            for size, (at, y) in _by_length(part.column("r_vector").take(pa.array(r))).items():
-                if size not in lists:
-                    continue
-                own, x = lists[size]
-                lx, ly = _lengths(x), _lengths(y)
-                d = np.where(other[np.ix_(own, at)], _distances(x @ y.T, lx[:, None] * ly), np.nan)
-                there = ~np.isnan(d)
-                comparable[q[own]] += there.sum(axis=1)
-                # what is told and compared with a bound is summed row by row: it doesn't depend on a row's place
-                exact = lambda i, j: _distances(np.add.reduce(x[i] * y[j], axis=-1), lx[i] * ly[j])  # noqa: B023, E731
-                i, j = np.nonzero(near[np.ix_(own, at)] & there)
-                supported += np.bincount(q[own[i[exact(i, j) <= support]]], minlength=n)
-                some = np.flatnonzero(there.any(axis=1))
-                nearest[q[own[some]]] = np.fmin(nearest[q[own[some]]], exact(some, np.nanargmin(d[some], axis=1))) if len(some) else nearest[q[own[some]]]
-    some = np.flatnonzero(pairs)
-    told = [pa.array(x[some]) for x in (supported, candidates, comparable)]
-    yield pa.RecordBatch.from_arrays([*(column(block, c).take(pa.array(some)) for c in ("signal_id", "good_fraction")), *told, pa.array(nearest[some], from_pandas=True)], ["signal_id", "good_fraction", "supported", "candidates", "comparable", "nearest"])
+class Pivots:
+    """For each modality and length of vectors some of them, and how far from each the vectors next to it lie."""
+
+    def __init__(self, vectors: dict[tuple, np.ndarray]):
+        self.vectors = vectors
+        self.low = {k: np.full(len(p), np.inf) for k, p in vectors.items()}
+        self.high = {k: np.full(len(p), -np.inf) for k, p in vectors.items()}
+
+    @classmethod
+    def of(cls, r: DataFrame) -> Pivots:
+        """Up to PIVOTS vectors of each kind, by their hashes; fewer where kinds are so many that PIVOT_BYTES would be passed."""
+        kinds = r.groupBy("modality", "n").count().agg(F.coalesce(F.sum(F.col("n") * 8), F.lit(0))).first()[0]
+        most = min(PIVOTS, PIVOT_BYTES // max(1, kinds))
+        order = Window.partitionBy("modality", "n").orderBy(F.xxhash64("vector"), "row")
+        some = r.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+        found = defaultdict(list)
+        for x in some.select("modality", "n", "vector").collect():  # PIVOT_BYTES at most
+            found[x["modality"], x["n"]].append(x["vector"])
+        return cls({k: _unit(np.array(rows, np.float64)) for k, rows in found.items()})
+
+    def angles(self, kind: tuple, x: np.ndarray) -> np.ndarray:
+        """Angles of unit vectors to the pivots of their kind; one column of zeros for a kind without any."""
+        p = self.vectors.get(kind)
+        return np.zeros((len(x), 1)) if p is None else np.arccos(np.clip(x @ p.T, -1, 1))
+
+    def bounds(self, kind: tuple, angles: np.ndarray) -> np.ndarray:
+        """The least angle that a vector of each cell can have to one with these angles to the pivots (triangle inequality); infinite for empty cells."""
+        if kind not in self.vectors:
+            return angles
+        low, high = self.low[kind], self.high[kind]
+        least = np.maximum(np.maximum(angles - high, low - angles), 0)
+        return np.where(np.isfinite(high), least, np.inf)
+
+
+def _by_kind(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Kind, rows and unit vectors of the rows of each kind in a batch(modality, n, vector)."""
+    kinds = defaultdict(list)
+    for i, k in enumerate(zip(batch.column("modality").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+        kinds[k].append(i)
+    for k, rows in kinds.items():
+        yield k, np.array(rows), _unit(_matrix(batch.column("vector").take(pa.array(rows))))
+
+
+def nearest_distances(v: DataFrame, r: DataFrame, but_own: bool) -> DataFrame:
+    """row, nearest and compared: the least distance of each signal to a reference of its modality and length, and with how many it was compared.
+
+    v and r: row, id, modality, n, vector, whole and finite, each written. References are placed by the pivot next to them. A
+    signal is compared with the cell that may hold the nearest one, then with all cells that the triangle
+    inequality leaves room for something nearer in; the others are passed over.
+    """
+    pivots = Pivots.of(r)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, angle = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for kind, rows, x in _by_kind(b):
+                a = pivots.angles(kind, x)
+                cell[rows], angle[rows] = a.argmin(axis=1), a.min(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(angle), *b.columns], ["cell", "angle", *b.schema.names])
+
+    kind = lambda df: ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("row", "id", "modality", "n", "vector"))
+    names = ["row", "id", "modality", "n", "vector"]
+    cells = store.cut(r.select(*names).mapInArrow(placed, f"cell long, angle double, {kind(r)}"), "cells")
+    for x in cells.groupBy("modality", "n", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row a pivot
+        if (k := (x["modality"], x["n"])) in pivots.vectors:
+            pivots.low[k][x["cell"]], pivots.high[k][x["cell"]] = x["low"], x["high"]
+
+    def asked(first: bool):
+        """The cell that each signal is compared with first, or those that may hold something nearer than it has found."""
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple[np.ndarray, np.ndarray]] = []
+                for kind, rows, x in _by_kind(b):
+                    a = pivots.angles(kind, x)
+                    least = pivots.bounds(kind, a)
+                    best = np.lexsort((a, least), axis=1)[:, 0]
+                    if first:
+                        out.append((rows, best))
+                        continue
+                    found = b.column("nearest").take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.float64)
+                    reach = np.where(np.isnan(found), np.pi, np.arccos(np.clip(1 - found, -1, 1)))
+                    open_ = (least <= reach[:, None] + SLACK) & np.isfinite(least)
+                    open_[np.arange(len(rows)), best] = False
+                    i, c = np.nonzero(open_)
+                    out.append((rows[i], c))
+                i, c = (np.concatenate([o[k] for o in out] or [np.empty(0, np.int64)]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), *(b.column(n).take(pa.array(i)) for n in names)], ["cell", *names])
+
+        return f
+
+    def least(a: pa.Table, b: pa.Table) -> pa.RecordBatch:
+        x, y = (_matrix(t.column("vector").combine_chunks()) for t in (a, b))
+        d = 1 - _unit(x) @ _unit(y).T
+        if but_own:
+            d[np.array(a.column("id").to_pylist(), object)[:, None] == np.array(b.column("id").to_pylist(), object)[None, :]] = np.inf
+        best = d.argmin(axis=1)
+        there = np.isfinite(d[np.arange(len(d)), best])
+        told = np.where(there, _exact(x, y[best]), np.nan)
+        return pa.RecordBatch.from_arrays([a.column("row").combine_chunks(), pa.array(told, from_pandas=True), pa.array(np.full(len(x), len(y)))], ["row", "nearest", "compared"])
+
+    def search(of: DataFrame) -> DataFrame:
+        found = met(of, cells.drop("angle"), ["modality", "n", "cell"], least, "row long, nearest double, compared long")
+        return store.cut(found.groupBy("row").agg(F.min("nearest").alias("nearest"), F.sum("compared").alias("compared")), "found")
+
+    of = f"cell long, {kind(v)}"
+    v = v.select(*names)
+    one = search(v.mapInArrow(asked(True), of))
+    two = search(v.join(one.select("row", "nearest"), "row", "left").select(*names, "nearest").mapInArrow(asked(False), of))
+    return one.unionByName(two).groupBy("row").agg(F.min("nearest").alias("nearest"), F.sum("compared").alias("compared"))
 
 
 def cross_reference(vectors: DataFrame, references: DataFrame, radius_arcsec: float = 2.0, support: float = 0.25, anomaly: float = 0.45, but_own: bool = False) -> DataFrame:
     """Each signal's status against references.
 
     vectors: signal_id, ra, dec, good_fraction, vector, modality; references: catalog_id, ra, dec, modality,
-    vector or null. References without a vector count as candidates by position only. With but_own, references
-    whose catalog_id is the signal's own id are left out.
+    vector or null. References without a vector count as candidates by position only; a vector that is empty, zero
+    or holds a null is compared with nothing, one with a number that isn't finite is 2 from all others. With
+    but_own, references whose catalog_id is, as a text, the signal's own id are left out. Rows that repeat a
+    signal_id and good_fraction are added up.
 
-    Signals are counted and go in blocks, each sent to one pass over the references, which are neither moved
-    nor paired: a task gives at most one row for each signal of a block.
+    Nothing goes through the driver but pivots and their bounds; signals and references meet in blocks.
     """
-    v = vectors.select("signal_id", F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), F.col("good_fraction").cast("double").alias("good_fraction"), F.col("vector").cast("array<double>").alias("vector"), "modality")
-    r = references.select("catalog_id", F.col("ra").cast("double").alias("r_ra"), F.col("dec").cast("double").alias("r_dec"), "modality", F.col("vector").cast("array<double>").alias("r_vector"))
-    values = v.agg(F.sum(F.greatest(F.size("vector"), F.lit(1)))).first()[0] or 0
-    blocks = max(1, -(-values // BLOCK_VALUES))
-    schema = f"signal_id {v.schema['signal_id'].dataType.simpleString()}, good_fraction double, supported long, candidates long, comparable long, nearest double"
-    sums = v.selectExpr("signal_id", "good_fraction", "0L as supported", "0L as candidates", "0L as comparable", "cast(null as double) as nearest")
-    if blocks > 1:
-        v = store.cut(v.withColumn("block", F.monotonically_increasing_id() % blocks), "signals")
-    for k in range(blocks):
-        block = v.where(F.col("block") == k).drop("block").toArrow() if blocks > 1 else v.toArrow()  # BLOCK_VALUES values or so
-        found = r.mapInArrow(lambda b, block=block: _crossed(b, block, radius_arcsec, support, but_own), schema)
-        sums = sums.unionByName(store.cut(found, "crossed") if blocks > 1 else found)
+    told = lambda df, name, *more: df.select(name, F.col(name).cast("string").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("ra", "dec", *more)), F.col("vector").cast("array<double>").alias("vector"), "modality")
+    whole = lambda df: df.withColumns({"row": F.monotonically_increasing_id(), "n": F.size("vector").cast("long"), "usable": _usable("vector") & F.col("modality").isNotNull()})
+    v = store.cut(whole(told(vectors, "signal_id", "good_fraction")), "signals")
+    r = store.cut(whole(told(references, "catalog_id")), "references")
+    near = _near_counts(v, r, radius_arcsec, support, but_own)
+    good = r.where("usable")
+    counts = good.groupBy("modality", "n").agg(F.count("*").alias("every"))
+    full = lambda df: df.where(F.col("usable") & _finite("vector"))
+    best = nearest_distances(full(v), full(r), but_own)
+    rows = v.select("row", "signal_id", "id", "good_fraction", "modality", "n", "usable")
+    rows = rows.join(near, "row", "left").join(best, "row", "left").join(small(counts), ["modality", "n"], "left")
+    own = F.lit(0).cast("long")
+    if but_own:
+        mine = good.groupBy("id", "modality", "n").agg(F.count("*").alias("mine"))
+        rows, own = rows.join(mine, ["id", "modality", "n"], "left"), F.coalesce("mine", F.lit(0).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    comparable = F.when(F.col("usable"), zero("every") - own).otherwise(0)
+    sums = rows.select("signal_id", "good_fraction", zero("supported").alias("supported"), zero("candidates").alias("candidates"), comparable.alias("comparable"), F.when(comparable > 0, F.coalesce("nearest", F.lit(2.0))).alias("nearest"))
     sums = sums.groupBy("signal_id", "good_fraction").agg(*(F.sum(c).alias(c) for c in ("supported", "candidates", "comparable")), F.min("nearest").alias("nearest"))
     return sums.withColumn("status", exprs.triage_status(F.col("supported"), F.col("candidates"), F.col("comparable"), F.col("nearest"), F.col("good_fraction"), anomaly))
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if a count shows that it has few rows."""
+    return F.broadcast(df) if df.count() <= rows else df

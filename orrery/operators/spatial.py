@@ -8,7 +8,9 @@ shuffle, with the exact separation as its residual condition: no poles, no wrap
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,27 @@ def cone_join(targets: DataFrame, sources: DataFrame, radius_arcsec: float, targ
     return joined.where(F.col("separation") <= (F.lit(radius_arcsec) if radius is None else radius))
 
 
+#: The last octave: twice the radius so often that all of the sky is in reach.
+LAST_OCTAVE = 60
+
+
+def octave(reach: Column, radius_arcsec: float) -> Column:
+    """0 for a reach within the radius, else how often the radius must be doubled to hold it."""
+    return F.when(reach > radius_arcsec, F.least(F.greatest(F.ceil(F.log2(reach / radius_arcsec)), F.lit(1)), F.lit(LAST_OCTAVE))).otherwise(0).cast("int")
+
+
+def octaves(rows: DataFrame) -> list[int]:
+    """The octaves that rows(octave) have, LAST_OCTAVE + 1 at most."""
+    return sorted(r[0] for r in rows.distinct().collect())
+
+
 def moving_cone_join(targets: DataFrame, sources: DataFrame, radius_arcsec: float) -> DataFrame:
     """cone_join with each source where it stands at its target's epoch.
 
     targets may have t_epoch, sources epoch, pmra and pmdec (mas a year, pmra times cos dec); a source without
     one of them, or a target without an epoch, is taken as it is. The sources' own ra and dec stay in the result.
-    Slow sources, that move no further than the radius, share a grid of twice the radius; the few fast ones
-    go by a wider grid, so they don't coarsen that of the others.
+    Sources are taken by octaves of how far they move, each with a grid of its own reach: a wild motion coarsens
+    the grid of those that move as far only.
     """
     if "t_epoch" not in targets.columns or not {"epoch", "pmra", "pmdec"} <= set(sources.columns):
         return cone_join(targets, sources, radius_arcsec)
@@ -56,16 +72,14 @@ def moving_cone_join(targets: DataFrame, sources: DataFrame, radius_arcsec: floa
     moving = sources.withColumns({"__from": number("epoch"), "__pmra": number("pmra"), "__pmdec": number("pmdec")})
     years = F.greatest(F.abs(F.lit(first) - F.col("__from")), F.abs(F.lit(last) - F.col("__from")))
     moving = moving.withColumn("__motion", F.coalesce(F.hypot("__pmra", "__pmdec") / 1000 * years, F.lit(0.0)))
-    widest = moving.agg(F.max("__motion")).first()[0] or 0.0
+    moving = moving.withColumn("__octave", octave(F.col("__motion"), radius_arcsec))
     found = None
-    for some, reach in ((F.col("__motion") <= radius_arcsec, 2 * radius_arcsec), (F.col("__motion") > radius_arcsec, radius_arcsec + widest)):
-        if found is not None and widest <= radius_arcsec:
-            break
-        near = cone_join(targets, moving.where(some), min(reach, 180 * 3600.0))
+    for k in octaves(moving.select("__octave")) or [0]:
+        near = cone_join(targets, moving.where(F.col("__octave") == k), min(radius_arcsec * (1 + 2.0**k), 180 * 3600.0))
         ra, dec = exprs.propagated(F.col("ra"), F.col("dec"), F.col("__pmra"), F.col("__pmdec"), F.col("__from"), F.col("__to"))
         near = near.withColumns({"__ra": ra, "__dec": dec})  # columns of their own: the distance names them several times
         near = near.withColumn("separation", exprs.angular_separation(F.col("t_ra"), F.col("t_dec"), F.col("__ra"), F.col("__dec"))).where(F.col("separation") <= radius_arcsec)
-        near = near.drop("__motion", "__from", "__to", "__pmra", "__pmdec", "__ra", "__dec")
+        near = near.drop("__motion", "__octave", "__from", "__to", "__pmra", "__pmdec", "__ra", "__dec")
         found = near if found is None else found.unionByName(near)
     return found
 
@@ -101,34 +115,84 @@ def pair_edges(matches: DataFrame, by: str, key: str, radius_arcsec: float) -> D
     """Pairs of one target's detections that lie within max(radius, either error) of each other.
 
     matches: by, key, ra, dec and error_arcsec; an error that isn't a finite number counts as 0. Rows are joined
-    by target and cube, so a crowded target is as many groups as it has cubes. Rows with an error beyond the
-    radius are held against all rows on a wider grid of their own; the others don't see it.
+    by target and cube, so a crowded target is as many groups as it has cubes. Rows are taken by octaves of
+    their errors: each octave is held against itself and the smaller ones, on a grid of its own reach.
     """
     cols = [by, key, "ra", "dec", "error_arcsec"]
     rows = matches.select(*cols).withColumn("error_arcsec", F.coalesce(exprs.finite_or_null(F.col("error_arcsec").cast("double")), F.lit(0.0)))
-    wide = F.col("error_arcsec") > radius_arcsec
-    widest = rows.agg(F.max("error_arcsec")).first()[0] or 0.0
+    rows = rows.withColumn("octave", octave(F.col("error_arcsec"), radius_arcsec))
 
     def joined(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
         edge = 2 * math.sin(math.radians(min(reach / 3600, 180.0)) / 2) * 1.000001 + 1e-12
-        left = with_cells(left, "ra", "dec", edge, True).withColumnsRenamed({c: f"l_{c}" for c in cols if c != by})
+        left = with_cells(left, "ra", "dec", edge, True).withColumnsRenamed({c: f"l_{c}" for c in (*cols, "octave") if c != by})
         pairs = left.join(with_cells(right, "ra", "dec", edge, False), [by, "cx", "cy", "cz"])
         sep = exprs.angular_separation(F.col("l_ra"), F.col("l_dec"), F.col("ra"), F.col("dec"))
         return pairs.where(sep <= F.greatest(F.lit(radius_arcsec), F.col("l_error_arcsec"), F.col("error_arcsec")))
 
-    before = F.col(f"l_{key}") < F.col(key)
-    pairs = joined(rows.where(~wide), rows.where(~wide), radius_arcsec).where(before)
-    if widest > radius_arcsec:
-        pairs = pairs.unionByName(joined(rows.where(wide), rows, widest).where(before | (~wide & (F.col(f"l_{key}") != F.col(key)))))
+    # of two rows of one octave the smaller key is on the left, of two the one of the larger octave
+    once = (F.col(f"l_{key}") < F.col(key)) | ((F.col("octave") < F.col("l_octave")) & (F.col(f"l_{key}") != F.col(key)))
+    pairs = None
+    for k in octaves(rows.select("octave")) or [0]:
+        own = joined(rows.where(F.col("octave") == k), rows.where(F.col("octave") <= k), radius_arcsec * 2.0**k).where(once)
+        pairs = own if pairs is None else pairs.unionByName(own)
     return pairs.select(by, F.least(f"l_{key}", key).alias("a"), F.greatest(f"l_{key}", key).alias("b"))
 
 
-def group_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str) -> DataFrame:
+#: Detections and edges of a target up to which one task finds its components.
+FEW = 100_000
+
+
+def _roots(batches: Iterator[pa.RecordBatch], by: str, key: str) -> Iterator[pa.RecordBatch]:
+    """by, key and root out of edges (by, a, b) sorted by by, a node being an edge to itself; one target's edges are held at a time."""
+
+    def solved(target: object, edges: list[tuple]) -> pa.RecordBatch:
+        top: dict = {}
+
+        def root(x):
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for a, b in edges:
+            x, y = root(a), root(b)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+        nodes = list(top)
+        return pa.RecordBatch.from_arrays([pa.array([target] * len(nodes), kinds[0]), pa.array(nodes, kinds[1]), pa.array(map(root, nodes), kinds[1])], [by, key, "root"])
+
+    target, edges, kinds = None, [], None
+    for batch in batches:
+        kinds = [batch.schema.field(c).type for c in (by, "a")]
+        for own, a, b in zip(*(batch.column(c).to_pylist() for c in (by, "a", "b")), strict=True):
+            if edges and own != target:
+                yield solved(target, edges)
+                edges = []
+            target = own
+            edges.append((a, b))
+    if edges:
+        yield solved(target, edges)
+
+
+def group_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str, few: int = FEW) -> DataFrame:
     """Connected components by target: by, key and root, the least key of the component (A1).
 
-    Labels pass along edges and to their label's label, a partial aggregate and a join a round, and lineage
-    is cut each time, until nothing changes.
+    Targets of up to few detections and edges are solved in one pass, each by one task. For the others labels pass
+    along edges and to their label's label, a partial aggregate and a join a round, until nothing changes.
     """
+    told = nodes.select(by, F.col(key).alias("a"), F.col(key).alias("b")).unionByName(edges.select(by, "a", "b"))
+    told = cut(told, "edges")
+    large = cut(told.groupBy(by).count().where(F.col("count") > few).select(by), "large")
+    kind = ", ".join(f"`{n}` {told.schema[c].dataType.simpleString()}" for n, c in ((by, by), (key, "a"), ("root", "a")))
+    small = told.join(large, by, "left_anti").repartition(by).sortWithinPartitions(by)
+    found = small.mapInArrow(lambda b: _roots(b, by, key), kind)
+    if large.isEmpty():
+        return found
+    rest = told.join(large, by, "left_semi")
+    return found.unionByName(passed_labels(rest.where("a = b").select(by, F.col("a").alias(key)), rest.where("a <> b"), by, key))
+
+
+def passed_labels(nodes: DataFrame, edges: DataFrame, by: str, key: str) -> DataFrame:
+    """group_labels in rounds, lineage being cut after each; every neighbour's and label's label is heard."""
     both = edges.select(by, "a", "b").unionByName(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.distinct(), "edges")
     labels = cut(nodes.select(by, key).distinct().withColumn("root", F.col(key)), "labels")

@@ -5,6 +5,7 @@ import json
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def test_cross_reference(spark):
 
 
 def test_cross_reference_query_searches_all_rows(spark, sf, monkeypatch):
-    """Every hundredth vector, small ids among the references, in one block and in several."""
+    """Every hundredth vector, small ids among the references, with pivots and without."""
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     unit = {r.vec_id: np.array(r.embedding, np.float64) / np.linalg.norm(np.array(r.embedding, np.float64)) for r in rows}
     expected = {}
@@ -120,8 +121,8 @@ def test_cross_reference_query_searches_all_rows(spark, sf, monkeypatch):
             near = [x for i, x in d.items() if i % 11 == 0]
             expected[q.vec_id] = (round(min(d.values()), 6), sum(x <= 0.9 for x in near), len(near), len(d))
     assert len(expected) == len([r for r in rows if r.vec_id % 100 == 0]) > 1
-    for values in (signals.BLOCK_VALUES, 64):
-        monkeypatch.setattr(signals, "BLOCK_VALUES", values)
+    for pivots in (signals.PIVOTS, 0):
+        monkeypatch.setattr(signals, "PIVOTS", pivots)
         got = {r.query_id: (r.nearest, r.supported, r.candidates, r.comparable) for r in catalog_queries.QUERIES["cross_reference"](spark, sf).collect()}
         assert got.keys() == expected.keys() and all(np.allclose(got[i], expected[i], atol=2e-6) for i in got)
 
@@ -135,6 +136,30 @@ def test_cross_reference_of_odd_vectors(spark):
     assert told(signals.cross_reference(v, r, but_own=True)) == {"a": (0, 2, 1, 1.0), "b": (0, 3, 0, None), "c": (0, 0, 0, None), "d": (0, 0, 0, None)}
 
 
+def test_pivots_pass_over_what_can_not_be_nearer(spark):
+    """Clustered vectors: most pairs are never compared, and the distances are those of all pairs; crowded cells go by blocks."""
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(30, 16))
+    refs = np.concatenate([m + rng.normal(0, 0.05, (60, 16)) for m in middles] + [np.ones((1, 16)) * k for k in (1.0, 2.0)])
+    asked = np.concatenate([middles[:10] + rng.normal(0, 0.05, (10, 16)), rng.normal(size=(3, 16)), np.ones((1, 16))])
+    frame = lambda x, name: spark.createDataFrame([(i, str(i), "m", 16, v.tolist()) for i, v in enumerate(x)], f"row long, {name} string, modality string, n long, vector array<double>").withColumnRenamed(name, "id")
+    got = {r.row: (r.nearest, r.compared) for r in signals.nearest_distances(frame(asked, "a"), frame(refs, "b"), False).collect()}
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - unit(asked) @ unit(refs).T
+    assert np.allclose([got[i][0] for i in range(len(asked))], d.min(axis=1).clip(0), atol=1e-12)
+    compared = sum(got[i][1] for i in range(10))
+    print("share of pairs compared", compared / (10 * len(refs)))
+    assert compared < 0.15 * 10 * len(refs)
+
+
+def test_blocks_of_a_crowded_key_meet_each_other(spark):
+    left = spark.range(50).selectExpr("id as row", "id % 2 as k")
+    right = spark.range(70).selectExpr("id as row", "id % 3 as k")
+    count = lambda a, b: pa.RecordBatch.from_arrays([a.column("row").combine_chunks(), pa.array([b.num_rows] * a.num_rows), pa.array([max(a.num_rows, b.num_rows)] * a.num_rows)], ["row", "n", "most"])
+    rows = signals.met(left, right, ["k"], count, "row long, n long, most long", block=4).groupBy("row").agg(F.sum("n").alias("n"), F.max("most").alias("most")).collect()
+    assert {r.row: r.n for r in rows} == {i: len([j for j in range(70) if j % 3 == i % 2]) for i in range(50)} and max(r.most for r in rows) <= 16
+
+
 def test_aliases_and_positions(spark):
     df = spark.createDataFrame([(" 10.5 ", "20", "x1", None, 1), ("nan", "20", "x2", "3", 2), ("-10", "95", None, "3", 3), ("370", "1", None, "bad", 4)], "RAJ2000 string, DEJ2000 string, designation string, plx_value string, other int")
     assert normalized(df).columns == ["ra", "dec", "source_id", "parallax", "other"]

@@ -118,3 +118,28 @@ def test_parts_are_bounded_by_bytes(spark, tmp_path):
     manifest = exports.materialize(df, str(tmp_path / "d"), "csv", policy=exports.Policy(part_bytes=100_000))
     assert len(manifest["parts"]) >= 4 and all(p["bytes"] <= 110_000 for p in manifest["parts"]) and manifest["rows"] == 4000
     assert exports.read_back(spark, str(tmp_path / "d")).count() == 4000
+
+
+def test_components_of_large_and_small_targets(spark):
+    """Union-find in a task and labels that pass along edges give the same roots."""
+    rng = np.random.default_rng(6)
+    edges = {(int(t), *sorted((f"k{a}", f"k{b}"))) for t in range(4) for a, b in rng.integers(0, 40, (25, 2)) if a != b}
+    nodes = [(t, f"k{k}") for t in range(4) for k in range(40)] + [(None, "k1")]
+    n, e = spark.createDataFrame(nodes, "t long, key string"), spark.createDataFrame(sorted(edges), "t long, a string, b string")
+    told = [sorted(map(str, spatial.group_labels(n, e, "t", "key", few=few).collect())) for few in (1000, 64)]
+    assert told[0] == told[1] and len(told[0]) == 161
+    assert spatial.group_labels(n.limit(0), e.limit(0), "t", "key").collect() == []
+
+
+def test_errors_and_motions_of_many_sizes(spark):
+    """Rows with errors of several octaves, and sources that move by several, against brute force."""
+    rng = np.random.default_rng(8)
+    rows = [(1, k, float(rng.uniform(0, 0.2)), float(rng.uniform(0, 0.2)), float(rng.choice([0.5, 3.0, 20.0, 90.0, 400.0, float("nan")]))) for k in range(120)]
+    m = spark.createDataFrame(rows, "t long, key long, ra double, dec double, error_arcsec double")
+    sep = lambda a, b: np.degrees(2 * np.arcsin(np.sqrt(np.sin(np.radians(b[3] - a[3]) / 2) ** 2 + np.cos(np.radians(a[3])) * np.cos(np.radians(b[3])) * np.sin(np.radians(b[2] - a[2]) / 2) ** 2))) * 3600
+    bound = lambda a, b: max(10.0, *(x[4] for x in (a, b) if x[4] == x[4]), 0.0)
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and sep(a, b) <= bound(a, b))
+    assert sorted((r.a, r.b) for r in spatial.pair_edges(m, "t", "key", 10.0).collect()) == want and len(want) > 20
+    s = spark.createDataFrame([(k, 10.0, 10.0, 2000.0, pm, 0.0) for k, pm in enumerate([0.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e9])], "source_id long, ra double, dec double, epoch double, pmra double, pmdec double")
+    t = spark.createDataFrame([(1, 10.0 + 16 * 1e4 / 3.6e6 / math.cos(math.radians(10.0)), 10.0, 2016.0), (2, 10.0, 10.0, 2016.0)], "target_id long, t_ra double, t_dec double, t_epoch double")
+    assert {(r.target_id, r.source_id) for r in spatial.moving_cone_join(t, s, 5.0).collect()} == {(1, 3), (2, 0), (2, 1)}
