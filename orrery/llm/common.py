@@ -44,16 +44,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of rows that go to a Python worker at a time: rows with whole texts or sets are large.
-BATCH_BYTES = 4 << 20
+#: Bytes of rows that go to a Python worker at a time, and rows that a Parquet reader holds: rows with whole texts, sets or ids are large.
+BATCH_BYTES, READ_ROWS = 4 << 20, 512
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on Arrow batches to BATCH_BYTES, so that workers and JVMs hold little at a time."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Lower the session's bounds on Arrow batches and on Parquet readers' rows, so that workers and JVMs hold little at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 #: Rows of a side that may be broadcast, after they have been counted (8 to 24 bytes each).

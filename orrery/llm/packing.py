@@ -203,6 +203,7 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int, capacity: int, open_bin
             ready, held = [], 0
     if ready:
         yield out(ready)
+    pa.default_memory_pool().release_unused()  # workers go on to other tasks
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
