@@ -79,9 +79,12 @@ def output_rows(found: DataFrame, fields: tuple[str, ...] = (), products: tuple[
     there = lambda k, v: v.isNotNull() & (v != "") & ~k.isin(*_KEY)
     wide = F.flatten(F.transform("members", lambda m: F.transform(F.map_entries(F.map_filter(m["values"], there)), lambda e: F.struct(F.concat(m["catalog"], F.lit("."), e["key"]).alias("key"), e["value"].alias("value")))))
     # of a catalog's several members the last one's value counts
-    last = F.filter(wide, lambda e, i: ~F.exists(F.slice(wide, i + 2, F.size(wide)), lambda later: later["key"] == e["key"]))
-    told = [first_value(F.col("members"), f).alias(f) for f in fields] or [F.map_from_entries(last).alias("fields")]
-    return found.select(*key, *told, *(F.col("products")[p].alias(p) for p in products))
+    placed = F.array_sort(F.transform(wide, lambda e, i: F.struct(e["key"].alias("key"), (-i).alias("at"), e["value"].alias("value"))))
+    told = found.select(*found.columns, placed.alias("__placed"))
+    first_of = lambda e, i: (i == 0) | (F.get("__placed", i - 1)["key"] != e["key"])
+    last = F.transform(F.filter("__placed", first_of), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    named = [first_value(F.col("members"), f).alias(f) for f in fields] or [F.map_from_entries(last).alias("fields")]
+    return told.select(*key, *named, *(F.col("products")[p].alias(p) for p in products))
 
 
 def within_page(page: DataFrame, radius_arcsec: float) -> tuple[DataFrame, DataFrame]:

@@ -453,9 +453,11 @@ def triage(spark, sf_dir):
     return _reference_status(spark, sf_dir).select("query_id", "status")
 
 
-@query()
+@query(f"""{_PAIRS}, s as (select query_id, count(*) filter (vec_id % 11 = 0 and d <= 0.9) as supported, count(*) filter (vec_id % 11 = 0) as candidates, count(*) as comparable, min(d) as nearest from p group by query_id),
+t as (select vec_id as query_id, coalesce(supported, 0) as supported, coalesce(candidates, 0) as candidates, coalesce(comparable, 0) as comparable, nearest from v left join s on query_id = vec_id where {_QUERIES})
+select query_id, round(nearest, 6) as nearest, supported, candidates, comparable, case when supported = 1 then 'matched' when supported > 1 then 'ambiguous' when candidates > 0 then 'position_only_review' when comparable = 0 then 'insufficient_reference_coverage' when nearest >= 0.45 then 'novelty_review_candidate' else 'unmatched' end as status from t""")
 def cross_reference(spark, sf_dir):
-    """Every vector whose id 100 divides against all others of its label; tests hold it against brute force."""
+    """Every vector whose id 100 divides against all others of its label."""
     found = signals.cross_reference(*_as_signals(spark, sf_dir, _QUERIES, "true"), support=0.9, but_own=True)
     return found.select(F.col("signal_id").alias("query_id"), F.round("nearest", 6).alias("nearest"), "supported", "candidates", "comparable", "status")
 
@@ -577,13 +579,17 @@ def export_roundtrip(spark, sf_dir):
     return exports.read_back(spark, path)
 
 
-@query(f"""{_matches(20.5)}, k as (select *, {_score('separation', 'error')} as confidence from m)
-select target_id, source_id, round(confidence, 6) as confidence from (select *, row_number() over (partition by target_id, catalog order by separation, source_id) as n from k where confidence >= 0.5 and separation >= 3.5 and parallax > 0 and 1000 / parallax <= 100) where n <= 2""")
+@query(f"""with recursive {_matches(20.5)[5:]}, k as (select *, {_score('separation', 'error')} as confidence, catalog || chr(31) || source_id as key from m),
+f as (select * from (select *, row_number() over (partition by target_id, catalog order by separation, source_id) as n from k where confidence >= 0.5 and separation >= 3.5 and parallax > 0 and 1000 / parallax <= 100) where n <= 2),
+e as (select a.target_id, a.key as a, b.key as b from f a join f b using (target_id) where a.key <> b.key and {_sep('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= greatest(20.5, a.error, b.error)),
+reach as (select target_id, key as a, key as b from f union select r.target_id, r.a, e.b from reach r join e on e.target_id = r.target_id and e.a = r.b),
+r as (select target_id, a as key, min(b) as root from reach group by target_id, a), g as (select f.*, root, min((separation, key)) over (partition by f.target_id, root) as near from f join r using (target_id, key))
+select target_id, source_id, round(confidence, 6) as confidence, dense_rank() over (partition by target_id order by near) as object from g""")
 def search_request(spark, sf_dir):
     """The whole search for all targets."""
     request = search.Search(radius_arcsec=20.5, min_radius_arcsec=3.5, mode="shell", min_confidence=0.5, max_results=2, max_distance_pc=100.0)
     found = search.crossmatch(targets_of(spark, sf_dir), sources_of(spark, sf_dir).withColumnRenamed("error", "error_arcsec"), request)
-    return found.select("target_id", "source_id", F.round("confidence", 6).alias("confidence"))
+    return found.select("target_id", "source_id", F.round("confidence", 6).alias("confidence"), F.col("object").cast("long").alias("object"))
 
 
 @query("""select n_name as host, count(*) as planet_count, array_to_string(list_sort(list(s_name)), ',') as planets, case when n_nationkey % 3 = 0 then 'matched' else 'unavailable' end as status, 'host:' || replace(n_name, ' ', '%20') as id
@@ -617,11 +623,26 @@ def coverage_objects(spark, sf_dir):
     return fulfilment.coverage(s, request).withColumn("missing", F.array_join("missing", ","))
 
 
-@query("select 'sdss' as catalog, 'sdss' as provider, 'optical' as wavelength union all select 'panstarrs_dr2', 'mast', 'optical'")
+def _registry(spark, sf_dir) -> DataFrame:
+    """Nations as catalogs: regions as wavelengths, every fifth not enabled, two of three with profiles."""
+    nation = _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 rows
+    k = F.col("n_nationkey")
+    profiles = F.when(k % 3 == 0, F.array(F.lit("full"), F.lit("stellar"))).when(k % 3 == 1, F.array(F.lit("radio"))).otherwise(F.array().cast("array<string>"))
+    return nation.select(F.col("n_name").alias("catalog"), F.concat(F.lit("p"), k % 4).alias("provider"), F.col("r_name").alias("wavelength"), (k % 5 != 0).alias("enabled"), profiles.alias("profiles"), k.alias("nation"))
+
+
+def _planned(spark, sf_dir, request: search.Search, strict: bool) -> DataFrame:
+    """Catalog, wavelength and number of sources of the catalogs that a request reads."""
+    plan = F.broadcast(request.plan(_registry(spark, sf_dir), strict))  # 25 rows at most
+    counts = sources_of(spark, sf_dir).join(plan.select("nation"), "nation", "left_semi").groupBy("nation").agg(F.count("*").alias("sources"))
+    return plan.join(counts, "nation", "left").select("catalog", "wavelength", F.coalesce("sources", F.lit(0)).alias("sources"))
+
+
+@query("""with c as (select n_name as catalog, r_name as wavelength, n_nationkey as k from nation join region on r_regionkey = n_regionkey where n_nationkey % 5 <> 0 and n_nationkey % 3 = 0 and n_name in ('NATION_3', 'NATION_4', 'NATION_6', 'NATION_9', 'NATION_15', 'NATION_18', 'NATION_24'))
+select catalog, wavelength, count(c_custkey) as sources from c left join customer on c_nationkey = k group by all""")
 def catalog_plan(spark, sf_dir):
-    """The catalogs that a request reads."""
-    request = search.Search(catalogs=("sdss", "panstarrs_dr2", "gaia_dr3", "first"), profiles=("extragalactic",))
-    return request.plan(registry.registry(spark)).where("wavelength = 'optical'").select("catalog", "provider", "wavelength")
+    """Of nations as catalogs those that a request reads, with their sources."""
+    return _planned(spark, sf_dir, search.Search(catalogs=("NATION_3", "NATION_4", "NATION_6", "NATION_9", "NATION_15", "NATION_18", "NATION_24"), profiles=("stellar",)), True)
 
 
 @query(f"""with {_S} select source_id, 'https://ned.ipac.caltech.edu/byname?objname=' || source_id as ned, 'https://mast.stsci.edu/portal/Mashup/Clients/Mast/Portal.html?searchQuery=' || nation || '%20' || (nation + 1) as mast from src""")
