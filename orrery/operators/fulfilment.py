@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import exprs
 from orrery.operators import catalogs, spatial
+from orrery.operators.search import Search
 from orrery.operators.store import cut
 
 #: Objects whose gaps a round looks at, rounds at most, and rounds without progress before it gives up.
@@ -29,31 +30,46 @@ class Request:
     members: int = 1
     radius_arcsec: float = 3.0
     min_confidence: float = 0.5
+    versions: tuple[tuple[str, str], ...] = ()
+    products: tuple[str, ...] = ()
+    search: Search | None = None
 
 
-def coverage(store: DataFrame, request: Request, targets: DataFrame | None = None) -> DataFrame:
-    """object_id, members, missing (fields) and usable for each stored object that the request matches.
+def coverage(store: DataFrame, request: Request, targets: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
+    """object_id, members, missing (fields), missing_products and usable for each stored object that the request matches.
 
-    store: object_id, catalog, source_id, ra, dec, error_arcsec and the fields. A member counts if its catalog
-    is asked for and, with targets, if one is within the radius and confident enough. An object's field is
-    its first present value by catalog and source; one that a filter names but no member has is missing.
+    store: object_id, catalog, source_id, ra, dec, error_arcsec and the fields; products: object_id, product, body.
+    A member counts if its catalog is asked for, if its catalog_version is the one that the request names for
+    the catalog, and, with targets, if one is within the radius and confident enough. Of an object's members one
+    at least must meet the search's filters. An object's field is its first present value by catalog and
+    source; one that a filter names but no member has is missing.
     """
     rows = store.where(F.col("catalog").isin(*request.catalogs)) if request.catalogs else store
+    for catalog, version in request.versions:
+        rows = rows.where((F.col("catalog") != catalog) | F.coalesce(F.col("catalog_version") == version, F.lit(False)))
+    rows = rows if targets is not None else rows.withColumn("separation", F.lit(0.0))
     if targets is not None:
         near = spatial.cone_join(targets, rows.select("catalog", "source_id", "ra", "dec", "error_arcsec"), request.radius_arcsec)
         near = near.groupBy("catalog", "source_id").agg(F.min("separation").alias("separation"), F.first("error_arcsec").alias("e"))
         near = near.where(exprs.match_score(F.col("separation"), F.col("e")) >= request.min_confidence)
-        rows = rows.join(near.select("catalog", "source_id"), ["catalog", "source_id"], "left_semi")
+        rows = rows.join(near.select("catalog", "source_id", "separation"), ["catalog", "source_id"])
     named = [k.removeprefix("min_").removeprefix("max_") for k, _ in request.filters]
     fields = list(dict.fromkeys([*request.fields, *named]))
     # the first present value is the least (catalog, source, value) among those that are present
     firsts = [F.min(F.when(exprs.present(F.col(f), rows.schema[f].dataType), F.struct("catalog", "source_id", F.col(f).alias("v")))).getField("v").alias(f) for f in fields]
-    objects = rows.groupBy("object_id").agg(F.count("*").alias("members"), *firsts)
+    fits = F.lit(True) if request.search is None else request.search.condition(rows.columns)
+    objects = rows.groupBy("object_id").agg(F.count("*").alias("members"), F.bool_or(fits).alias("__fits"), *firsts).where("__fits")
     for name, value in request.filters:
         field = name.removeprefix("min_").removeprefix("max_")
         objects = objects.where(F.col(field).isNull() | catalogs.field_filter(name, value, {f: F.col(f) for f in fields}))
     missing = catalogs.missing_fields({f: F.col(f).isNotNull() for f in fields})
-    return objects.select("object_id", "members", missing.alias("missing")).withColumn("usable", (F.size("missing") == 0) & (F.col("members") >= request.members))
+    lacking = F.array(*map(F.lit, request.products)).cast("array<string>")
+    if request.products and products is not None:
+        there = products.where(F.col("product").isin(*request.products) & F.coalesce(F.col("body") != "", F.lit(False))).groupBy("object_id").agg(F.collect_set("product").alias("__there"))
+        objects = objects.join(there, "object_id", "left")
+        lacking = F.array_except(lacking, F.coalesce("__there", F.array().cast("array<string>")))
+    told = objects.select("object_id", "members", missing.alias("missing"), lacking.alias("missing_products"))
+    return told.withColumn("usable", (F.size("missing") == 0) & (F.size("missing_products") == 0) & (F.col("members") >= request.members))
 
 
 def totals(covered: DataFrame, request: Request) -> dict[str, int]:

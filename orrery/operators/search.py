@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import time
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs
@@ -138,6 +142,42 @@ def crossmatch(targets: DataFrame, sources: DataFrame, search: Search) -> DataFr
     return numbered.withColumn("object", F.dense_rank().over(Window.partitionBy("target_id").orderBy("__near"))).drop("__near", "root", "key")
 
 
+def read_isolated(spark: SparkSession, reads: dict[str, Callable[[], DataFrame]], timeout: float = 30.0, at_once: int = 8) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of all catalogs that can be read, with their catalog, and catalog, error and message of those that can't or are too late (Q5).
+
+    reads: for each catalog what gives its rows. Each is read by jobs of its own and written to the shared
+    folder; a failure stops that catalog alone. What has not been read timeout seconds after the call is too late,
+    and its jobs are cancelled.
+    Columns that a catalog lacks are null.
+    """
+
+    def read(name: str) -> DataFrame:
+        spark.addTag(tags[name])
+        try:
+            return cut(reads[name]().withColumn("catalog", F.lit(name)), "catalog")
+        finally:
+            spark.removeTag(tags[name])
+
+    tags = {name: f"catalog-{uuid.uuid4().hex}" for name in reads}
+    found, failures = None, []
+    pool, began = ThreadPoolExecutor(at_once), time.monotonic()
+    try:
+        running = {name: pool.submit(read, name) for name in reads}
+        for name, future in running.items():
+            try:
+                rows = future.result(max(0.0, began + timeout - time.monotonic()))
+                found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+            except TimeoutError:
+                future.cancel()
+                spark.interruptTag(tags[name])
+                failures.append((name, "timeout", f"not read within {timeout:g} s"))
+            except Exception as e:  # any reader's error is that catalog's failure
+                failures.append((name, type(e).__name__, str(e)[:500]))
+    finally:
+        pool.shutdown(wait=False)
+    return found, spark.createDataFrame(failures, "catalog string, error string, message string")
+
+
 #: What a counterpart tells of a match, as far as the matches have it.
 COUNTERPART = ("catalog", "source_id", "ra", "dec", "separation", "confidence", "metadata", "data", "provenance", "error_arcsec", "epoch", "pmra", "pmdec", "physical", "links", "object_type", "spectral_type", "object")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import exprs
 from orrery.operators import catalogs, fulfilment, planets, products, search, signals, spatial, store
-from orrery.sources import exports, registry
+from orrery.sources import exports, keyset, registry
 from orrery.streaming import quota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,7 +478,32 @@ def tangent_offsets(spark, sf_dir):
 @query("select o_orderkey, o_totalprice from orders where o_orderkey > 100 order by o_orderkey limit 250")
 def keyset_page(spark, sf_dir):
     """A page of the keyset scan."""
-    return _table(spark, sf_dir, "orders").where("o_orderkey > 100").orderBy("o_orderkey").limit(250).select("o_orderkey", "o_totalprice")
+    return keyset.page(_table(spark, sf_dir, "orders"), "o_orderkey", 100, 250).select("o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def keyset_scan(spark, sf_dir):
+    """S2, ST6: the whole table by pages, as a stream whose offsets are cursors, stopped once and taken up again."""
+    spark.dataSource.register(keyset.Keyset)
+    root = f"{store.shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    orders.write.parquet(f"{root}/orders")
+    limit = max(keyset.LIMIT, orders.count() // 8)
+
+    def scan(stop_after: int | None) -> None:
+        pages = spark.readStream.schema(orders.schema).format("keyset").option("path", f"{root}/orders").option("key", "o_orderkey").option("limit", limit).load()
+        running = pages.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/pages")
+        try:
+            while stop_after and running.isActive and len(running.recentProgress) < stop_after:
+                running.awaitTermination(1)
+            if not stop_after:
+                running.processAllAvailable()
+        finally:
+            running.stop()
+
+    scan(2)
+    scan(None)
+    return spark.read.schema(orders.schema).parquet(f"{root}/pages")
 
 
 @query("select c_custkey, c_acctbal > 5000 as reused from customer order by reused desc, c_custkey limit 100")
@@ -620,7 +645,7 @@ def coverage_objects(spark, sf_dir):
     """Which stored objects a request can use, and what others lack."""
     s = sources_of(spark, sf_dir).withColumns({"object_id": F.concat(F.lit("o"), F.col("source_id") % 400), "mass": F.when(F.col("balance") > 0, F.col("balance")), "plx": F.when(F.col("nation") > 4, F.col("parallax"))})
     request = fulfilment.Request(100, catalogs=("BUILDING", "MACHINERY", "AUTOMOBILE"), fields=("mass",), filters=(("min_plx", 20),), members=2)
-    return fulfilment.coverage(s, request).withColumn("missing", F.array_join("missing", ","))
+    return fulfilment.coverage(s, request).drop("missing_products").withColumn("missing", F.array_join("missing", ","))
 
 
 def _registry(spark, sf_dir) -> DataFrame:

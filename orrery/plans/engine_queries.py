@@ -295,6 +295,39 @@ def planet_snapshot(spark, sf_dir):
     return planets.commit(p.where(k % 7 != 0).withColumn("ra", F.when(k % 5 == 0, -1.0).otherwise(F.col("ra"))), "name", ["host", "ra"], old)[1]
 
 
+@query(f"""with {_S}, c as (select *, 'o' || (source_id % 400) as object_id, case when balance > 0 then balance end as mass from src where catalog in ('BUILDING', 'MACHINERY', 'AUTOMOBILE') and (catalog <> 'BUILDING' or nation % 3 = 1)),
+o as (select object_id, count(*) as members, count(mass) > 0 as massive from c group by object_id having bool_or(source_id % 4 in (0, 2) and nation % 2 = 0)),
+p as (select 'o' || (o_custkey % 400) as object_id, max((o_orderstatus = 'F' and o_orderkey % 9 = 0)::int) as spectrum, max((o_orderstatus = 'O' and o_orderkey % 7 = 0)::int) as curve from orders group by all)
+select object_id, members, case when massive then '' else 'mass' end as missing, array_to_string(list_filter([case when coalesce(spectrum, 0) = 0 then 'spectrum' end, case when coalesce(curve, 0) = 0 then 'curve' end], lambda x: x is not null), ',') as missing_products,
+    massive and coalesce(spectrum, 0) = 1 and coalesce(curve, 0) = 1 and members >= 2 as usable from o left join p using (object_id)""")
+def coverage_complete(spark, sf_dir):
+    """Coverage with filters on members, the catalogs' versions, and products."""
+    k = F.col("source_id")
+    s = sources_of(spark, sf_dir).withColumns({
+        "object_id": F.concat(F.lit("o"), k % 400), "mass": F.when(F.col("balance") > 0, F.col("balance")), "catalog_version": F.concat(F.lit("v"), F.col("nation") % 3),
+        "object_type": F.expr(_TYPES), "morphology": F.when(F.col("nation") % 2 == 0, " Spiral ").otherwise("E0"),
+    })
+    o = _table(spark, sf_dir, "orders")
+    kind = F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 9 == 0), "spectrum").when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 7 == 0), "curve").otherwise("image")
+    products = o.select(F.concat(F.lit("o"), F.col("o_custkey") % 400).alias("object_id"), kind.alias("product"), F.lit("x").alias("body"))
+    empty = products.select("object_id", F.lit("spectrum").alias("product"), F.lit("").alias("body"))
+    request = fulfilment.Request(100, catalogs=("BUILDING", "MACHINERY", "AUTOMOBILE"), fields=("mass",), members=2, versions=(("BUILDING", "v1"),), products=("spectrum", "curve"), search=search.Search(object_types=("quasar", "Star"), morphology=("spiral",)))
+    found = fulfilment.coverage(s, request, products=products.unionByName(empty))
+    return found.select("object_id", "members", F.array_join("missing", ",").alias("missing"), F.array_join("missing_products", ",").alias("missing_products"), "usable")
+
+
+@query("""select 'customer' as catalog, 'read' as outcome, count(*) as rows from customer union all select 'supplier', 'read', count(*) from supplier union all select 'orders', 'failed', null union all select 'nowhere', 'failed', null""")
+def isolated_catalogs(spark, sf_dir):
+    """Q5: of four catalogs one has a broken row and one is not there; the others are read all the same."""
+    broken = F.when(F.col("o_orderkey") == 42, F.raise_error(F.lit("a broken row"))).otherwise(F.col("o_orderkey"))
+    reads = {
+        "customer": lambda: _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id")), "orders": lambda: _table(spark, sf_dir, "orders").select(broken.alias("source_id")),
+        "nowhere": lambda: _table(spark, sf_dir, "nowhere").select("source_id"), "supplier": lambda: _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id")),
+    }
+    found, failures = search.read_isolated(spark, reads, timeout=600)
+    return found.groupBy("catalog").agg(F.lit("read").alias("outcome"), F.count("*").alias("rows")).unionByName(failures.select("catalog", F.lit("failed").alias("outcome"), F.lit(None).cast("long").alias("rows")))
+
+
 _COVERED = """with o as (select o_custkey as object_id, count(*) as members, min(case when o_orderkey % 4 <> 0 then o_totalprice end) as price, bool_or(o_orderkey % 4 in (1, 2, 3) and o_orderkey % 5 <> 0) as noted from orders group by o_custkey),
 u as (select object_id, members >= 3 and price is not null and noted as usable from o)"""
 

@@ -143,3 +143,21 @@ def test_errors_and_motions_of_many_sizes(spark):
     s = spark.createDataFrame([(k, 10.0, 10.0, 2000.0, pm, 0.0) for k, pm in enumerate([0.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e9])], "source_id long, ra double, dec double, epoch double, pmra double, pmdec double")
     t = spark.createDataFrame([(1, 10.0 + 16 * 1e4 / 3.6e6 / math.cos(math.radians(10.0)), 10.0, 2016.0), (2, 10.0, 10.0, 2016.0)], "target_id long, t_ra double, t_dec double, t_epoch double")
     assert {(r.target_id, r.source_id) for r in spatial.moving_cone_join(t, s, 5.0).collect()} == {(1, 3), (2, 0), (2, 1)}
+
+
+def test_catalogs_fail_and_come_late_on_their_own(spark):
+    """One catalog of four raises when it is planned, one while it is read, one is too slow."""
+    def slow(batches):
+        import time
+
+        time.sleep(100)
+        yield from batches
+
+    reads = {
+        "good": lambda: spark.range(5).select("id"), "other": lambda: spark.range(3).select("id", F.lit("x").alias("name")), "plan": lambda: spark.table("there_is_none"),
+        "row": lambda: spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id")), "late": lambda: spark.range(1).coalesce(1).mapInArrow(slow, "id long"),
+    }
+    found, failures = search.read_isolated(spark, reads, timeout=40)
+    assert {r.catalog: r["count"] for r in found.groupBy("catalog").count().collect()} == {"good": 5, "other": 3} and "name" in found.columns
+    told = {r.catalog: (r.error, r.message) for r in failures.collect()}
+    assert told.keys() == {"plan", "row", "late"} and told["late"][0] == "timeout" and "broken" in told["row"][1]
