@@ -328,6 +328,23 @@ def isolated_catalogs(spark, sf_dir):
     return found.groupBy("catalog").agg(F.lit("read").alias("outcome"), F.count("*").alias("rows")).unionByName(failures.select("catalog", F.lit("failed").alias("outcome"), F.lit(None).cast("long").alias("rows")))
 
 
+def _polygons_sql() -> str:
+    corners = [("-w", "-h"), ("w", "-h / 2"), ("w / 2", "h"), ("-w / 2", "h / 3")]
+    x = lambda k: f"((t_ra + {corners[k][0]} - ra + 180 + 720) % 360 - 180)"
+    y = lambda k: f"(t_dec + {corners[k][1]})"
+    edges = " + ".join(f"case when ({y(k)} > dec) <> ({y((k + 1) % 4)} > dec) and {x(k)} + (dec - {y(k)}) * ({x((k + 1) % 4)} - {x(k)}) / nullif({y((k + 1) % 4)} - {y(k)}, 0) > 0 then 1 else 0 end" for k in range(4))
+    return f"with {_S}, g as (select *, (1 + target_id % 7) * 0.0131 as w, (1 + target_id % 5) * 0.0117 as h from (select s_suppkey as target_id, (s_suppkey * 391 % 2161)::double / 3600 as t_ra, (s_suppkey * 223 % 1021)::double / 3600 + 10 as t_dec from supplier)) select target_id as polygon_id, source_id from g, src where ({edges}) % 2 = 1"
+
+
+@query(_polygons_sql())
+def polygon_table(spark, sf_dir):
+    """All sources against a polygon for each supplier, some across the wrap of right ascension."""
+    k, w, h = F.col("target_id"), (1 + F.col("target_id") % 7) * 0.0131, (1 + F.col("target_id") % 5) * 0.0117
+    corner = lambda x, y: F.struct(F.pmod(F.col("t_ra") + x, F.lit(360.0)).alias("ra"), (F.col("t_dec") + y).alias("dec"))
+    polygons = targets_of(spark, sf_dir).select(k.alias("polygon_id"), F.array(corner(-w, -h), corner(w, -h / 2), corner(w / 2, h), corner(-w / 2, h / 3)).alias("vertices"))
+    return spatial.in_polygons(sources_of(spark, sf_dir), polygons).select("polygon_id", "source_id")
+
+
 _COVERED = """with o as (select o_custkey as object_id, count(*) as members, min(case when o_orderkey % 4 <> 0 then o_totalprice end) as price, bool_or(o_orderkey % 4 in (1, 2, 3) and o_orderkey % 5 <> 0) as noted from orders group by o_custkey),
 u as (select object_id, members >= 3 and price is not null and noted as usable from o)"""
 

@@ -161,3 +161,24 @@ def test_catalogs_fail_and_come_late_on_their_own(spark):
     assert {r.catalog: r["count"] for r in found.groupBy("catalog").count().collect()} == {"good": 5, "other": 3} and "name" in found.columns
     told = {r.catalog: (r.error, r.message) for r in failures.collect()}
     assert told.keys() == {"plan", "row", "late"} and told["late"][0] == "timeout" and "broken" in told["row"][1]
+
+
+def test_points_in_a_table_of_polygons(spark):
+    """Polygons of all sizes, across the wrap and near the poles, against the expression for one polygon at a time."""
+    rng = np.random.default_rng(11)
+    polygons = []
+    for k in range(40):
+        size = float(10 ** rng.uniform(-3, 1.6))
+        ra, dec = float(rng.choice([0.0, 359.9, 120.0, 200.0])), float(rng.uniform(-89 + min(size, 80), 89 - min(size, 80)))
+        turns = np.sort(rng.uniform(0, 2 * np.pi, int(rng.integers(3, 7))))
+        polygons.append((k, [(float((ra + size * np.cos(t)) % 360), float(np.clip(dec + size * np.sin(t), -90, 90))) for t in turns]))
+    polygons += [(98, [(0.0, 0.0), (100.0, 10.0), (200.0, 0.0), (300.0, 50.0)]), (99, [(1.0, 1.0), (2.0, 2.0)])]
+    near = [(float(r + rng.normal() * 0.01) % 360, float(np.clip(d + rng.normal() * 0.01, -90, 90))) for _, v in polygons for r, d in v]
+    spots = near + [(float(a), float(b)) for a, b in zip(rng.uniform(0, 360, 300), rng.uniform(-90, 90, 300))]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(-1, None, 0.0)], "id long, ra double, dec double")
+    table = spark.createDataFrame(polygons, "polygon_id long, vertices array<struct<ra:double,dec:double>>")
+    got = sorted((r.id, r.polygon_id) for r in spatial.in_polygons(points, table).collect())
+    flags = points.where("id >= 0").select("id", *(exprs.inside_polygon(F.col("ra"), F.col("dec"), v).alias(f"p{k}") for k, v in polygons[:-1])).collect()
+    want = sorted((r.id, k) for r in flags for k, _ in polygons[:-1] if r[f"p{k}"])
+    assert set(got) == set(want) and len(got) == len(want) > 60, [(spots[i], polygons[k] if k < 98 else k, (i, k) in got) for i, k in set(got) ^ set(want)]
+    assert spatial.in_polygons(points, table.limit(0)).collect() == []
