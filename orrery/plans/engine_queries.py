@@ -11,7 +11,7 @@ from orrery.functions import exprs
 from orrery.operators import catalogs as rows_of_catalogs
 from orrery.operators import fulfilment, object_store, objects, planets, products, search, signals, sky_index, spatial, store
 from orrery.plans.catalog_queries import _E, _S, _matches, _planned, _registry, _score, _sep, _table, matches_of, query, samples_of, sources_of, targets_of
-from orrery.sources import catalogs, exports, registry, tables
+from orrery.sources import catalogs, exports, records, registry, tables
 from orrery.streaming import quota
 
 _MOVE = "(x.nation - 12) * 1000"
@@ -328,6 +328,25 @@ def isolated_catalogs(spark, sf_dir):
     return found.groupBy("catalog").agg(F.lit("read").alias("outcome"), F.count("*").alias("rows")).unionByName(failures.select("catalog", F.lit("failed").alias("outcome"), F.lit(None).cast("long").alias("rows")))
 
 
+@query("""with o as (select o_orderkey as k, o_totalprice as price from orders)
+select k::varchar as source_id, case k % 4 when 0 then (k % 360)::double when 1 then k % 360 + 0.5 end as ra, case k % 4 when 3 then null else (k % 90)::double end as dec, case when k % 4 = 0 then price end as parallax,
+    case k % 4 when 0 then 'flux' when 1 then 'flux,note' when 2 then 'flux' else 'note' end as names, case k % 4 when 0 then k::varchar when 1 then 'x' when 2 then 'true' end as flux from o""")
+def open_records(spark, sf_dir):
+    """JSON bodies whose keys differ, of several that mean one column the last counting, null or not; what is left by name."""
+    k = F.col("o_orderkey").cast("string")
+    ra, dec, price = (F.col("o_orderkey") % 360).cast("string"), (F.col("o_orderkey") % 90).cast("string"), F.col("o_totalprice").cast("string")
+    shape = [
+        F.concat(F.lit('{"RAJ2000": "'), ra, F.lit('", " decMean": '), dec, F.lit(', "objID": '), k, F.lit(', "plx_value": '), price, F.lit(', "flux": '), k, F.lit("}")),
+        F.concat(F.lit('[{"ra": 1, "RA_ICRS": '), ra, F.lit('.5, "dec": '), dec, F.lit(', "id": "first", "main_id": "'), k, F.lit('", "parallax": "n/a", "note": [1, {"a": null}], "flux": "x"}]')),
+        F.concat(F.lit('{"data": [{"ra": 7, "ramean": null, "DEC": '), dec, F.lit(', "source_id": '), k, F.lit(', "flux ": 2.5, "flux": true}]}')),
+        F.concat(F.lit('{"results": [{"ra": "nan", "dec": "", "oid": '), k, F.lit(', "note": "y"}]}')),
+    ]
+    body = F.coalesce(*(F.when(F.col("o_orderkey") % 4 == i, x) for i, x in enumerate(shape)))
+    n = records.normalized(_table(spark, sf_dir, "orders").select(F.explode(records.objects_of(body)).alias("record")))
+    names, flux = F.array_join(F.array_sort(F.map_keys("rest")), ","), F.try_variant_get(F.element_at("rest", F.lit("flux")), "$", "string")
+    return n.select("source_id", "ra", "dec", "parallax", names.alias("names"), flux.alias("flux"))
+
+
 def _polygons_sql() -> str:
     corners = [("-w", "-h"), ("w", "-h / 2"), ("w / 2", "h"), ("-w / 2", "h / 3")]
     x = lambda k: f"((t_ra + {corners[k][0]} - ra + 180 + 720) % 360 - 180)"

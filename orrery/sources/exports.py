@@ -164,7 +164,7 @@ def _written(df: DataFrame, kind: str, folder: str, rows: int, size: int, policy
         writer = df.select(line.alias("line")).write.format("orrery_lines").option("suffix", f".{kind}").option("head", head)
         if kind == "json":
             writer = writer.option("head", "[").option("separator", ",\n").option("foot", "]\n")
-    writer.option("path", folder).option("partBytes", policy.part_bytes).mode("append").save()
+    writer.option("path", folder).option("partBytes", policy.part_bytes).option("partRows", policy.part_rows).mode("append").save()
     return [{"path": f"{folder}/{p['name']}", "rows": p["rows"], "bytes": p["bytes"], "sha256": p["sha256"]} for p in sinks.parts_of(folder)]
 
 
@@ -172,7 +172,7 @@ def materialize(df: DataFrame, path: str, asked: str | None = None, use: str | N
     """Write df under path in parts, and a manifest with counts and checksums.
 
     Formats: parquet, csv, jsonl, json (an array a part) and fits. Parts of all but Parquet are closed before a
-    row that would take them beyond part_bytes. Parts are written under a name of this run; the manifest,
+    row that would take them beyond part_bytes or part_rows. Parts are written under a name of this run; the manifest,
     written last by a rename, is what names them: a run that is lost leaves no dataset. facts, such as
     provenance() gives them, are put into the manifest as they are.
     """

@@ -1,7 +1,7 @@
 """Sinks that write parts of bounded bytes, in two phases: FITS tables, and lines of text.
 
 A task writes its parts to a folder of the run and closes each once the next row would take it beyond
-partBytes; the commit moves the parts of the attempts that count to their final names, lists them, and takes
+partBytes or partRows; the commit moves the parts of the attempts that count to their final names, lists them, and takes
 the folder away with whatever attempts that failed have left.
 """
 
@@ -38,7 +38,8 @@ class PartWriter(DataSourceArrowWriter):
     suffix = ""
 
     def __init__(self, options: dict):
-        self.path, self.part_bytes = options["path"].rstrip("/"), int(options.get("partBytes", PART_BYTES))
+        self.path = options["path"].rstrip("/")
+        self.part_bytes, self.part_rows = int(options.get("partBytes", PART_BYTES)), int(options.get("partRows", 1 << 60))
         self.run = uuid.uuid4().hex
 
     def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
@@ -104,7 +105,7 @@ class _FitsWriter(PartWriter):
                 own = width[:, at:] if widest is None else np.maximum(width[:, at:], widest[:, None])
                 so_far = np.maximum.accumulate(own, axis=1)
                 size = (rows + np.arange(1, so_far.shape[1] + 1)) * so_far.sum(axis=0) + 4 * 2880
-                n = int(np.searchsorted(size, self.part_bytes, "right"))
+                n = min(int(np.searchsorted(size, self.part_bytes, "right")), self.part_rows - rows)
                 if n == 0 and held:
                     yield tables.fits_bytes(pa.Table.from_batches(held)), rows
                     held, rows, widest = [], 0, None
@@ -143,7 +144,7 @@ class _LineWriter(PartWriter):
         size = len(self.head) + len(self.foot)
         for batch in batches:
             for line in batch.column(0).cast(pa.large_binary()).to_pylist():
-                if held and size + len(line) + len(self.between) > self.part_bytes:
+                if held and (size + len(line) + len(self.between) > self.part_bytes or len(held) >= self.part_rows):
                     yield self.head + self.between.join(held) + self.foot, len(held)
                     held, size = [], len(self.head) + len(self.foot)
                 held.append(line)
@@ -153,7 +154,7 @@ class _LineWriter(PartWriter):
 
 
 class Lines(DataSource):
-    """format("orrery_lines"), to write one column of texts: options head, separator, foot (of each part), suffix and partBytes."""
+    """format("orrery_lines"), to write one column of texts: options head, separator, foot (of each part), suffix, partBytes and partRows."""
 
     @classmethod
     def name(cls) -> str:
