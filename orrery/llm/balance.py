@@ -33,41 +33,44 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1 / (6 * 1024)
 #: Sequences of a group, groups whose rests meet, and tasks at most.
 GROUP_SEQUENCES, FAN_IN, MOST_TASKS = 256, 256, 20_000
-#: Ids in one Arrow batch of packed pieces, or one piece more.
-BATCH_IDS = 1 << 18
+#: Ids in one Arrow batch of packed pieces, or one piece more; bytes of an id between tasks, enough for vocabularies of up to 65,536.
+BATCH_IDS, ID_BYTES = 1 << 18, 2
 
 _U = np.uint64
 
 
-def _documents(batches: Iterator[pa.RecordBatch], file: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch], file: str, capacity: int, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     bpe = word_bpe(file)
-    task, read, end = TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
+    task, read, end = TaskContext.get().partitionId(), 0, end_id.to_bytes(width, "little")
     for batch in batches:
         for part in text_batches(batch):
             rows, ids = [], []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = bpe.encode(text).astype("<u4").tobytes() + end
-                tokens = len(own) // 4
+                found = bpe.encode(text)
+                if len(found) and int(found.max()) >> 8 * width:
+                    raise ValueError(f"an id does not fit into {width} bytes")
+                own = found.astype(f"<u{width}").tobytes() + end
+                tokens = len(own) // width
                 pieces = -(-tokens // capacity)
                 at = [tokens * k // pieces for k in range(pieces + 1)]
                 for a, b in zip(at, at[1:], strict=False):
                     rows.append((doc, a, b - a, tokens))
-                    ids.append(own[4 * a : 4 * b])
+                    ids.append(own[width * a : width * b])
             salt = mix(np.arange(len(rows), dtype=_U) + _U((task << 40) + read)) >> _U(1)
             read += len(rows)
             columns = [*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), pa.array(salt.astype(np.int64)), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "salt", "ids"])
 
 
-def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, doc_tokens, salt and ids (little-endian, 4 bytes each): each document's ids and one end_id, in pieces of at most capacity.
+def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, id_bytes: int = ID_BYTES) -> DataFrame:
+    """doc_id, start, length, doc_tokens, salt and ids (little-endian, id_bytes each): each document's ids and one end_id, in pieces of at most capacity.
 
     A null or empty text is the end_id alone. Rows that repeat an id, or have none, each give their pieces;
     other columns are ignored. salt is a hash of where a row was read.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(lambda b: _documents(b, file, capacity, end_id), "doc_id long, start long, length long, doc_tokens long, salt long, ids binary")
+    return docs.mapInArrow(lambda b: _documents(b, file, capacity, end_id, id_bytes), "doc_id long, start long, length long, doc_tokens long, salt long, ids binary")
 
 
 def capacities(total: int, capacity: int, last: bool) -> list[int]:
@@ -124,22 +127,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield bucket, rows
 
 
-def _packed(batches: Iterator[pa.RecordBatch], level: int, last: bool, capacity: int, linear: float, quadratic: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], level: int, last: bool, capacity: int, linear: float, quadratic: float, width: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     def out(rows: list[tuple], ids: list) -> pa.RecordBatch:
         columns = [pa.array(x, pa.bool_() if n == "open" else pa.int64()) for n, x in zip(_NAMES[:-1], zip(*rows, strict=True), strict=True)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], _NAMES)
 
     for bucket, pieces in _groups(batches):
-        lengths = [len(p[3]) // 4 for p in pieces]
+        lengths = [len(p[3]) // width for p in pieces]
         room = capacities(sum(lengths), capacity, last)
         base = (level << 56) | (bucket << 20)
         rows, ids, held = [], [], 0
         for k, begin, n, s, at in assign(lengths, room, linear, quadratic):
             doc, start, tokens, own = pieces[k]
-            part = own[4 * begin : 4 * (begin + n)]
+            part = own[width * begin : width * (begin + n)]
+            plain = np.frombuffer(part, f"<u{width}").astype("<u4").tobytes()
             still = not last and room[s] < capacity
-            rows.append((doc, start + begin, n, zlib.crc32(part), tokens, base + s, at, still, bucket))
-            ids.append(part if with_ids or still else None)
+            rows.append((doc, start + begin, n, zlib.crc32(plain), tokens, base + s, at, still, bucket))
+            ids.append(part if still else plain if with_ids else None)
             held += n
             if held >= BATCH_IDS:
                 yield out(rows, ids)
@@ -148,8 +152,8 @@ def _packed(batches: Iterator[pa.RecordBatch], level: int, last: bool, capacity:
             yield out(rows, ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = True) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, and ids, as in pieces, if asked) with a sequence_id and their offset in it, gapless from 0.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = True, id_bytes: int = ID_BYTES) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, and ids, 4 bytes each, if asked) with a sequence_id and their offset in it, gapless from 0.
 
     Every id of pieces is in exactly one row. All sequences but some with a power of two of ids are full.
     Which pieces share a sequence depends on how the input was read; an empty input gives no rows. A group
@@ -164,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, qu
     for level in count():
         tasks, last = min(groups, MOST_TASKS), groups == 1
         dealt = now.select("doc_id", "start", "doc_tokens", "bucket", "ids").repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
-        out = cut(dealt.mapInArrow(lambda b, level=level, last=last: _packed(b, level, last, capacity, linear, quadratic, with_ids), _SCHEMA), "packed")
+        out = cut(dealt.mapInArrow(lambda b, level=level, last=last: _packed(b, level, last, capacity, linear, quadratic, id_bytes, with_ids), _SCHEMA), "packed")
         part = out.where("not open").select(*columns)
         done = part if done is None else done.unionByName(part)
         if last:
