@@ -15,12 +15,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orrery.functions import exprs
-from orrery.operators import catalogs, fulfilment
+from orrery.operators import catalogs, fulfilment, spatial
 from orrery.operators.store import cut
 from orrery.sources.tables import filesystem
 
@@ -193,7 +193,7 @@ class ObjectStore:
         reach = rows.where(ok).select(F.explode(near_buckets(exprs.normalized_ra(F.col("ra")), F.col("dec"), radius_arcsec, manifest.buckets)).alias("bucket"))
         near = self._read(manifest, "places", _PLACE, self._touched(reach))
         spots = rows.where(ok).select(F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"))
-        near = cut(fulfilment.spatial.cone_join(spots, near, radius_arcsec).select(*near.columns).distinct(), "near")
+        near = cut(spatial.cone_join(spots, near, radius_arcsec).select(*near.columns).distinct(), "near")
         objects = near.select("object_id").distinct()
         held = self._read(manifest, "members", _PLACE, self._touched(objects.select(hash_bucket(["object_id"], manifest.buckets).alias("bucket")))) if manifest.schema else near
         held = held.join(objects, "object_id", "left_semi")
@@ -301,7 +301,7 @@ def fulfil(store: ObjectStore, request: fulfilment.Request, fetch: Fetch, target
         rows = recorded(buckets).where("not usable")
         if asked:
             rows = rows.join(F.broadcast(spark.createDataFrame([(a,) for a in asked], "object_id string")), "object_id", "left_anti")  # gaps times rounds at most
-        heads = catalogs.Window.partitionBy("bucket").orderBy("object_id")
+        heads = Window.partitionBy("bucket").orderBy("object_id")
         first = rows.withColumn("n", F.row_number().over(heads)).where(F.col("n") <= gaps)
         for b in buckets:
             now.gaps[b] = []

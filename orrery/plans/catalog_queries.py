@@ -409,6 +409,25 @@ def signal_vectors(spark, sf_dir):
     return signals.represent(samples_of(spark, sf_dir)).select("signal_id", "good_fraction", F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
 
 
+@query(f"""with {_E}, m as (select *, median(value) over (partition by signal_id) as med, count(*) over (partition by signal_id) as n from ev),
+s as (select signal_id, any_value(med) as med, 1.4826 * median(abs(value - med)) as mad, stddev_pop(value) as sd, min(axis) as t0, max(axis) as t1 from m where n >= 8 group by signal_id),
+z as (select signal_id, pos, axis, (value - s.med) / case when mad > 0 then mad else sd end as v, t0, t1 from m join s using (signal_id) where t1 > t0 and (mad > 0 or sd > 0)),
+l as (select *, avg(v) over (partition by signal_id) as mu, {", ".join(f"lead(v, {k}) over w as l{k}" for k in (1, 2, 4, 8))}, abs((v - lag(v) over w) / greatest(axis - lag(axis) over w, 2.220446049250313e-16)) as d from z window w as (partition by signal_id order by axis, pos)),
+t as (select signal_id, [avg(v), stddev_pop(v), min(v), max(v), quantile_cont(v, 0.05), quantile_cont(v, 0.25), quantile_cont(v, 0.75), quantile_cont(v, 0.95), avg(power(v - mu, 3)) / power(avg(power(v - mu, 2)), 1.5), avg(power(v - mu, 4)) / power(avg(power(v - mu, 2)), 2) - 3,
+    median(d), (sum(axis * v) - sum(axis) * sum(v) / count(*)) / (sum(axis * axis) - sum(axis) * sum(axis) / count(*)) * (max(axis) - min(axis))] as head, [{", ".join(f"corr(v, l{k})" for k in (1, 2, 4, 8))}] as lags from l group by signal_id),
+b as (select signal_id, least(floor((axis - t0) / (t1 - t0) * 32), 31)::bigint as bin, median(v) as m from z group by all),
+f as (select g.signal_id, g.bin, m from (select signal_id, unnest(range(32)) as bin from t) g left join b using (signal_id, bin)),
+n as (select *, last_value(case when m is not null then bin end ignore nulls) over p as lb, last_value(m ignore nulls) over p as lm, first_value(case when m is not null then bin end ignore nulls) over q as rb, first_value(m ignore nulls) over q as rm from f
+window p as (partition by signal_id order by bin rows between unbounded preceding and current row), q as (partition by signal_id order by bin rows between current row and unbounded following)),
+h as (select signal_id, list(case when lb is null then rm when rb is null or lb = bin then lm else lm + (rm - lm) * (bin - lb) / (rb - lb) end order by bin) as bins from n group by signal_id),
+r as (select signal_id, list_transform(list_concat(head, bins, lags), lambda x: case when isfinite(coalesce(x, 0)) then coalesce(x, 0) else 0 end) as raw from t join h using (signal_id))
+select signal_id, place, round(x / norm, 6) + 0 as value from (select signal_id, unnest(range(48)) as place, unnest(raw) as x, sqrt(list_sum(list_transform(raw, lambda y: y * y))) as norm from r)""")
+def signal_vector_values(spark, sf_dir):
+    """The 48 values of each signal's vector, by their places."""
+    v = signals.represent(samples_of(spark, sf_dir)).select("signal_id", F.posexplode("vector").alias("place", "x"))
+    return v.select("signal_id", F.col("place").cast("long").alias("place"), (F.round("x", 6) + 0.0).alias("value"))
+
+
 @query(f"""with {_E}, z as (select *, min(axis) over (partition by signal_id) as t0 from ev), p as (select *, ((axis - t0) / 86400) % 1 as f from z)
 select signal_id, pos, round(case when f > 0.5 then f - 1 else f end, 6) + 0 as phase from p""")
 def phase_fold(spark, sf_dir):
