@@ -135,3 +135,13 @@ def test_ipac_and_votable_are_read_by_pieces(spark, tmp_path):
     (tmp_path / "v.xml").write_text(xml.format("OVERFLOW"))  # told after the rows
     with pytest.raises(Exception, match="query status"):
         read.load(str(tmp_path / "v.xml")).collect()
+
+
+def test_a_manifest_tells_where_its_objects_come_from(spark, tmp_path):
+    members = spark.createDataFrame([("a", "gaia", "tap"), ("a", "wise", "irsa"), ("b", "gaia", "tap"), ("c", "gaia", "tap")], "object_id string, catalog string, provider string")
+    chosen = spark.createDataFrame([("a", True), ("b", False)], "object_id string, reused boolean")
+    facts = exports.provenance(members, chosen, 3)
+    assert facts == {"providers": {"tap": 2, "irsa": 1}, "catalogs": ["gaia", "wise"], "objects": 2, "reused": 1, "reuse_ratio": 0.5, "requested": 3, "status": "partial"}
+    exports.materialize(chosen, str(tmp_path / "d"), "csv", facts=facts)
+    assert {**facts, "rows": 2}.items() <= json.loads((tmp_path / "d" / "manifest.json").read_text()).items()
+    assert exports.provenance(members.limit(0), chosen.limit(0), 0)["status"] == "completed"
