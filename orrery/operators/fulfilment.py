@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orrery.functions import exprs
 from orrery.operators import catalogs, spatial
 from orrery.operators.search import Search
-from orrery.operators.store import cut
+from orrery.operators.store import cut, first_rows
 
 #: Objects whose gaps a round looks at, rounds at most, and rounds without progress before it gives up.
 GAPS, ROUNDS, STUCK = 128, 1000, 25
@@ -81,7 +81,8 @@ def totals(covered: DataFrame, request: Request) -> dict[str, int]:
 def chosen_objects(covered: DataFrame, reused: DataFrame, count: int) -> DataFrame:
     """Usable objects with whether they were there at the start, those first, then by id, as many as asked for."""
     usable = covered.where("usable").join(reused.select("object_id").withColumn("reused", F.lit(True)), "object_id", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
-    return usable.orderBy(F.desc("reused"), "object_id").limit(count)  # the request's own count
+    order = [F.desc("reused"), F.col("object_id")]
+    return first_rows(usable, count, order).orderBy(*order)
 
 
 def origin_counts(chosen: DataFrame, members: DataFrame, began: str) -> DataFrame:

@@ -15,13 +15,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orrery.functions import exprs
 from orrery.operators import catalogs, fulfilment, spatial
-from orrery.operators.store import cut
+from orrery.operators.store import cut, first_rows
 from orrery.sources.tables import filesystem
 
 #: Buckets of each table, and deltas of a bucket beyond which compaction rewrites it.
@@ -243,10 +243,9 @@ class ObjectStore:
 
 @dataclass
 class Coverage:
-    """How far a store covers a request, by bucket: totals, and the first objects that lack something."""
+    """How far a store covers a request, by bucket: totals, and the folders that tell of its objects."""
 
     totals: dict[int, tuple[int, int]] = field(default_factory=dict)
-    gaps: dict[int, list[str]] = field(default_factory=dict)
     deltas: list[tuple[str, list[int]]] = field(default_factory=list)
 
     def state(self, count: int) -> dict[str, int]:
@@ -262,11 +261,11 @@ def fulfil(store: ObjectStore, request: fulfilment.Request, fetch: Fetch, target
 
     fetch(objects, round) gives rows for objects(object_id), the first gaps of those that lack something and have
     not been asked for, or new ones. Coverage is counted anew only for buckets that a round's rows touch; by
-    bucket there are two totals and up to gaps ids on the driver, and the ids asked for, gaps times rounds.
+    bucket there are two totals on the driver, ids stay in tables.
     Objects that were usable at the start come first in the result, then by id.
     """
     spark, root = store.spark, f"{store.root}/coverage-{uuid.uuid4().hex}"
-    now, asked = Coverage(), set()
+    now, asked = Coverage(), []
 
     def covered(buckets: set[int] | None) -> DataFrame:
         manifest = store.manifest()
@@ -286,27 +285,24 @@ def fulfil(store: ObjectStore, request: fulfilment.Request, fetch: Fetch, target
         for i, (old, held) in enumerate(now.deltas):
             now.deltas[i] = (old, [b for b in held if b not in own])
         now.deltas.append((path, [b for b in own if b in now.totals]))
-        lacking(own)
 
-    def recorded(buckets: set[int] | None = None) -> DataFrame:
+    def recorded() -> DataFrame:
         found = None
         for path, held in now.deltas:
-            if paths := [f"{path}/bucket={b}" for b in held if buckets is None or b in buckets]:
+            if paths := [f"{path}/bucket={b}" for b in held]:
                 part = spark.read.schema("object_id string, usable boolean, bucket int").option("basePath", path).parquet(*paths)
                 found = part if found is None else found.unionByName(part)
         return spark.createDataFrame([], "object_id string, usable boolean, bucket int") if found is None else found
 
-    def lacking(buckets: set[int]) -> None:
-        """The first ids of each bucket that lack something and have not been asked for."""
-        rows = recorded(buckets).where("not usable")
+    def lacking() -> DataFrame:
+        """The first ids that lack something and have not been asked for."""
+        rows = recorded().where("not usable").select("object_id")
         if asked:
-            rows = rows.join(F.broadcast(spark.createDataFrame([(a,) for a in asked], "object_id string")), "object_id", "left_anti")  # gaps times rounds at most
-        heads = Window.partitionBy("bucket").orderBy("object_id")
-        first = rows.withColumn("n", F.row_number().over(heads)).where(F.col("n") <= gaps)
-        for b in buckets:
-            now.gaps[b] = []
-        for r in first.select("bucket", "object_id").collect():
-            now.gaps[r["bucket"]].append(r["object_id"])
+            rows = rows.join(spark.read.schema("object_id string").parquet(*asked), "object_id", "left_anti")
+        path = f"{root}/asked-{len(asked):06d}"
+        first_rows(rows, gaps, [F.col("object_id")]).write.parquet(path)
+        asked.append(path)
+        return spark.read.schema("object_id string").parquet(path)
 
     counted(None)
     started = list(now.deltas)
@@ -322,19 +318,14 @@ def fulfil(store: ObjectStore, request: fulfilment.Request, fetch: Fetch, target
         if stuck >= fulfilment.STUCK:
             reason = "no_usable_progress"
             break
-        ids = dict(sorted((x, b) for b, own in now.gaps.items() for x in own)[:gaps])
-        rows = cut(fetch(spark.createDataFrame([(i,) for i in ids], "object_id string"), turn), "fetched")
-        asked |= set(ids)
+        rows = cut(fetch(lacking(), turn), "fetched")
         n = rows.count()
         if not n:
             reason = "no_more_rows"
             break
         received += n
         _, identity = store.upsert(rows, radius_arcsec)
-        touched = store._touched(identity.select(hash_bucket(["object_id"], store.buckets).alias("bucket")))
-        counted(touched)
-        if rest := set(ids.values()) - touched:  # their next ids
-            lacking(rest)
+        counted(store._touched(identity.select(hash_bucket(["object_id"], store.buckets).alias("bucket"))))
     else:
         turn += 1
     state = now.state(request.count)
