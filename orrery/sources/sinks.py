@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -42,8 +42,8 @@ class PartWriter(DataSourceArrowWriter):
         self.part_bytes, self.part_rows = int(options.get("partBytes", PART_BYTES)), int(options.get("partRows", 1 << 60))
         self.run = uuid.uuid4().hex
 
-    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
-        """The bytes and rows of each part."""
+    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Iterable[bytes], int]]:
+        """The bytes, in pieces, and rows of each part."""
         raise NotImplementedError
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -52,12 +52,16 @@ class PartWriter(DataSourceArrowWriter):
         folder = f"{root}/.writing-{self.run}"
         fs.create_dir(folder, recursive=True)
         parts = []
-        for k, (data, rows) in enumerate(self.encoded(batches)):
+        for k, (pieces, rows) in enumerate(self.encoded(batches)):
             name = f"part-{task.partitionId():05d}-{k:05d}-{self.run[:12]}{self.suffix}"
             temporary = f"{folder}/{name}.{task.taskAttemptId()}"
+            size, sha = 0, hashlib.sha256()
             with fs.open_output_stream(temporary, compression=None) as f:
-                f.write(data)
-            parts.append({"name": name, "temporary": temporary, "rows": rows, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+                for piece in pieces:
+                    f.write(piece)
+                    size += len(piece)
+                    sha.update(piece)
+            parts.append({"name": name, "temporary": temporary, "rows": rows, "bytes": size, "sha256": sha.hexdigest()})
         return Written(parts)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -107,14 +111,14 @@ class _FitsWriter(PartWriter):
                 size = (rows + np.arange(1, so_far.shape[1] + 1)) * so_far.sum(axis=0) + 4 * 2880
                 n = min(int(np.searchsorted(size, self.part_bytes, "right")), self.part_rows - rows)
                 if n == 0 and held:
-                    yield tables.fits_bytes(pa.Table.from_batches(held)), rows
+                    yield tables.fits_pieces(pa.Table.from_batches(held)), rows
                     held, rows, widest = [], 0, None
                     continue
                 n = max(n, 1)
                 held.append(batch.slice(at, n))
                 rows, widest, at = rows + n, so_far[:, n - 1], at + n
         if held:
-            yield tables.fits_bytes(pa.Table.from_batches(held)), rows
+            yield tables.fits_pieces(pa.Table.from_batches(held)), rows
 
     @staticmethod
     def _widths(c: pa.Array) -> np.ndarray:
@@ -145,12 +149,12 @@ class _LineWriter(PartWriter):
         for batch in batches:
             for line in batch.column(0).cast(pa.large_binary()).to_pylist():
                 if held and (size + len(line) + len(self.between) > self.part_bytes or len(held) >= self.part_rows):
-                    yield self.head + self.between.join(held) + self.foot, len(held)
+                    yield (self.head + self.between.join(held) + self.foot,), len(held)
                     held, size = [], len(self.head) + len(self.foot)
                 held.append(line)
                 size += len(line) + len(self.between)
         if held:
-            yield self.head + self.between.join(held) + self.foot, len(held)
+            yield (self.head + self.between.join(held) + self.foot,), len(held)
 
 
 class Lines(DataSource):

@@ -14,7 +14,7 @@ import math
 import operator
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -396,46 +396,75 @@ def _cards(cards: list[tuple[str, object]]) -> bytes:
     return raw + b" " * (-len(raw) % _BLOCK)
 
 
-def fits_bytes(table: pa.Table, header: dict[str, object] | None = None) -> bytes:
-    """A binary table of whole numbers (K), numbers (D), truth values (L) and texts (A) as a file's bytes (K5).
+#: Rows of a part that are encoded at a time.
+PIECE_ROWS = 50_000
+
+
+def fits_pieces(table: pa.Table, header: dict[str, object] | None = None) -> Iterator[bytes]:
+    """A binary table of whole numbers (K), numbers (D), truth values (L) and texts (A) as a file's bytes, some rows at a time (K5).
 
     Nulls are TNULL, a number that the column doesn't hold, a NaN with a load of its own (NULLNAN), a zero byte
-    and, with other texts that aren't plain ASCII, escaped (TESC).
+    and, with other texts that aren't plain ASCII, escaped (TESC). Besides the table itself one piece is held.
     """
     if bad := [n for n in table.column_names if not re.fullmatch(r"[ -~]{1,60}", n)]:
         raise TableError(f"column names {bad} can't be written")
-    columns, cards = [], []
-    for i, (name, c) in enumerate(zip(table.column_names, table.columns, strict=True), 1):
-        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        empty, more = c.is_null().to_numpy(zero_copy_only=False), []
-        if pa.types.is_boolean(c.type):
-            form, x = "1L", np.where(empty, 0, np.where(c.fill_null(False).to_numpy(zero_copy_only=False), ord("T"), ord("F"))).astype("u1")
-        elif pa.types.is_integer(c.type):
-            form, x = "1K", c.fill_null(0).to_numpy(zero_copy_only=False).astype(">i8")
-            if empty.any():
-                held, mark = set(x.tolist()), -(1 << 63)
-                while mark in held:
-                    mark += 1
-                x = np.where(empty, mark, x).astype(">i8")
-                more = [(f"TNULL{i}", mark)]
-        elif pa.types.is_floating(c.type):
-            bits = c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).astype(">f8").view(">u8")
-            form, x = "1D", np.where(empty, NULL_NAN, bits).astype(">u8").view(">f8")
-        else:
-            texts = c.cast(pa.string()).to_pylist()
-            if any(t is None or not _PLAIN.fullmatch(t) for t in texts):
-                texts, more = [escaped(t) for t in texts], [(f"TESC{i}", True)]
-            x = np.array([t.encode("ascii") for t in texts] or [b""])[: len(texts)]
-            form = f"{max(1, x.dtype.itemsize)}A"
-        columns.append(x)
+    pieces = [table.slice(at, PIECE_ROWS) for at in range(0, table.num_rows, PIECE_ROWS)]
+    encoders, kinds, cards = [], [], []
+    for i, name in enumerate(table.column_names, 1):
+        form, kind, encode, more = _fits_column([p.column(i - 1) for p in pieces], table.schema.field(i - 1).type, i)
+        encoders.append(encode)
+        kinds.append((f"c{i - 1}", kind))
         cards += [(f"TTYPE{i}", name), (f"TFORM{i}", form), *more]
-    rows = np.zeros(table.num_rows, np.dtype([(f"c{i}", c.dtype) for i, c in enumerate(columns)]))
-    for i, c in enumerate(columns):
-        rows[f"c{i}"] = c
-    head = _cards([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True), *(header or {}).items()])
-    told = _cards([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(columns)), ("NULLNAN", True), *cards])
-    body = rows.tobytes()
-    return head + told + body + b"\0" * (-len(body) % _BLOCK)
+    dtype = np.dtype(kinds)
+    yield _cards([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True), *(header or {}).items()])
+    yield _cards([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", dtype.itemsize), ("NAXIS2", table.num_rows), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(kinds)), ("NULLNAN", True), *cards])
+    for p in pieces:
+        rows = np.zeros(p.num_rows, dtype)
+        for i, encode in enumerate(encoders):
+            rows[f"c{i}"] = encode(p.column(i))
+        yield rows.tobytes()
+    yield b"\0" * (-table.num_rows * dtype.itemsize % _BLOCK)
+
+
+def _fits_column(pieces: list[pa.ChunkedArray], kind: pa.DataType, i: int) -> tuple[str, np.dtype, Callable[[pa.ChunkedArray], np.ndarray], list[tuple[str, object]]]:
+    """The format of column i, its NumPy type, what makes values of a piece of it, and cards."""
+    empty = lambda c: c.is_null().to_numpy()
+    if pa.types.is_boolean(kind):
+        return "1L", np.dtype("u1"), lambda c: np.where(empty(c), 0, np.where(c.fill_null(False).to_numpy(), ord("T"), ord("F"))), []
+    if pa.types.is_integer(kind):
+        if not any(c.null_count for c in pieces):
+            return "1K", np.dtype(">i8"), lambda c: c.to_numpy(), []
+        mark = _unheld(pieces)
+        return "1K", np.dtype(">i8"), lambda c: np.where(empty(c), mark, c.fill_null(0).to_numpy().astype(np.int64)), [(f"TNULL{i}", mark)]
+    if pa.types.is_floating(kind):
+        bits = lambda c: c.cast(pa.float64()).fill_null(0.0).to_numpy().view("u8")
+        return "1D", np.dtype(">f8"), lambda c: np.where(empty(c), NULL_NAN, bits(c)).astype(">u8").view(">f8"), []
+    escapes = any(t is None or not _PLAIN.fullmatch(t) for c in pieces for t in c.cast(pa.string()).unique().to_pylist())
+    told = lambda t: (escaped(t) if escapes else t).encode("ascii")
+    width = max((len(told(t)) for c in pieces for t in c.cast(pa.string()).unique().to_pylist()), default=0) or 1
+
+    def texts(c: pa.ChunkedArray) -> np.ndarray:
+        coded = c.cast(pa.string()).combine_chunks().dictionary_encode("encode")
+        return np.array([told(t) for t in coded.dictionary.to_pylist()], f"S{width}")[coded.indices.to_numpy()]
+
+    return f"{width}A", np.dtype(f"S{width}"), texts, [(f"TESC{i}", True)] if escapes else []
+
+
+def _unheld(pieces: list[pa.ChunkedArray]) -> int:
+    """The least number of 64 bits that a column with nulls doesn't hold, nulls counting as 0."""
+    low, rows = -(1 << 63), sum(map(len, pieces))
+    held: set[int] = set()
+    for c in pieces:  # of so many rows one number of the least ones is free
+        x = c.drop_null().to_numpy().astype(np.int64)
+        held |= set(x[x <= low + rows].tolist())
+    while low in held:
+        low += 1
+    return low
+
+
+def fits_bytes(table: pa.Table, header: dict[str, object] | None = None) -> bytes:
+    """fits_pieces as one text of bytes."""
+    return b"".join(fits_pieces(table, header))
 
 
 def write_fits(names: list[str], columns: list[np.ndarray], header: dict[str, object] | None = None) -> bytes:
