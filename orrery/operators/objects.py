@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, FractionalType, IntegralType, MapType, StructType
 
 from orrery.functions import exprs
-from orrery.operators import catalogs, search
+from orrery.operators import catalogs, groups, search
+from orrery.operators.store import cut
 from orrery.sources import exports
 
 #: What a stored source keeps; scores and separations belong to a request.
@@ -168,10 +171,51 @@ def create_dataset(targets: DataFrame, sources: DataFrame, request: search.Searc
     targets and sources are those of search.crossmatch; request.filters are compared with the sources' columns.
     An object counts if it has request.count_threshold detections.
     """
+    if _by_nearest(targets, sources, request):
+        return exports.materialize(_once_by_nearest(targets, sources, request), path, asked)
+    return exports.materialize(_once(targets, sources, request), path, asked)
+
+
+def _once(targets: DataFrame, sources: DataFrame, request: search.Search) -> DataFrame:
+    """Each source of a dataset once, at its nearest target, by all matches."""
     found = search.crossmatch(targets, sources, request)
     for name, value in request.filters.items():
         found = found.where(catalogs.field_filter(name, value, {c: F.col(c) for c in found.columns}))
     sizes = found.groupBy("target_id", "object").agg(F.count("*").alias("__n")).where(F.col("__n") >= request.count_threshold).drop("__n")
     kept = found.join(sizes, ["target_id", "object"], "left_semi")
-    once = catalogs.first_by(kept, ["catalog", "source_id"], [F.col("separation"), F.col("target_id")])
-    return exports.materialize(once, path, asked)
+    return catalogs.first_by(kept, ["catalog", "source_id"], [F.col("separation"), F.col("target_id")])
+
+
+def _by_nearest(targets: DataFrame, sources: DataFrame, request: search.Search) -> bool:
+    """Whether sources tell by themselves which of them match and count: nothing but the radius asks for a match's separation, links are within the radius, targets are told apart."""
+    named = {name.removeprefix("min_").removeprefix("max_") for name in request.filters}
+    if request.adaptive or request.max_results is not None or request.min_confidence > 0 or request.mode == "shell" or request.zones or "t_epoch" in targets.columns or request.problems():
+        return False
+    if not named <= {*sources.columns, "proper_motion_masyr"} or set(sources.columns) & {*targets.columns, "separation", "confidence", "key", "object"}:
+        return False
+    widest = sources.agg(F.max(exprs.finite_or_null(F.col("error_arcsec").cast("double")))).first()[0] or 0.0
+    return widest <= request.radius_arcsec and targets.groupBy("target_id").count().where("count > 1").isEmpty()
+
+
+def _once_by_nearest(targets: DataFrame, sources: DataFrame, request: search.Search) -> DataFrame:
+    """_once without matches being written: tasks tell each source's nearest target that counts, and only those pairs are matches.
+
+    Where two are nearest within a hair, the separation and the order are those of all other queries.
+    """
+    if request.catalogs:
+        sources = sources.where(F.col("catalog").isin(*request.catalogs))
+    sources = sources.where(request.condition(sources.columns))
+    counts = [catalogs.field_filter(name, value, {c: F.col(c) for c in sources.columns}) for name, value in request.filters.items()]
+    sources = sources.withColumns({"key": F.concat_ws("\x1f", "catalog", F.col("source_id").cast("string")), "__counts": reduce(and_, counts, F.lit(True))})
+    near, crowded = groups.nearest_objects(targets, sources.select("key", "ra", "dec", F.col("__counts").alias("counts")), request.radius_arcsec, "target_id", "key", request.count_threshold)
+    near = cut(near, "nearest")
+    placed = [targets.where(exprs.valid_position(F.col("t_ra"), F.col("t_dec"))), sources.where(exprs.valid_position(F.col("ra"), F.col("dec")) & F.col("__counts"))]
+    found = near.join(placed[0], "target_id").join(placed[1], "key")
+    found = found.withColumn("separation", exprs.angular_separation(F.col("t_ra"), F.col("t_dec"), F.col("ra"), F.col("dec"))).where(F.col("separation") <= request.radius_arcsec)
+    found = found.withColumn("confidence", exprs.match_score(F.col("separation"), F.col("error_arcsec"), F.col("t_uncertainty_arcsec") if "t_uncertainty_arcsec" in targets.columns else None))
+    columns = ["target_id", "object", *(c for c in targets.columns if c != "target_id"), *(c for c in sources.columns if c not in ("key", "__counts")), "separation", "confidence"]
+    found = found.select(*columns)
+    if not crowded.isEmpty():
+        rest = _once(targets.join(crowded.select("target_id"), "target_id", "left_semi"), sources.drop("key", "__counts"), request)
+        found = found.unionByName(rest.select(*columns))
+    return catalogs.first_by(found, ["catalog", "source_id"], [F.col("separation"), F.col("target_id")])
